@@ -74,7 +74,8 @@ def split_pages(df: DataFrame, text: str = "text") -> DataFrame:
     cut = pieces(text, K.PAGE_BOUNDARY)
     found = F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda p: F.struct(
         marker_number(p["marker"]).alias("page_num"), _without_rule(p["body"]).alias("text")))
-    whole = F.array(F.struct(F.lit(1).cast("bigint").alias("page_num"), strip(text).alias("text")))
+    whole = F.array(F.struct(
+        F.lit(1).cast("bigint").alias("page_num"), F.lit(0).alias("at"), strip(text).alias("text")))
     keys = [c for c in df.columns if c != text]
     rows = df.filter(F.col(text) != "").select(*keys, _numbered(found).alias("_found"), whole.alias("_whole"))
     rows = rows.select(*keys, F.explode(
