@@ -15,6 +15,8 @@ from pyspark.sql import types as TY
 
 from folioflow import constants as K
 from folioflow.functions import text as T
+from folioflow.operators.joins import lookup
+from folioflow.operators.ordering import next_in_order
 from folioflow.operators.pages import assemble
 
 RESPONSE_SCHEMA = (
@@ -142,16 +144,37 @@ def recover_jobs(lost: DataFrame, remote: DataFrame, jobs: DataFrame, mappings:
     Missing times do not rule a batch out.
     """
     submitted = F.col("submitted_at") if "submitted_at" in lost.columns else T.job_submitted_at("job_id")
-    wanted = lost.withColumn("submitted_at", submitted).join(mappings.select("job_id").distinct(), "job_id", "left_semi")
-    free = remote.join(
-        jobs.select(F.col("remote_name").alias("name")).filter("name is not null").distinct(), "name", "left_anti")
+    wanted = lost.select("job_id", "display_name", submitted.alias("submitted_at")).join(
+        mappings.select("job_id").distinct(), "job_id", "left_semi")
+    claimed = jobs.select(F.col("remote_name").alias("name")).filter("name is not null").distinct()
+    free = remote.select("name", "display_name", "create_time").join(claimed, "name", "left_anti")
+
+    # Jobs and batches in one order of name and time; each job takes the next batch after it.
     floor = F.col("submitted_at") - F.make_dt_interval(secs=F.lit(float(K.RECOVERY_SKEW_SECONDS)))
-    late_enough = F.coalesce(F.col("create_time") >= floor, F.lit(True))
-    epoch = F.coalesce(F.col("create_time"), F.timestamp_seconds(F.lit(0)))
-    matched = wanted.join(free, "display_name").filter(late_enough)
-    return matched.groupBy("job_id").agg(
-        F.min_by(F.struct("name", "display_name", "create_time"), F.struct(epoch, "name")).alias("b")).select(
-            "job_id", "b.name", "b.display_name", "b.create_time")
+    none = F.lit(None).cast("string")
+    jobs_in_time = wanted.filter("submitted_at is not null").select(
+        "display_name", floor.alias("at"), F.lit(0).alias("is_batch"), F.col("job_id").cast("string").alias("id"))
+    batches_in_time = free.filter("create_time is not null").select(
+        "display_name", F.col("create_time").alias("at"), F.lit(1).alias("is_batch"), F.col("name").cast("string").alias("id"))
+    timeline = jobs_in_time.unionByName(batches_in_time)
+    found = next_in_order(
+        timeline, [F.col(c) for c in ("display_name", "at", "is_batch", "id")], F.col("is_batch") == 1,
+        F.struct("display_name", "at", "id"), "b").filter("is_batch = 0")
+    timed = found.filter(F.col("b")["display_name"] == F.col("display_name")).select(
+        F.col("id").alias("job_id"), F.col("b")["id"].alias("name"), F.col("b")["at"].alias("create_time"))
+
+    # Batches without a time count as the earliest; a job without a time takes the earliest batch.
+    stamp = F.struct(F.coalesce("create_time", F.timestamp_seconds(F.lit(0))).alias("at"), F.col("name").cast("string").alias("name"))
+    per_name = free.groupBy("display_name").agg(
+        F.min(F.when(F.col("create_time").isNull(), stamp)).alias("undated"), F.min(stamp).alias("earliest"))
+    placed = lookup(wanted.withColumn("job_id", F.col("job_id").cast("string")), per_name, "display_name").join(
+        timed, "job_id", "left")
+    outright = F.when(F.col("undated").isNotNull(), F.col("undated")["name"]).when(
+        F.col("submitted_at").isNull(), F.col("earliest")["name"])
+    chosen = F.coalesce(outright, F.col("name"))
+    at = F.when(F.col("undated").isNotNull(), F.lit(None).cast("timestamp")).when(
+        F.col("submitted_at").isNull(), F.col("earliest")["at"]).otherwise(F.col("create_time"))
+    return placed.filter(chosen.isNotNull()).select("job_id", "display_name", chosen.alias("name"), at.alias("create_time"))
 
 
 def job_state(events: DataFrame) -> DataFrame:

@@ -39,6 +39,25 @@ def scan_in_order(
     return joined.select(*df.columns, *extra)
 
 
+def next_in_order(df: DataFrame, order: list, flag: Column, value: Column, out: str = "next") -> DataFrame:
+    """Add the value of the first flagged row at or after each row in a unique order (NULL for none).
+
+    Inside a range partition this is a window; a row with no flagged row left in its partition takes
+    the first of the following partitions, of which there is one candidate per partition.
+    """
+    marked = df.withColumn("_mark", F.when(flag, value))
+    stored = materialise(marked.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "ordered")
+    sort_key = F.struct(*order)
+    firsts = stored.groupBy("_slice").agg(F.min_by("_mark", F.when(F.col("_mark").isNotNull(), sort_key)).alias("_first"))
+    # One row per partition.
+    later = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    following = firsts.select("_slice", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    onward = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    joined = stored.join(F.broadcast(following), "_slice")
+    here = F.first("_mark", ignorenulls=True).over(onward)
+    return joined.select(*df.columns, F.coalesce(here, F.col("_later")).alias(out))
+
+
 def dedupe_keep_first(df: DataFrame, key: str, pos: str) -> DataFrame:
     """One row per key, the one with the smallest position (order-preserving de-duplication)."""
     others = [c for c in df.columns if c != key]

@@ -164,7 +164,7 @@ def assemble(docs: DataFrame, pages: DataFrame, key: str = "doc") -> DataFrame:
         F.concat(F.lit("> Converted with Gemini Model: `"), F.col("model_name"), F.lit("`  \n")), F.lit("---\n"))
     heads = docs.select(key, F.lit(0).cast("bigint").alias("part"), header.alias("text"))
     numbers = docs.filter(F.col("total_pages") > 0).select(
-        key, F.explode(F.sequence(F.lit(1), F.col("total_pages"))).cast("bigint").alias("part"))
+        key, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total_pages").cast("bigint"))).alias("part"))
     present = pages.select(key, F.col("page_num").cast("bigint").alias("part"), F.col("text").alias("_page"))
     number = F.col("part").cast("string")
     pending = F.concat(F.lit("> **[Page "), number, F.lit(" conversion pending/failed]**"))
