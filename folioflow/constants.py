@@ -101,9 +101,11 @@ FINANCIAL_STATEMENT_KEYWORDS = [
     "income statement",
 ]
 
-# --- Whitespace as the inputs define it (Unicode spaces plus the four ASCII separators) -------------
-SPACE = r"[\s\x1c-\x1f]"
-NOT_SPACE = r"[^\s\x1c-\x1f]"
+# --- Whitespace (Unicode); trimming also takes the four ASCII separators -----------------------------
+SPACES = r"(?U)\s+"
+WORD = r"(?U)\S+"
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\R|[\x1c-\x1e]"
 
 # --- Page scaffolding -----------------------------------------------------------------------------
@@ -133,6 +135,7 @@ BLANK_RUN = r"\n{4,}"
 SECTION_HEADING = r"(?mdU)^(#{1,6})\s+(.+?)$|^(\*{2}[^*\n]{10,}\*{2})\s*$"
 PAGE_HEADING_TEXT = r"(?iU)^Page\s+\d+$"
 TABLE_ROW = r"(?md)^\|.*\|"
+BOARD_CHANGE_WORDS = ["appointed", "resigned", "retired"]
 BOARD_CHANGE = (
     r"(?imdU)(?:appointed|resigned|retired)\s*(?:on|with\s+effect\s+from|from)?\s*\d{1,2}\s+\w+\s+\d{4}"
     r"|\(\s*(?:appointed|resigned|retired)\b[^)]*\)"

@@ -25,31 +25,34 @@ def replace_where(c, guard, pattern: str, replacement: str) -> Column:
 
 
 def contains_any(c, keywords) -> Column:
-    """True where any of the literal keywords occurs; one regex pass over the text."""
-    return col(c).rlike("|".join(re.escape(k) for k in keywords))
+    """True where any of the literal keywords occurs. Plain substring tests beat one alternation."""
+    found = col(c).contains(keywords[0])
+    for keyword in keywords[1:]:
+        found = found | col(c).contains(keyword)
+    return found
 
 
 # --- whitespace -----------------------------------------------------------------------------------
 def strip(c) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)\A{K.SPACE}+|{K.SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(K.SPACE_CHARS))
 
 
 def collapse(c) -> Column:
     """Whitespace runs to one blank, ends trimmed."""
-    return strip(F.regexp_replace(col(c), rf"(?U){K.SPACE}+", " "))
+    return strip(F.regexp_replace(col(c), K.SPACES, " "))
 
 
 def is_blank(c) -> Column:
-    return ~col(c).rlike(rf"(?U){K.NOT_SPACE}")
+    return strip(c) == ""
 
 
 def word_count(c) -> Column:
-    return F.regexp_count(col(c), F.lit(rf"(?U){K.NOT_SPACE}+")).cast("bigint")
+    return F.regexp_count(col(c), F.lit(K.WORD)).cast("bigint")
 
 
 def tokens(c) -> Column:
     """Words and the whitespace between them, nothing lost."""
-    return F.regexp_extract_all(col(c), F.lit(rf"(?U){K.SPACE}+|{K.NOT_SPACE}+"), F.lit(0))
+    return F.regexp_extract_all(col(c), F.lit(r"(?U)\s+|\S+"), F.lit(0))
 
 
 def octets(c) -> Column:
@@ -97,7 +100,7 @@ def entity_of(path) -> Column:
 
 
 def peer_group(entity) -> Column:
-    first = F.split(strip(F.coalesce(col(entity), F.lit(""))), rf"(?U){K.SPACE}+")[0]
+    first = F.split(strip(F.coalesce(col(entity), F.lit(""))), K.SPACES)[0]
     return F.upper(first)
 
 
@@ -132,13 +135,28 @@ def replace_names(c, names: Column) -> Column:
 
 
 def normalise(c, names: Column | None = None, currency: str = K.CURRENCY) -> Column:
+    """Names, dates, amounts and numbers masked in that order, whitespace collapsed, lower case.
+
+    Texts without a digit or without the currency skip the masks that need one.
+    """
     text = replace_names(c, names) if names is not None else col(c)
-    masks = K.MASKS_BEFORE_AMOUNT + [(amount_pattern(currency), "{AMOUNT}")] + K.MASKS_AFTER_AMOUNT
-    for pattern, mask in masks:
-        text = F.regexp_replace(text, pattern, mask)
+
+    def chain(t: Column, masks) -> Column:
+        for pattern, mask in masks:
+            t = F.regexp_replace(t, pattern, mask)
+        return t
+
+    has_digit, has_currency = lambda t: t.rlike(r"\p{Nd}"), lambda t: holds(t, currency)
+    text = let(text, lambda t: F.when(has_digit(t), chain(t, K.MASKS_BEFORE_AMOUNT)).otherwise(t))
+    text = replace_where(text, has_currency, amount_pattern(currency), "{AMOUNT}")
+    text = let(text, lambda t: F.when(has_digit(t), chain(t, K.MASKS_AFTER_AMOUNT)).otherwise(t))
     return F.lower(collapse(text))
 
 
+def holds(text: Column, currency: str) -> Column:
+    return (F.lower(text) if currency.lower() != currency.upper() else text).contains(currency.lower())
+
+
 def text_hash(c) -> Column:
     return F.substring(F.sha2(col(c), 256), 1, 16)
 
@@ -153,7 +171,9 @@ def word_set(normalised) -> Column:
 
 def money_tokens(c, currency: str = K.CURRENCY) -> Column:
     found = F.regexp_extract_all(col(c), F.lit(amount_pattern(currency)), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda m: F.replace(F.lower(m), F.lit(" "), F.lit("")))))
+    spelled = F.transform(found, lambda m: F.replace(F.lower(m), F.lit(" "), F.lit("")))
+    return F.when(holds(col(c), currency), F.array_sort(F.array_distinct(spelled))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def novel_money(section_money, canonical_money) -> Column:
@@ -164,7 +184,8 @@ def novel_money(section_money, canonical_money) -> Column:
 def is_protected(heading, body) -> Column:
     h = F.lower(F.coalesce(col(heading), F.lit("")))
     statement = h.contains("responsibilities") & (h.contains("director") | h.contains("statement"))
-    body_hit = contains_any(F.lower(col(body)), K.PROTECTED_BODY_KEYWORDS) | col(body).rlike(K.BOARD_CHANGE)
+    body_hit = let(F.lower(col(body)), lambda b: contains_any(b, K.PROTECTED_BODY_KEYWORDS) | (
+        contains_any(b, K.BOARD_CHANGE_WORDS) & col(body).rlike(K.BOARD_CHANGE)))
     return (
         F.when(statement, F.lit(False))
         .when(contains_any(h, K.PROTECTED_HEADING_KEYWORDS), F.lit(True))
@@ -209,16 +230,20 @@ def strip_scaffolding(c) -> Column:
     text = replace_where(c, lambda t: t.rlike(r"(?iU)companies\s+house"), K.RECEIPT_STAMP, "\n")
     text = replace_where(text, lambda t: t.contains("<!--"), K.PAGE_MARKER_WITH_HEADING, "")
     text = replace_where(text, lambda t: t.contains("##"), K.BARE_PAGE_HEADING, "")
-    text = drop_repeated_headers(text)
-    text = replace_where(text, lambda t: t.rlike(_WEEKS_ENDED), K.FOOTER_ONE_LINE, "")
-    text = replace_where(text, lambda t: t.rlike(_WEEKS_ENDED), K.FOOTER_TWO_LINES, "")
+
+    def without_running_lines(t: Column) -> Column:
+        headed = drop_repeated_headers(t)
+        footed = F.regexp_replace(F.regexp_replace(headed, K.FOOTER_ONE_LINE, ""), K.FOOTER_TWO_LINES, "")
+        return F.when(t.rlike(_WEEKS_ENDED), footed).otherwise(t)
+
+    text = let(text, without_running_lines)
     text = replace_where(text, lambda t: t.contains("---"), K.RULE_RUN, "\n---\n")
     return tidy(text)
 
 
 def tidy(c) -> Column:
     """At most two blank lines in a row, ends trimmed, one final line break."""
-    return F.concat(strip(F.regexp_replace(col(c), K.BLANK_RUN, "\n\n\n")), F.lit("\n"))
+    return F.concat(strip(replace_where(c, lambda t: t.contains("\n" * 4), K.BLANK_RUN, "\n\n\n")), F.lit("\n"))
 
 
 # --- names and titles -----------------------------------------------------------------------------

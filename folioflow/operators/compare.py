@@ -58,33 +58,35 @@ def edit_script(a: list[str], b: list[str], limit: int = K.MAX_EDIT_DISTANCE) ->
     replaced = [("-", a), ("+", b)]
     if n + m > 2 * limit:
         return replaced
-    reach: dict[int, int] = {1: 0}
-    rounds: list[dict[int, int]] = []
+    most = min(n + m, limit)
+    centre = most + 1
+    reach = [0] * (2 * centre + 1)  # furthest position in a on each diagonal
+    rounds: list[list[int]] = []    # diagonals -d-1..d+1 as they stood before round d
 
-    def from_above(row: dict[int, int], k: int, d: int) -> bool:
-        return k == -d or (k != d and row.get(k - 1, 0) < row.get(k + 1, 0))
-
-    for d in range(min(n + m, limit) + 1):
-        rounds.append(dict(reach))
+    for d in range(most + 1):
+        rounds.append(reach[centre - d - 1:centre + d + 2])
         for k in range(-d, d + 1, 2):
-            x = reach.get(k + 1, 0) if from_above(reach, k, d) else reach.get(k - 1, 0) + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
+            below, above = reach[centre + k - 1], reach[centre + k + 1]
+            x = above if k == -d or (k != d and below < above) else below + 1
+            y = x - k
+            while x < n and y < m and a[x] == b[y]:
                 x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
-                return _walk_back(rounds, a, b, from_above)
+                y += 1
+            reach[centre + k] = x
+            if x >= n and y >= m:
+                return _walk_back(rounds, a, b)
     return replaced
 
 
-def _walk_back(rounds, a, b, from_above) -> list[tuple[str, list[str]]]:
+def _walk_back(rounds: list[list[int]], a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
     x, y = len(a), len(b)
     script: list[tuple[str, list[str]]] = []
     for d in range(len(rounds) - 1, 0, -1):
-        k = x - y
-        above = from_above(rounds[d], k, d)
-        before = k + 1 if above else k - 1
-        start_x = rounds[d].get(before, 0)
-        start_y = start_x - before
+        row, k = rounds[d], x - y
+        at = k + d + 1
+        inserted = k == -d or (k != d and row[at - 1] < row[at + 1])
+        start_x = row[at + 1] if inserted else row[at - 1]
+        start_y = start_x - (k + 1 if inserted else k - 1)
         common = max(0, min(x - start_x, y - start_y))
         script.extend(("=", [a[x - 1 - i]]) for i in range(common))
         x, y = x - common, y - common
@@ -124,6 +126,10 @@ def diff_pages(compared: DataFrame) -> DataFrame:
     pairs go to the edit search wherever they are.
     """
     changed = compared.filter(F.col("status") == "changed").drop("status")
+    # The search costs far more than moving its input: use every core, whatever the bytes say.
+    session = changed.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    changed = changed.repartition(tasks)
     keys = [c for c in changed.columns if c not in ("text_a", "text_b")]
     schema = TY.StructType([changed.schema[k] for k in keys] + [TY.StructField("ops", DIFF_SCHEMA)])
 

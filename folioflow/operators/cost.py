@@ -32,9 +32,13 @@ def with_rates(df: DataFrame, rate_card: DataFrame, default: str = K.DEFAULT_MOD
 
 
 def cost_columns(pages: Column, input_standard, output_standard, input_batch, output_batch) -> dict[str, Column]:
-    """Tokens and costs of a number of pages; money is rounded once, to six decimals."""
+    """Tokens and costs of a number of pages.
+
+    Money is rounded half up to six decimals; the noise of binary fractions is cut off before, so
+    that exact halves always go up.
+    """
     tin, tout = pages * K.INPUT_TOKENS_PER_PAGE, pages * K.OUTPUT_TOKENS_PER_PAGE
-    price = lambda i, o: F.round(tin / 1_000_000 * i + tout / 1_000_000 * o, 6)
+    price = lambda i, o: F.round(F.round(tin / 1_000_000 * i + tout / 1_000_000 * o, 10), 6)
     return {
         "input_tokens": tin.cast("bigint"), "output_tokens": tout.cast("bigint"), "total_tokens": (tin + tout).cast("bigint"),
         "cost_standard_usd": price(input_standard, output_standard), "cost_batch_usd": price(input_batch, output_batch)}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,13 @@ from folioflow.operators.sections import explode_units, with_units
 from folioflow.operators.similarity import Clusters, assign, leader_clusters
 from folioflow.plans.storage import materialise
 
-NAMES_INLINE = 2000
+try:
+    import ahocorasick
+except ImportError:  # larger name lists are then joined
+    ahocorasick = None
+
+NAMES_INLINE = 32
+NAMES_SHARED_BYTES = 32_000_000
 GRAM = 8
 
 
@@ -50,29 +57,51 @@ def company_names(entities: DataFrame, entity: str = "entity") -> DataFrame:
     return names.select(F.explode(both).alias("name")).filter(F.col("name") != "").distinct()
 
 
-def with_names(docs: DataFrame, names: DataFrame, inline: int = NAMES_INLINE) -> DataFrame:
+def with_names(docs: DataFrame, names: DataFrame, inline: int = NAMES_INLINE, shared_bytes: int = NAMES_SHARED_BYTES) -> DataFrame:
     """Add ``_names``, the names to mask in each document, longest first.
 
-    Up to ``inline`` names travel as a constant. Beyond that each document gets the names whose
-    first characters occur in it, found by a join on those characters; names that do not occur
-    in full are replaced nowhere, so the result is the same.
+    A handful of names travels as a constant. Up to ``shared_bytes`` of names go to the tasks as one
+    automaton that lists the names occurring in a text in a single pass. Any number beyond that is
+    joined to the documents by their first characters. Names that do not occur are replaced nowhere,
+    so all three give the same result.
     """
     few = [r["name"] for r in names.limit(inline + 1).collect()]
     if len(few) <= inline:
         ordered = sorted(few, key=lambda n: (-len(n), n))
         constant = F.array(*[F.lit(n) for n in ordered]) if ordered else F.array().cast("array<string>")
         return docs.withColumn("_names", constant)
+    size = names.agg(F.sum(F.octet_length("name") + 16)).first()[0]
+    if size <= shared_bytes and ahocorasick is not None:
+        return docs.withColumn("_names", T.longest_first(names_in_text(names)(F.col("text"))))
     keyed = names.select("name", F.substring("name", 1, GRAM).alias("gram"))
-    widths = F.array(*[F.lit(w) for w in range(1, GRAM + 1)])
+    widths = [r[0] for r in keyed.select(F.length("gram")).distinct().collect()]  # at most GRAM numbers
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.transform(
-        widths, lambda w: F.transform(starts, lambda s: F.substring(F.col("text"), s, w)))))
+    grams = F.array_distinct(F.flatten(F.array(*[
+        F.transform(starts, lambda s, w=w: F.substring(F.col("text"), s, F.lit(w))) for w in sorted(widths)])))
     found = docs.select("doc", F.explode(grams).alias("gram")).join(keyed, "gram").select("doc", "name").distinct()
     per_doc = found.groupBy("doc").agg(T.longest_first(F.collect_list("name")).alias("_names"))
     return docs.join(per_doc, "doc", "left").withColumn(
         "_names", F.coalesce("_names", F.array().cast("array<string>")))
 
 
+def names_in_text(names: DataFrame):
+    """Arrow UDF listing the distinct names that occur in each text; the list's size is checked before."""
+    shared = names.sparkSession.sparkContext.broadcast([r["name"] for r in names.collect()])
+    built: list = []
+
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        if not built:
+            automaton = ahocorasick.Automaton()
+            for name in shared.value:
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            built.append(automaton)
+        return texts.map(lambda text: sorted({name for _, name in built[0].iter(text or "")}))
+
+    return find
+
+
 def with_peer_group(docs: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Add ``grp``: the mapped family of the entity, else its first word in capitals."""
     default = T.peer_group("entity")

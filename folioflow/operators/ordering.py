@@ -49,12 +49,14 @@ def next_in_order(df: DataFrame, order: list, flag: Column, value: Column, out:
     stored = materialise(marked.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "ordered")
     sort_key = F.struct(*order)
     firsts = stored.groupBy("_slice").agg(F.min_by("_mark", F.when(F.col("_mark").isNotNull(), sort_key)).alias("_first"))
-    # One row per partition.
-    later = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
-    following = firsts.select("_slice", F.first("_first", ignorenulls=True).over(later).alias("_later"))
-    onward = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Read backwards, "the next flagged row" is the last one seen, a frame that only grows.
+    # The first window runs over one row per partition.
+    backwards = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    following = firsts.select("_slice", F.last("_first", ignorenulls=True).over(backwards).alias("_later"))
+    onward = Window.partitionBy("_slice").orderBy(*[c.desc() for c in order]).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     joined = stored.join(F.broadcast(following), "_slice")
-    here = F.first("_mark", ignorenulls=True).over(onward)
+    here = F.last("_mark", ignorenulls=True).over(onward)
     return joined.select(*df.columns, F.coalesce(here, F.col("_later")).alias(out))
 
 

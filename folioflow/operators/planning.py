@@ -58,11 +58,11 @@ def _chain(blocks: pd.DataFrame) -> pd.DataFrame:
 
 def _number(docs: pd.DataFrame, entry: pd.DataFrame, limit: int) -> pd.DataFrame:
     docs = docs.sort_values("position")
-    state, part = np.array([int(entry["state"].iloc[0])]), int(entry["part"].iloc[0])
-    parts = []
-    for pages in docs["pages"].to_numpy():
-        state, opened = _fill(state, int(pages), limit)
-        part += int(opened[0])
+    state, part, parts = int(entry["state"].iloc[0]), int(entry["part"].iloc[0]), []
+    for pages in docs["pages"].tolist():
+        opened = state >= 0 and state + pages > limit
+        state = min((0 if opened else max(state, 0)) + pages, limit + 1)
+        part += opened
         parts.append(part)
     return docs.assign(part=parts)[["folder", "doc", "pages", "part"]]
 

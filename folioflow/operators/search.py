@@ -69,7 +69,7 @@ def snippet(text: Column, start: Column, end: Column, page: Column | None = None
             F.substring(text, (left + 1).cast("int"), (right - left).cast("int")).alias("raw"))
 
         def build(e: Column) -> Column:
-            trimmed = F.length(e["raw"]) - F.length(F.regexp_replace(e["raw"], rf"(?U)\A{K.SPACE}+", ""))
+            trimmed = F.length(e["raw"]) - F.length(F.ltrim(e["raw"], F.lit(K.SPACE_CHARS)))
             fields = [
                 strip(F.replace(e["raw"], F.lit("\n"), F.lit(" "))).alias("text"),
                 (start - e["left"] - trimmed).cast("bigint").alias("match_start"),

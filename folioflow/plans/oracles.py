@@ -390,7 +390,7 @@ oracle(
         sum(converted)::BIGINT AS converted_pages, bool_and(state IN ('collected', 'complete', 'failed')) AS is_finished FROM grps GROUP BY plan_id)
       SELECT *, collected_pages + complete_pages AS done_pages, round((collected_pages + complete_pages) / total_pages * 100, 1) AS percent,
         greatest(total_pages - converted_pages, 0) AS missing_pages,
-        round(total_pages * 1262 / 1000000 * 0.125::DOUBLE + total_pages * 650 / 1000000 * 0.75::DOUBLE, 6) AS batch_cost_usd FROM s""",
+        round((total_pages * 1262 / 1000000 * 0.125::DOUBLE + total_pages * 650 / 1000000 * 0.75::DOUBLE)::DECIMAL(38, 10), 6)::DOUBLE AS batch_cost_usd FROM s""",
     missing_split=f"""WITH {GROUPS} SELECT plan_id, coalesce(sum(missing) FILTER (retry_pass < 4), 0)::BIGINT AS retryable,
       coalesce(sum(missing) FILTER (retry_pass >= 4), 0)::BIGINT AS exhausted FROM grps GROUP BY plan_id""",
     group_state_fold="""WITH RECURSIVE e AS (SELECT user_id AS g, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -430,10 +430,10 @@ oracle(
     cost_by_folder=f"""WITH {PAGES}, {RATES}, d AS (SELECT folder, CASE priority WHEN '1-URGENT' THEN 'gemini-2.5-pro' WHEN '2-HIGH' THEN 'gemini-3-flash-preview' ELSE 'unlisted' END AS model,
         sum(total_pages)::BIGINT AS pages FROM odocs GROUP BY 1, 2)
       SELECT folder, model, pages, pages * 1262 AS input_tokens, pages * 650 AS output_tokens, pages * 1912 AS total_tokens,
-        round(pages * 1262 / 1000000 * si + pages * 650 / 1000000 * so, 6) AS cost_standard_usd, round(pages * 1262 / 1000000 * bi + pages * 650 / 1000000 * bo, 6) AS cost_batch_usd
+        round((pages * 1262 / 1000000 * si + pages * 650 / 1000000 * so)::DECIMAL(38, 10), 6)::DOUBLE AS cost_standard_usd, round((pages * 1262 / 1000000 * bi + pages * 650 / 1000000 * bo)::DECIMAL(38, 10), 6)::DOUBLE AS cost_batch_usd
       FROM d JOIN rates ON m = CASE model WHEN 'unlisted' THEN 'gemini-3.1-flash-lite' ELSE model END""",
-    cost_by_document=f"""WITH {PAGES}, {RATES} SELECT doc, total_pages * 1912 AS total_tokens, round(total_pages * 1262 / 1000000 * si + total_pages * 650 / 1000000 * so, 6) AS cost_standard_usd,
-      round(total_pages * 1262 / 1000000 * bi + total_pages * 650 / 1000000 * bo, 6) AS cost_batch_usd FROM odocs JOIN rates ON m = 'gemini-3.1-flash-lite'""",
+    cost_by_document=f"""WITH {PAGES}, {RATES} SELECT doc, total_pages * 1912 AS total_tokens, round((total_pages * 1262 / 1000000 * si + total_pages * 650 / 1000000 * so)::DECIMAL(38, 10), 6)::DOUBLE AS cost_standard_usd,
+      round((total_pages * 1262 / 1000000 * bi + total_pages * 650 / 1000000 * bo)::DECIMAL(38, 10), 6)::DOUBLE AS cost_batch_usd FROM odocs JOIN rates ON m = 'gemini-3.1-flash-lite'""",
     rate_cards="""WITH s AS (SELECT p_brand AS b, count(*) AS n, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY 1)
       SELECT b AS model_id, b || ' Model' AS name, lo + 0.25::DOUBLE AS input_standard, hi + 0.5::DOUBLE AS output_standard,
         CASE WHEN n % 2 = 0 THEN lo + 0.125::DOUBLE ELSE round((lo + 0.25::DOUBLE) * 0.5, 4) END AS input_batch,
