@@ -76,8 +76,11 @@ def with_names(docs: DataFrame, names: DataFrame, inline: int = NAMES_INLINE, sh
     keyed = names.select("name", F.substring("name", 1, GRAM).alias("gram"))
     widths = [r[0] for r in keyed.select(F.length("gram")).distinct().collect()]  # at most GRAM numbers
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.transform(starts, lambda s, w=w: F.substring(F.col("text"), s, F.lit(w))) for w in sorted(widths)])))
+
+    def cuts(width: int) -> Column:
+        return F.transform(starts, lambda s: F.substring(F.col("text"), s, F.lit(width)))
+
+    grams = F.array_distinct(F.flatten(F.array(*[cuts(w) for w in sorted(widths)])))
     found = docs.select("doc", F.explode(grams).alias("gram")).join(keyed, "gram").select("doc", "name").distinct()
     per_doc = found.groupBy("doc").agg(T.longest_first(F.collect_list("name")).alias("_names"))
     return docs.join(per_doc, "doc", "left").withColumn(

@@ -179,7 +179,7 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
 # --- rate cards and plans -----------------------------------------------------------------------------------
 def read_rate_card(spark: SparkSession, path: str) -> DataFrame:
     """Saved rates, in the form with a sync time or the older bare map; a missing time is the file's own."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     rate = "struct<" + ", ".join(f"{f}: double" for f in RATE_FIELDS) + ">"
     parsed = raw.select(
         F.from_json("value", f"struct<synced_at: string, models: map<string, {rate}>>").alias("new"),
