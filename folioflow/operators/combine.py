@@ -78,8 +78,9 @@ def combine(
     document or to the header, so a collection of any size stays distributed.
     """
     generated_at = generated_at or datetime.now().strftime("%Y-%m-%d %H:%M")
-    ordered = order_documents(with_pages(df), sort_mode)
-    light = ordered.drop("text")
+    # Two passes over the texts: page counts first, bodies last. Only titles are put in order.
+    light = order_documents(with_pages(df).drop("text"), sort_mode)
+    ordered = light.join(df.select("doc", "text"), "doc")
     text_of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
     def lines(source: DataFrame, block: int, texts: list[Column]) -> DataFrame:

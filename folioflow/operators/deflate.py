@@ -233,9 +233,12 @@ def removable(scanned: Scan, threshold: int) -> DataFrame:
 
 def claim_orphans(candidates: DataFrame) -> DataFrame:
     """Where no written document holds the kept copy, the first that could drop it keeps it."""
-    claims = candidates.filter(F.col("canonical").isNull()).groupBy("match_fp").agg(
+    orphans = candidates.filter(F.col("canonical").isNull())
+    if orphans.isEmpty():
+        return candidates
+    claims = orphans.groupBy("match_fp").agg(
         F.min_by(F.struct("doc", "name"), F.struct("visit", "section_ord")).alias("_claim"))
-    claimed = candidates.join(F.broadcast(claims) if claims.isEmpty() else claims, "match_fp", "left")
+    claimed = lookup(candidates, claims, "match_fp", "left")
     return claimed.withColumn("canonical", F.coalesce("canonical", "_claim")).drop("_claim")
 
 
@@ -244,7 +247,7 @@ def decide(scanned: Scan, threshold: int, verdicts: DataFrame | None = None) ->
 
     In safe mode boilerplate goes only where ``verdicts`` (``fp, verdict``) say 'strip'.
     """
-    located = claim_orphans(removable(scanned, threshold))
+    located = claim_orphans(materialise(removable(scanned, threshold), "removable"))
     away = located.filter(F.col("doc") != F.col("canonical")["doc"])
     if scanned.options.mode == "safe":
         away = apply_verdicts(away, verdicts)

@@ -70,8 +70,10 @@ def rare_first(forms: DataFrame, threshold: float) -> DataFrame:
 
 
 def _with_group_size(entries: DataFrame) -> DataFrame:
+    """Entries whose signature occurs more than once, with the number of its members."""
     sizes = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
-    return lookup(entries, sizes, "sig")
+    sizes = materialise(sizes, "group-sizes")
+    return lookup(entries, sizes, "sig", counts=sizes.withColumnRenamed("members", "_n"))
 
 
 def _pairs_within(entries: DataFrame, threshold: float) -> DataFrame:

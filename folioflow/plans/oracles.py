@@ -180,13 +180,13 @@ def sections(written: str = "true") -> str:
 # A word sets one bit of a signature of eight numbers. Bits that differ are words that differ, and at similarity 0.85 at most
 # (1 - 0.85) / (1 + 0.85) of both sets' words may differ: a necessary condition that spares most comparisons.
 FORMS = """forms AS MATERIALIZED (SELECT form, r, words, len(words) AS n,
-   """ + ", ".join(f"""coalesce(list_reduce([1::BIGINT << ((hash(w) // 8) % 62)::INT FOR w IN words IF hash(w) % 8 = {i}],
-     lambda x, y: x | y), 0) AS s{i}""" for i in range(8)) + """ FROM (
+   """ + ", ".join(f"""list_reduce(list_prepend(0::BIGINT, [1::BIGINT << ((hash(w) // 8) % 62)::INT FOR w IN words IF hash(w) % 8 = {i}]),
+     lambda x, y: x | y) AS s{i}""" for i in range(8)) + """ FROM (
    SELECT form, min(r) AS r, list_distinct([w FOR w IN string_split(max(norm), ' ') IF w <> '']) AS words FROM sec GROUP BY form)),
  pairs AS MATERIALIZED (SELECT *, k / (an + bn - k) AS sim FROM (
    SELECT a.form AS a, b.form AS b, a.r AS ar, b.r AS br, a.n AS an, b.n AS bn, len(list_intersect(a.words, b.words)) AS k
    FROM forms a JOIN forms b ON a.r < b.r AND b.n >= a.n * 0.85 - 1e-9 AND a.n >= b.n * 0.85 - 1e-9
-     AND """ + " + ".join(f"bit_count(xor(a.s{i}, b.s{i}))" for i in range(8)) + """ <= (a.n + b.n) * 0.15 / 1.85 + 1e-6) WHERE k / (an + bn - k) >= 0.85),
+     AND """ + " + ".join(f"bit_count(xor(a.s{i}, b.s{i}))::INT" for i in range(8)) + """ <= (a.n + b.n) * 0.15 / 1.85 + 1e-6) WHERE k / (an + bn - k) >= 0.85),
  touched AS (SELECT form, r, row_number() OVER (ORDER BY r) AS i, coalesce(earlier, []) AS earlier FROM (
    SELECT a AS form, ar AS r FROM pairs UNION SELECT b, br FROM pairs) LEFT JOIN (SELECT b AS form, list(a) AS earlier FROM pairs GROUP BY b) USING (form)),
  walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS led UNION ALL

@@ -645,8 +645,8 @@ def filter_inventory(spark, sf):
 @query
 def batch_status(spark, sf):
     """Each order is a job over the parts it ships; the last listed active job of a part counts."""
-    lines = X.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pos")).agg(
-        F.collect_set(F.col("l_partkey").cast("string")).alias("pdf_paths"))
+    lines = X.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("pos"), F.array(F.col("l_partkey").cast("string")).alias("pdf_paths"))
     orders = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderstatus")
     status = F.when(F.col("o_orderstatus") == "P", "JOB_STATE_PENDING").when(
         F.col("o_orderstatus") == "O", "JOB_STATE_RUNNING").otherwise("JOB_STATE_SUCCEEDED")
