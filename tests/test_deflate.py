@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.operators import deflate as D
 from folioflow.operators import reports as R
-from folioflow.operators.similarity import assign
 
 DUTY = "# Duty of care\n" + " ".join(
     f"The company shall keep proper books and observe rule {w} at all times without delay." for w in
@@ -23,6 +22,7 @@ def path(company, year):
 
 
 def run(spark, docs, references=None, verdicts=None, **options):
+    options.setdefault("similarity", None)  # identical masked texts; near copies have their own test
     results, removals, scan = D.deflate(
         corpus(spark, docs), None if references is None else corpus(spark, references), D.Options(**options), verdicts=verdicts)
     return ({r.doc: r for r in results.collect()}, sorted((tuple(r) for r in removals.select("doc", "reason", "canonical").collect())), scan)
@@ -109,14 +109,14 @@ def test_guards_keep_sections(spark, extra):
 
 def test_near_copies_match(spark):
     docs = [(path("Acme", 1), DUTY), (path("Beta", 1), DUTY.replace("without delay", "without further delay")), (path("Crux", 1), DUTY)]
-    assert len(run(spark, docs)[1]) == 2
-    assert len(run(spark, docs, similarity=None)[1]) == 0  # two companies only once the variant is apart; threshold three
+    assert len(run(spark, docs, similarity=0.85)[1]) == 2
+    assert len(run(spark, docs)[1]) == 0  # two companies only once the variant is apart; threshold three
 
 
 def test_reports(spark):
     docs = [(path(c, 2023), DUTY + OTHER.format(i)) for i, c in enumerate(["Acme", "Beta", "Crux"])]
     targets = corpus(spark, docs)
-    results, removals, scan = D.deflate(targets, options=D.Options())
+    results, removals, scan = D.deflate(targets, options=D.Options(similarity=None))
     total = R.deflate_summary(results).first()
     sizes = sum(len(t.encode()) for _, t in docs)
     assert total.total_original_bytes == sizes and total.files_deflated == 3
