@@ -96,8 +96,12 @@ def first_k(df: DataFrame, query: str, k: int = 5, match_case: bool = False, who
 
 
 def matching(df: DataFrame, query: str, match_case: bool = False, whole_word: bool = False) -> DataFrame:
-    """Documents that contain the query, with their number of matches."""
-    return df.withColumn("match_count", match_count("text", query, match_case, whole_word)).filter("match_count > 0")
+    """Documents that contain the query, with their number of matches.
+
+    The filter stops at the first match of a text; only texts that have one are counted, once.
+    """
+    found = df.filter(F.col("text").rlike(query_pattern(query, match_case, whole_word)))
+    return found.withColumn("match_count", match_count("text", query, match_case, whole_word))
 
 
 def rank_results(df: DataFrame, limit: int, offset: int = 0, key: str = "doc") -> DataFrame:
@@ -146,8 +150,9 @@ def search_pages(pages: DataFrame, query: str, match_case: bool = False) -> Data
     query = clean_query(query)
     keys = [c for c in pages.columns if c != "text"]
     prose = pages.withColumn("_prose", markdown_to_prose("text"))
-    counted = prose.withColumn("_n", match_count("_prose", query or "x", match_case)).filter("_n > 0")
-    hits = counted.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("ordinal"))
+    found = F.transform(
+        F.regexp_extract_all("_prose", F.lit(query_pattern(query or "x", match_case)), F.lit(0)), lambda m, i: i.cast("bigint"))
+    hits = prose.select(*keys, F.explode(found).alias("ordinal"))
     return hits if query else hits.limit(0)
 
 
