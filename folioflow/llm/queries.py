@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from folioflow.llm.collision_dedup import near_duplicates
 from folioflow.llm.common import table
 from folioflow.llm.jaccard_join import jaccard_components
+from folioflow.llm.language_id import identify
+from folioflow.llm.line_dedup import RUN, dedup_lines
+from folioflow.llm.mixing import mix
 from folioflow.llm.permutation_index import nearest
+from folioflow.llm.piece_transducer import encode_pieces
+from folioflow.llm.toxicity import score_toxicity
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +29,33 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 100 == 0)
 
 
-QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_nearest_neighbours)}
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs).select("doc_id", "source", "block", "slot", "place_in_block")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_nearest_neighbours, op4_mixing_sources, op5_toxicity,
+    op7_language_id, op8_sentencepiece, op9_line_dedup)}
 
 # Words split at the white space of the contract; a leading or trailing empty string is no word.
 WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -49,4 +80,12 @@ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 k AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id,
   vec_id <= coalesce(c.b, vec_id) AS kept FROM v LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op9_line_dedup": f"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, i, lines[i:i + {RUN} - 1] AS win FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - {RUN} + 2)) AS i FROM l)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM r, range({RUN}) AS t(j) GROUP BY doc_id)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(lines, lambda x, k: gone IS NULL OR NOT list_contains(gone, k)), chr(10))) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id)""",
 }
