@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.collision_dedup import near_duplicates
 from folioflow.llm.common import table
+from folioflow.llm.fm_dedup import cut_repeats
 from folioflow.llm.jaccard_join import jaccard_components
 from folioflow.llm.language_id import identify
 from folioflow.llm.line_dedup import RUN, dedup_lines
@@ -39,6 +40,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -54,7 +60,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_nearest_neighbours, op4_mixing_sources, op5_toxicity,
+    op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_nearest_neighbours, op4_mixing_sources, op5_toxicity, op6_substring_dedup,
     op7_language_id, op8_sentencepiece, op9_line_dedup)}
 
 # Words split at the white space of the contract; a leading or trailing empty string is no word.
@@ -88,4 +94,12 @@ g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM r, range({RUN}) AS t(j) G
 SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(lines, lambda x, k: gone IS NULL OR NOT list_contains(gone, k)), chr(10))) AS kept_sha256
 FROM l LEFT JOIN g USING (doc_id)""",
+    "op6_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+s AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM s QUALIFY min(doc_id) OVER (PARTITION BY win) < doc_id),
+g AS (SELECT DISTINCT doc_id, i + j AS gone_at FROM r, range(50) AS t(j)), c AS (SELECT doc_id, list(gone_at) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda x, k: gone IS NULL OR NOT list_contains(gone, k)), ' ')) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id)""",
 }
