@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.collision_dedup import near_duplicates
 from folioflow.llm.common import table
 from folioflow.llm.fm_dedup import cut_repeats
+from folioflow.llm.html_text import extract_text
 from folioflow.llm.jaccard_join import jaccard_components
 from folioflow.llm.language_id import identify
 from folioflow.llm.line_dedup import RUN, dedup_lines
@@ -59,9 +60,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_nearest_neighbours, op4_mixing_sources, op5_toxicity, op6_substring_dedup,
-    op7_language_id, op8_sentencepiece, op9_line_dedup)}
+    op7_language_id, op8_sentencepiece, op9_line_dedup,
+    op10_html_extraction)}
 
 # Words split at the white space of the contract; a leading or trailing empty string is no word.
 WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"

@@ -26,10 +26,12 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioflow.llm.common import Store, chunks, crc_mod
+from folioflow.llm.common import Store, crc_mod
 
 TARGETS = frozenset("you your yours he she they them him her his their people du dich dir sie ihr euch er ihn tu toi te vous il elle ils lui tú ti usted ustedes él ella ellos".split())
 NEGATIONS = frozenset("not no never none isn't don't nicht kein keine nie niemals pas ne jamais aucun nunca ni jamás tampoco".split())
@@ -204,10 +206,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, options: ToxicityOptions | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, text, held_out, score, predicted, matches (patterns fired)."""
+    """``docs`` with score, predicted, held_out and matches (patterns fired); clashing names are replaced."""
     o, store = options or ToxicityOptions(), Store(docs.sparkSession, "toxicity")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = store.save(training_rows(docs, labels, o), "training")
+    docs = docs.drop("score", "predicted", "held_out", "matches").withColumns(
+        {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    rows = store.save(training_rows(docs.select("doc_id", "text"), labels, o), "training")
     insults, machine = learn_insults(rows, o), grammar(o)
     width = len(PATTERNS) + 3
 
@@ -220,13 +223,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, options: ToxicityOptions
     x, y = np.array([r["f"] for r in fitted]).reshape(-1, width), np.array([r["toxic"] for r in fitted], dtype=float)
     w = fit_logistic(x, y) if len(fitted) else np.array([1.0] * width + [-3.0])
 
-    def run(frames):
-        symbols = Symbols(insults, o.beginnings)
-        for frame in chunks(frames, 1000):
-            f = np.array([clause_features(t, symbols, machine) for t in frame["text"]]).reshape(-1, width)
-            p = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
-            yield frame.assign(score=p, matches=[list(np.rint(np.expm1(r[: len(PATTERNS)])).astype(np.int32)) for r in f])
+    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL("score double, matches array<int>").fields)
 
-    out = docs.mapInPandas(run, "doc_id long, text string, score double, matches array<int>")
+    def run(batches):
+        symbols = Symbols(insults, o.beginnings)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                f = np.array([clause_features(t, symbols, machine) for t in batch.column("text").to_pylist()]).reshape(-1, width)
+                p = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
+                fired = np.rint(np.expm1(f[:, : len(PATTERNS)])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(list(fired), pa.list_(pa.int32()))], names=[*batch.schema.names, "score", "matches"])
+
+    out = docs.mapInArrow(run, schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn(
         "held_out", F.coalesce(crc_mod("doc_id", o.folds) == o.held_out, F.lit(False)))
