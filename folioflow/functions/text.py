@@ -293,9 +293,9 @@ def strip_provenance(c, tag: str = K.PROVENANCE_TAG) -> Column:
 def provenance(c, tag: str = K.PROVENANCE_TAG) -> Column:
     """``key=value`` fields of the stamp as a map, NULL when the page carries none.
 
-    The stamp must end within the first 512 characters, and a repeated key keeps its last value.
+    A repeated key keeps its last value.
     """
-    head = F.regexp_extract(F.substring(col(c), 1, 512), provenance_pattern(tag), 0)
+    head = F.regexp_extract(col(c), provenance_pattern(tag), 0)
     fields = F.regexp_extract_all(head, F.lit(r"(?U)(?:^|\s|:)([^\s=:]+=[^\s]*)"), F.lit(1))
     keyed = F.transform(fields, lambda f: F.struct(
         F.substring_index(f, "=", 1).alias("key"), F.regexp_replace(f, r"^[^=]*=", "").alias("value")))

@@ -157,6 +157,6 @@ def destination(folder: str | None, file_name: str | None) -> str:
 def misplaced_consolidations(df: DataFrame) -> DataFrame:
     """Combined documents lying among transcripts (``path, text``), with where they belong."""
     among = (F.try_element_at(T.path_parts("path"), F.lit(-2)) == K.MARKDOWN_DIR) & ~T.is_consolidated("path")
-    banner = F.substring("text", 1, K.BANNER_WINDOW).contains(K.CONSOLIDATED_BANNER)
+    banner = F.col("text").contains(K.CONSOLIDATED_BANNER)
     moved = F.regexp_replace("path", r"Markdown/([^/]*)$", f"{K.CONSOLIDATED_DIR}/$1")
     return df.filter(among & banner).select("path", moved.alias("destination"))

@@ -27,7 +27,7 @@ except ImportError:  # larger name lists are then joined
 
 NAMES_INLINE = 32
 NAMES_SHARED_BYTES = 32_000_000
-GRAM = 8
+GRAM = 12
 
 
 @dataclass(frozen=True)
@@ -58,31 +58,31 @@ def company_names(entities: DataFrame, entity: str = "entity") -> DataFrame:
 
 
 def with_names(docs: DataFrame, names: DataFrame, inline: int = NAMES_INLINE, shared_bytes: int = NAMES_SHARED_BYTES) -> DataFrame:
-    """Add ``_names``, the names to mask in each document, longest first.
+    """Add ``_names``: the names that occur in each document's text, longest first.
 
-    A handful of names travels as a constant. Up to ``shared_bytes`` of names go to the tasks as one
-    automaton that lists the names occurring in a text in a single pass. Any number beyond that is
-    joined to the documents by their first characters. Names that do not occur are replaced nowhere,
-    so all three give the same result.
+    The rule is the same for any number of names: a name is masked where the text as given holds it. Names
+    that only arise by masking others do not count. A handful of names is tested one by one, up to
+    ``shared_bytes`` of names are looked up by one automaton per task, and more are joined by their first characters.
     """
     few = [r["name"] for r in names.limit(inline + 1).collect()]
     if len(few) <= inline:
         ordered = sorted(few, key=lambda n: (-len(n), n))
         constant = F.array(*[F.lit(n) for n in ordered]) if ordered else F.array().cast("array<string>")
-        return docs.withColumn("_names", constant)
+        return docs.withColumn("_names", F.filter(constant, lambda n: F.coalesce(F.col("text").contains(n), F.lit(False))))
     size = names.agg(F.sum(F.octet_length("name") + 16)).first()[0]
     if size <= shared_bytes and ahocorasick is not None:
         return docs.withColumn("_names", T.longest_first(names_in_text(names)(F.col("text"))))
     keyed = names.select("name", F.substring("name", 1, GRAM).alias("gram"))
-    widths = [r[0] for r in keyed.select(F.length("gram")).distinct().collect()]  # at most GRAM numbers
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
+    widths = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # at most GRAM numbers
 
-    def cuts(width: int) -> Column:
-        return F.transform(starts, lambda s: F.substring(F.col("text"), s, F.lit(width)))
+    @F.pandas_udf("array<string>")
+    def beginnings(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted({t[i : i + w] for w in widths for i in range(len(t) - w + 1)}) if t else [])
 
-    grams = F.array_distinct(F.flatten(F.array(*[cuts(w) for w in sorted(widths)])))
-    found = docs.select("doc", F.explode(grams).alias("gram")).join(keyed, "gram").select("doc", "name").distinct()
-    per_doc = found.groupBy("doc").agg(T.longest_first(F.collect_list("name")).alias("_names"))
+    # The grams go alone; a candidate meets the text again only to be tested.
+    found = docs.select("doc", F.explode(beginnings("text")).alias("gram")).join(keyed, "gram").select("doc", "name").distinct()
+    held = found.join(docs.select("doc", "text"), "doc").filter(F.col("text").contains(F.col("name")))
+    per_doc = held.groupBy("doc").agg(T.longest_first(F.collect_list("name")).alias("_names"))
     return docs.join(per_doc, "doc", "left").withColumn(
         "_names", F.coalesce("_names", F.array().cast("array<string>")))
 
@@ -117,8 +117,9 @@ def with_peer_group(docs: DataFrame, mapping: DataFrame | None = None) -> DataFr
 # --- scan -------------------------------------------------------------------------------------------
 def fingerprint_sections(docs: DataFrame, options: Options, names: DataFrame | None = None) -> DataFrame:
     """Sections of at least forty words with their masks, hashes, figures and flags."""
-    named = docs.withColumn("_names", F.array().cast("array<string>")) if names is None else with_names(docs, names)
-    units = with_units(named.withColumn("text", T.strip_scaffolding("text")), options.unit)
+    clean = docs.withColumn("text", T.strip_scaffolding("text"))
+    named = clean.withColumn("_names", F.array().cast("array<string>")) if names is None else with_names(clean, names)
+    units = with_units(named, options.unit)
     keys = [c for c in named.columns if c != "text"]
     rows = explode_units(units, keys).withColumn("word_count", T.word_count("body"))
     rows = rows.filter(F.col("word_count") >= K.MIN_SECTION_WORDS)

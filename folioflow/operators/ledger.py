@@ -15,8 +15,8 @@ from pyspark.sql import types as TY
 
 from folioflow import constants as K
 from folioflow.functions import text as T
-from folioflow.operators.joins import lookup
-from folioflow.operators.ordering import next_in_order
+from folioflow.plans.storage import materialise
+from folioflow.operators.ordering import number_within, running_max, scan_in_order
 from folioflow.operators.pages import assemble
 
 RESPONSE_SCHEMA = (
@@ -98,14 +98,28 @@ def response_pages(responses: DataFrame, mapping: DataFrame) -> DataFrame:
     first = F.get(F.col("response.candidates"), F.lit(0))
     parts = F.coalesce(first["content"]["parts"], F.array())
     joined = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    delivery = [F.col("seq")] if "seq" in responses.columns else []
     read = responses.filter(F.col("key").isNotNull()).select(
-        "key", T.strip(joined).alias("text"), first["finishReason"].alias("finish_reason"))
+        "key", T.strip(joined).alias("text"), first["finishReason"].alias("finish_reason"), *delivery)
     return mapping.join(read, "key")
 
 
 def collect_results(responses: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Pages that came back with text."""
-    return response_pages(responses, mapping).filter(F.col("text") != "")
+    """Pages that came back with text, one row each: the last delivery by ``seq``.
+
+    Without that column, or where it ties, the larger text counts, so the answer never depends on the run.
+    """
+    pages = response_pages(responses, mapping).filter(F.col("text") != "")
+    last = F.struct(*([F.col("seq")] if "seq" in pages.columns else []), F.col("text"))
+    others = [c for c in pages.columns if c not in ("doc", "page_num", "seq")]
+    newest = pages.groupBy("doc", "page_num").agg(F.max_by(F.struct(*others), last).alias("_p"))
+    return newest.select("doc", "page_num", *[F.col("_p")[c].alias(c) for c in others])
+
+
+def newest_pages(cache: DataFrame) -> DataFrame:
+    """One row per model and page of a cache that is appended to: the last ``converted``, then the larger text."""
+    last = F.struct(*([F.col("converted")] if "converted" in cache.columns else []), F.col("text"))
+    return cache.groupBy("model", "doc", "page_num").agg(F.max_by("text", last).alias("text"))
 
 
 def blocked_pages(responses: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -122,7 +136,7 @@ def fill_pages(docs: DataFrame, results: DataFrame, cache: DataFrame, model: str
     """Each page of the selected documents: the fresh result, else the cached text, else a notice."""
     on = ["doc", "page_num"]
     fresh = results.select(*on, F.col("text").alias("_fresh"))
-    held = cache.filter(F.col("model") == model).select(*on, F.col("text").alias("_held"))
+    held = newest_pages(cache.filter(F.col("model") == model)).select(*on, F.col("text").alias("_held"))
     notice = F.concat(F.lit("> **[Page "), F.col("page_num").cast("string"), F.lit(" conversion missing]**"))
     pages = planned_pages(docs.select("doc", "total_pages")).join(fresh, on, "left").join(held, on, "left")
     origin = F.when(F.col("_fresh").isNotNull(), "batch").when(F.col("_held").isNotNull(), "cache").otherwise("missing")
@@ -136,45 +150,46 @@ def assemble_with_fallback(docs: DataFrame, results: DataFrame, cache: DataFrame
 
 # --- jobs ----------------------------------------------------------------------------------------------
 def recover_jobs(lost: DataFrame, remote: DataFrame, jobs: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Find the remote batch of each lost job: earliest unclaimed batch of the same display name
-    created no more than two minutes before the job was submitted.
+    """Find the remote batch of each lost job, every batch for one job only.
+
+    Jobs of a display name choose in the order of submission (unknown times first, then by id): each takes
+    the earliest unclaimed batch of that name created no more than two minutes before it was
+    submitted. Batches without a time count as the earliest and fit every job.
 
     ``lost`` is ``job_id, display_name[, submitted_at]``, ``remote`` is ``name, display_name,
     create_time``, ``jobs`` has the claimed ``remote_name``, ``mappings`` the known ``job_id``.
-    Missing times do not rule a batch out.
+
+    The walk has a closed form: if p batches precede job number i in time, job j takes batch number
+    j + max(p - i) over the jobs up to it, a running maximum over the ordered timeline.
     """
     submitted = F.col("submitted_at") if "submitted_at" in lost.columns else T.job_submitted_at("job_id")
-    wanted = lost.select("job_id", "display_name", submitted.alias("submitted_at")).join(
-        mappings.select("job_id").distinct(), "job_id", "left_semi")
+    wanted = lost.select(F.col("job_id").cast("string").alias("job_id"), "display_name", submitted.alias("submitted_at")).join(
+        mappings.select(F.col("job_id").cast("string").alias("job_id")).distinct(), "job_id", "left_semi")
     claimed = jobs.select(F.col("remote_name").alias("name")).filter("name is not null").distinct()
     free = remote.select("name", "display_name", "create_time").join(claimed, "name", "left_anti")
-
-    # Jobs and batches in one order of name and time; each job takes the next batch after it.
-    floor = F.col("submitted_at") - F.make_dt_interval(secs=F.lit(float(K.RECOVERY_SKEW_SECONDS)))
-    none = F.lit(None).cast("string")
-    jobs_in_time = wanted.filter("submitted_at is not null").select(
-        "display_name", floor.alias("at"), F.lit(0).alias("is_batch"), F.col("job_id").cast("string").alias("id"))
-    batches_in_time = free.filter("create_time is not null").select(
-        "display_name", F.col("create_time").alias("at"), F.lit(1).alias("is_batch"), F.col("name").cast("string").alias("id"))
-    timeline = jobs_in_time.unionByName(batches_in_time)
-    found = next_in_order(
-        timeline, [F.col(c) for c in ("display_name", "at", "is_batch", "id")], F.col("is_batch") == 1,
-        F.struct("display_name", "at", "id"), "b").filter("is_batch = 0")
-    timed = found.filter(F.col("b")["display_name"] == F.col("display_name")).select(
-        F.col("id").alias("job_id"), F.col("b")["id"].alias("name"), F.col("b")["at"].alias("create_time"))
-
-    # Batches without a time count as the earliest; a job without a time takes the earliest batch.
-    stamp = F.struct(F.coalesce("create_time", F.timestamp_seconds(F.lit(0))).alias("at"), F.col("name").cast("string").alias("name"))
-    per_name = free.groupBy("display_name").agg(
-        F.min(F.when(F.col("create_time").isNull(), stamp)).alias("undated"), F.min(stamp).alias("earliest"))
-    placed = lookup(wanted.withColumn("job_id", F.col("job_id").cast("string")), per_name, "display_name").join(
-        timed, "job_id", "left")
-    outright = F.when(F.col("undated").isNotNull(), F.col("undated")["name"]).when(
-        F.col("submitted_at").isNull(), F.col("earliest")["name"])
-    chosen = F.coalesce(outright, F.col("name"))
-    at = F.when(F.col("undated").isNotNull(), F.lit(None).cast("timestamp")).when(
-        F.col("submitted_at").isNull(), F.col("earliest")["at"]).otherwise(F.col("create_time"))
-    return placed.filter(chosen.isNotNull()).select("job_id", "display_name", chosen.alias("name"), at.alias("create_time"))
+    free = free.withColumn("name", F.col("name").cast("string"))
+
+    start = F.timestamp_seconds(F.lit(0))
+    floor = F.coalesce(F.col("submitted_at") - F.make_dt_interval(secs=F.lit(float(K.RECOVERY_SKEW_SECONDS))), start)
+    numbered = number_within(wanted.select("job_id", "display_name", floor.alias("at")), "display_name", [F.col("at"), F.col("job_id")])
+    undated = number_within(free.filter("create_time is null"), "display_name", [F.col("name")]).drop("create_time")
+    first = materialise(numbered.join(undated, ["display_name", "number"], "left"), "undated")
+
+    columns = ["display_name", "at", "is_batch", "id"]
+    timeline = first.filter("name is null").select("display_name", "at", F.lit(0).alias("is_batch"), F.col("job_id").alias("id"))
+    timeline = timeline.unionByName(free.filter("create_time is not null").select(
+        "display_name", F.col("create_time").alias("at"), F.lit(1).alias("is_batch"), F.col("name").alias("id")))
+    order = [F.col(c) for c in columns]
+    counted = scan_in_order(timeline, order, position=None, sums={"batches": F.col("is_batch"), "waiting": 1 - F.col("is_batch")})
+    lead = F.when(F.col("is_batch") == 0, F.col("batches") - F.col("waiting") + 1)
+    walked = materialise(running_max(counted, order, {"best": F.struct(F.col("display_name").alias("n"), F.coalesce(lead, F.lit(-(2**62))).alias("v"))}), "walk")
+    takes = walked.filter("is_batch = 0").select(
+        F.col("id").alias("job_id"), "display_name", (F.col("waiting") - 1 + F.col("best.v")).alias("number"))
+    batches = walked.filter("is_batch = 1").select(
+        F.col("id").alias("name"), "display_name", F.col("at").alias("create_time"), (F.col("batches") - 1).alias("number"))
+    timed = takes.join(batches, ["display_name", "number"]).select("job_id", "display_name", "name", "create_time")
+    outright = first.filter("name is not null").select("job_id", "display_name", "name", F.lit(None).cast("timestamp").alias("create_time"))
+    return timed.unionByName(outright)
 
 
 def job_state(events: DataFrame) -> DataFrame:

@@ -60,6 +60,29 @@ def next_in_order(df: DataFrame, order: list, flag: Column, value: Column, out:
     return joined.select(*df.columns, F.coalesce(here, F.col("_later")).alias(out))
 
 
+def running_max(df: DataFrame, order: list, values: dict[str, Column]) -> DataFrame:
+    """Add, per entry of ``values``, the largest value at or before each row in a unique order.
+
+    Structs that begin with the first order column restart with it, as later keys are larger.
+    """
+    stored = materialise(
+        df.withColumns(values).repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "ordered")
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    tops = stored.groupBy("_slice").agg(*[F.max(n).alias(f"_t_{n}") for n in values])
+    before = tops.select("_slice", *[F.max(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in values])
+    upto = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = stored.join(F.broadcast(before), "_slice")
+    return joined.select(*df.columns, *[F.greatest(F.col(f"_b_{n}"), F.max(n).over(upto)).alias(n) for n in values])
+
+
+def number_within(df: DataFrame, key: str, order: list, out: str = "number") -> DataFrame:
+    """Add the 0-based number of each row within its key; ``order`` must be unique within a key."""
+    whole = [F.col(key), *order]
+    placed = scan_in_order(df, whole, position="_at")
+    first = running_max(placed, whole, {"_first": F.struct(F.col(key).alias("k"), (-F.col("_at")).alias("at"))})
+    return first.withColumn(out, F.col("_at") + F.col("_first.at")).drop("_at", "_first")
+
+
 def dedupe_keep_first(df: DataFrame, key: str, pos: str) -> DataFrame:
     """One row per key, the one with the smallest position (order-preserving de-duplication)."""
     others = [c for c in df.columns if c != key]

@@ -31,10 +31,7 @@ def query_pattern(query: str, match_case: bool = False, whole_word: bool = False
 
 
 def clean_query(query: str) -> str:
-    query = (query or "").strip()
-    if len(query) > K.MAX_QUERY_CHARS:
-        raise ValueError(f"query is longer than {K.MAX_QUERY_CHARS} characters")
-    return query
+    return (query or "").strip()
 
 
 def match_count(text, query: str, match_case: bool = False, whole_word: bool = False) -> Column:
@@ -113,12 +110,16 @@ def search(
     df: DataFrame, query: str, match_case: bool = False, whole_word: bool = False, max_documents: int = 100,
     max_matches: int = 5, offset: int = 0,
 ) -> DataFrame:
-    """One page of ranked results over documents ``doc, name, folder, text``; an empty query has none."""
+    """One page of ranked results over documents ``doc, name, folder, text``; an empty query has none.
+
+    The caller's limits hold as given. Only keys are ranked; the texts of the page's documents join them afterwards.
+    """
     query = clean_query(query)
-    limit = max(1, min(max_documents, K.MAX_DOCUMENTS))
-    per_document = max(1, min(max_matches, K.MAX_MATCHES))
-    found = matching(df, query or "x", match_case, whole_word)
-    page = rank_results(found if query else found.limit(0), limit, offset)
+    limit, per_document = max(1, max_documents), max(1, max_matches)
+    found = matching(df, query or "x", match_case, whole_word).select("doc", "folder", "name", "match_count")
+    ranked = rank_results(found if query else found.limit(0), limit, offset).select("doc", "match_count")
+    joined = df.join(ranked, "doc").select(*df.columns, "match_count")
+    page = joined.orderBy(F.desc("match_count"), F.lower("folder"), F.lower("name"), "doc")
     starts = page.withColumn("_starts", first_starts("text", query or "x", per_document, match_case, whole_word))
     width = len(query)
     hits = F.transform("_starts", lambda s: snippet(F.col("text"), s, s + width, page_at("text", s)))

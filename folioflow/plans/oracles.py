@@ -354,10 +354,16 @@ oracle(
       SELECT n.doc, n.page_num, coalesce(f.text, c.text, '> **[Page ' || n.page_num || ' conversion missing]**') AS text,
         CASE WHEN f.text IS NOT NULL THEN 'batch' WHEN c.text IS NOT NULL THEN 'cache' ELSE 'missing' END AS origin
       FROM n LEFT JOIN fresh f ON f.doc = n.doc AND f.page_num = n.page_num LEFT JOIN conv c ON c.doc = n.doc AND c.page_num = n.page_num AND n.page_num = 1""",
-    recover_jobs="""WITH lost AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup' AND value >= 1),
-        free AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase' AND NOT value < 5)
-      SELECT l.event_id AS job_id, l.user_id AS display_name, arg_min(f.event_id, (f.ts, f.event_id::VARCHAR)) AS name, epoch_us(min(f.ts)) AS create_micros
-      FROM lost l JOIN free f ON f.user_id = l.user_id AND f.ts >= l.ts - INTERVAL 120 SECOND GROUP BY 1, 2""",
+    recover_jobs="""WITH RECURSIVE free AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS n
+          FROM events WHERE event_type = 'purchase' AND NOT value < 5),
+        lost AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS n
+          FROM events WHERE event_type = 'signup' AND value >= 1),
+        fits AS (SELECT l.event_id, l.user_id, l.n, coalesce(min(f.n), 1000000000) AS b FROM lost l
+          LEFT JOIN free f ON f.user_id = l.user_id AND f.ts >= l.ts - INTERVAL 120 SECOND GROUP BY ALL),
+        walk AS (SELECT event_id, user_id, n, b FROM fits WHERE n = 1 UNION ALL
+          SELECT j.event_id, j.user_id, j.n, greatest(j.b, w.b + 1) FROM walk w JOIN fits j ON j.user_id = w.user_id AND j.n = w.n + 1)
+      SELECT w.event_id AS job_id, w.user_id AS display_name, f.event_id AS name, epoch_us(f.ts) AS create_micros
+      FROM walk w JOIN free f ON f.user_id = w.user_id AND f.n = w.b""",
     stream_collect_results=f"WITH {ANSWERS} SELECT 'transcriber' AS model, doc, page_num, text FROM fresh",
     progress_latest="""WITH l AS (SELECT user_id AS file, arg_max(json_extract(props, '$.k')::BIGINT, (ts, event_id)) AS k, max(ts) AS t FROM events GROUP BY 1)
       SELECT file, k AS current_page, 100::BIGINT AS total_pages, round(k / 100 * 100, 1) AS percent,

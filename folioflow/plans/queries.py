@@ -152,16 +152,26 @@ EXACT, NEAR = None, K.DEFAULT_SIMILARITY
 
 
 def _scan(spark, sf, similarity, written_labelled=False) -> tuple[D.Scan, int, DataFrame]:
-    """One stored scan per session and setting, shared by the queries that read it."""
+    """One stored scan per session, setting and version of the tables, shared by the queries that read it."""
     docs = X.corpus(spark, sf)
     targets = docs.join(X.labelled(spark, sf), "doc", "left_semi") if written_labelled else None
-    key = (spark.sparkContext.applicationId, sf, similarity, written_labelled)
+    versions = tuple(_version(spark, f"{sf}/{t}.parquet") for t in ("documents", "labels", "customer"))
+    key = (spark.sparkContext.applicationId, sf, similarity, written_labelled, versions)
     corpus = D.prepare(docs, targets, X.families(spark, sf))
     if key not in _scans:
         _scans[key] = D.scan(corpus, D.Options(unit="lines", similarity=similarity))
     return _scans[key], D.effective_threshold(corpus, K.DEFAULT_THRESHOLD), corpus
 
 
+def _version(spark, path: str) -> tuple:
+    """Time of the last change and size of a table's files: a table written anew is scanned anew."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return ()
+    return files.getFileStatus(place).getModificationTime(), files.getContentSummary(place).getLength()
+
+
 def forget_scans() -> None:
     _scans.clear()
 
@@ -492,8 +502,12 @@ def _responses(spark, sf):
             F.array(F.struct(F.lit(" ").alias("text"))))
     reason = F.when(spoke, "STOP").when(F.length("text") % 2 == 0, "RECITATION")
     answer = F.struct(F.array(F.struct(reason.alias("finishReason"), F.struct(parts.alias("parts")).alias("content"))).alias("candidates"))
-    lines = pages.select("doc", "page_num", key.alias("key"), F.to_json(F.struct(key.alias("key"), answer.alias("response"))).alias("line"))
-    parsed = lines.select(F.from_json("line", L.RESPONSE_SCHEMA).alias("r")).select("r.*")
+    lines = pages.select("doc", "page_num", "role", key.alias("key"), F.to_json(F.struct(key.alias("key"), answer.alias("response"))).alias("line"))
+    # Every other assistant turn was answered once before, with another text.
+    old = F.regexp_replace("line", '"text":"', '"text":"superseded ')
+    earlier = lines.filter("role = 'assistant' and page_num % 2 = 0").select(old.alias("line"), F.lit(0).alias("seq"))
+    delivered = lines.select("line", F.lit(1).alias("seq")).unionByName(earlier)
+    parsed = delivered.select(F.from_json("line", L.RESPONSE_SCHEMA).alias("r"), "seq").select("r.*", "seq")
     return parsed, lines.select("key", "doc", "page_num")
 
 

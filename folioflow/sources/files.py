@@ -138,9 +138,14 @@ def write_batch_requests(requests: DataFrame, lines_path: str, mapping_path: str
 
 
 def read_batch_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response lines; a line that is no JSON has a NULL key."""
-    return spark.read.schema(RESPONSE_SCHEMA).option("mode", "PERMISSIVE").option(
+    """Response lines; a line that is no JSON has a NULL key. ``seq`` grows with the place of a line in
+    its file, and with the time of the file."""
+    lines = spark.read.schema(RESPONSE_SCHEMA).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    file = F.col("_metadata")
+    return lines.withColumn("seq", F.struct(
+        file["file_modification_time"].alias("modified"), file["file_path"].alias("path"), file["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("line")))
 
 
 # --- results ---------------------------------------------------------------------------------------------

@@ -50,7 +50,7 @@ def collect_stream(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        pages = collect_results(batch, mapping).groupBy("doc", "page_num").agg(F.max("text").alias("text"))
+        pages = collect_results(batch, mapping).select("doc", "page_num", "text")
         pages.withColumns({"model": F.lit(model), "batch_id": F.lit(batch_id)}).write.mode("overwrite").parquet(
             f"{cache_path}/batch={batch_id:012d}")
         blocked_pages(batch, mapping).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(

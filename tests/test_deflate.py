@@ -140,4 +140,9 @@ def test_company_names_three_ways(spark):
         out = D.with_names(docs, names, **kwargs).select("doc", T.replace_names("text", F.col("_names")).alias("t"))
         masked.append({r.doc: r.t for r in out.collect()})
     assert masked[0] == masked[1] == masked[2]
+    inside = spark.createDataFrame([("Acme",), ("COMP",), ("Acme Holdings",)], "name string")
+    given = spark.createDataFrame([(1, "Acme pays. Acme Holdings pays.")], "doc int, text string")
+    for kwargs in ({}, {"inline": 1}, {"inline": 1, "shared_bytes": 0}):
+        out = D.with_names(given, inside, **kwargs).select(T.replace_names("text", F.col("_names")).alias("t")).first()
+        assert out.t == "{COMPANY} pays. {COMPANY} pays."
     assert masked[0][1] == "{COMPANY} and {COMPANY}" and masked[0][3] == "x{COMPANY}x {COMPANY}"

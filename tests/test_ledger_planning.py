@@ -72,6 +72,28 @@ def test_job_recovery(spark):
     assert got == {"batch_20260822_133838": "near", "odd": "b1", "batch_20260822_133900": "c"}
 
 
+def test_each_batch_recovers_one_job(spark):
+    t = datetime(2026, 8, 22, 10, 0, 0)
+    lost = spark.createDataFrame([(f"j{i}", "p", t + timedelta(minutes=i)) for i in range(5)] + [("k", "q", t)], "job_id string, display_name string, submitted_at timestamp")
+    remote = spark.createDataFrame(
+        [("b0", "p", t + timedelta(seconds=10)), ("b1", "p", t + timedelta(seconds=70)), ("b2", "p", t + timedelta(hours=1)), ("x", "q", t - timedelta(hours=1))],
+        "name string, display_name string, create_time timestamp")
+    none = spark.createDataFrame([], "remote_name string")
+    got = {r.job_id: r.name for r in L.recover_jobs(lost, remote, none, lost.select("job_id")).collect()}
+    assert got == {"j0": "b0", "j1": "b1", "j2": "b2"}
+
+
+def test_last_delivery_of_a_page_counts(spark):
+    schema = "key string, response struct<candidates:array<struct<content:struct<parts:array<struct<text:string>>>,finishReason:string>>>, seq int"
+    rows = [("k", ([(([(t,)],), "STOP")],), n) for n, t in enumerate(("old", "new", ""))]
+    responses = spark.createDataFrame(rows, schema)
+    mapping = spark.createDataFrame([("k", "d", 1)], "key string, doc string, page_num bigint")
+    assert [r.text for r in L.collect_results(responses, mapping).collect()] == ["new"]
+    cache = spark.createDataFrame([("m", "d", 1, "a", 1), ("m", "d", 1, "b", 2)], "model string, doc string, page_num bigint, text string, converted int")
+    docs = spark.createDataFrame([("d", 1)], "doc string, total_pages int")
+    assert [r.text for r in L.fill_pages(docs, L.collect_results(responses, mapping).limit(0), cache, "m").collect()] == ["b"]
+
+
 def test_scans_in_order(spark):
     rng = random.Random(1)
     values = [(i, rng.randint(0, 9)) for i in range(500)]
