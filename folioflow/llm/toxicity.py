@@ -160,7 +160,7 @@ def learn_insults(rows: DataFrame, o: ToxicityOptions) -> frozenset:
     """
 
     def run(frames):
-        toxic_parts, clean = set(), Counter()
+        toxic_parts, held, clean = set(), Counter(), Counter()
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 words, found = TOKEN.findall(text.lower()), {}
@@ -169,19 +169,23 @@ def learn_insults(rows: DataFrame, o: ToxicityOptions) -> frozenset:
                         for k in o.beginnings:
                             if k <= len(w):
                                 found.setdefault(w[:k], before)
-                toxic_parts.update(found.items()) if toxic else clean.update(found.keys())
-        yield pd.DataFrame({"part": [p for p, _ in toxic_parts], "before": [b for _, b in toxic_parts], "neg": 0}).astype({"part": "str", "before": "str"})
-        yield pd.DataFrame({"part": list(clean), "before": None, "neg": list(clean.values())}).astype({"part": "str", "neg": "int64"})
-
-    sums = (rows.mapInPandas(run, "part string, before string, neg long").groupBy("part", "before").agg(F.sum("neg").alias("neg"))
-            .groupBy("part").agg(F.count("before").alias("pos"), F.sum("neg").alias("neg")))
+                if toxic:
+                    toxic_parts.update(found.items())
+                (held if toxic else clean).update(found.keys())
+        yield pd.DataFrame({"part": [p for p, _ in toxic_parts], "before": [b for _, b in toxic_parts], "docs": 0, "neg": 0}).astype({"part": "str", "before": "str"})
+        for counts, column, other in ((held, "docs", "neg"), (clean, "neg", "docs")):
+            yield pd.DataFrame({"part": list(counts), "before": None, column: list(counts.values()), other: 0}).astype({"part": "str", column: "int64"})
+
+    sums = (rows.mapInPandas(run, "part string, before string, docs long, neg long")
+            .groupBy("part", "before").agg(F.sum("docs").alias("docs"), F.sum("neg").alias("neg"))
+            .groupBy("part").agg(F.count("before").alias("pos"), F.sum("docs").alias("docs"), F.sum("neg").alias("neg")))
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     base = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     # Log likelihood ratio of the rows with the part against all rows: far above chance for any number of parts.
     n, pos, neg = F.col("pos") + F.col("neg"), F.col("pos"), F.col("neg")
     ratio = pos * F.log(pos / (n * base)) + F.when(neg > 0, neg * F.log(neg / (n * (1 - base)))).otherwise(0.0)
     keen = sums.filter((pos >= 5) & (pos >= 3 * neg)).withColumn("r", ratio).filter(F.col("r") >= o.evidence)
-    count = {r["part"]: r["pos"] for r in keen.orderBy(F.desc("r"), "part").limit(o.most_insults).collect()}
+    count = {r["part"]: r["docs"] for r in keen.orderBy(F.desc("r"), "part").limit(o.most_insults).collect()}
     # Of a beginning and its continuation that covers nearly the same rows, the longer one; then none inside another.
     covered = {p[:k] for p, c in count.items() for k in range(1, len(p)) if c >= 0.95 * count.get(p[:k], 1 << 60)}
     kept: set[str] = set()
