@@ -60,7 +60,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     store = Store(docs.sparkSession, "lines")
     gone = store.save(removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), store, run), "removals")
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
-    with_gone = docs.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), "left")
+    # The same join at every size: removals are broadcast nowhere.
+    with_gone = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), "left")
     lines = F.split("text", "\n")
     # Bounds of the kept stretches: before, between and after the deleted lines.
     bounds = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
