@@ -38,8 +38,8 @@ class CollisionOptions:
     """
 
     cosine: float = 0.95
-    sorted_lines: int = 6
-    lines: int = 24
+    sorted_lines: int = 3
+    lines: int = 14
     miss: float = 0.001
     block_rows: int = 4096
     seed: int = 11
@@ -207,6 +207,7 @@ def near_duplicates(table: DataFrame, options: CollisionOptions | None = None, i
         classes.select("v", "c", F.col("cid").alias("id")).join(degree, "id", "left")
         .join(labels.withColumnRenamed("node", "id"), "id", "left")
         .select("v", (F.col("c") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")), "by_class")
+    store.keep(vectors, by_class)
     linked = valid.join(by_class, "v").select("id", "n_links", "component")
     rest = vectors.filter(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(rest).select(
