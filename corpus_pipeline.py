@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_components(docs.select("doc_id", "text"), JoinOptions(words=5, percent=80))
     stay = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id").dropDuplicates(["doc_id"])
+    kept = docs.join(stay.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
 
 

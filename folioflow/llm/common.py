@@ -22,12 +22,13 @@ class Store:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{checkpoint_dir(spark)}/folioflow/{label}-{uuid.uuid4().hex}"
-        self.number = 0
+        self.number, self.paths = 0, set()
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         self.number += 1
         path = f"{self.root}/{self.number}-{label}"
         df.write.parquet(path)
+        self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.stored_path = path
         return out
@@ -35,10 +36,19 @@ class Store:
     def drop(self, *frames: DataFrame | None) -> None:
         """Delete tables of this store that nothing reads any more."""
         for df in frames:
-            if df is not None and hasattr(df, "stored_path"):
+            if df is not None and getattr(df, "stored_path", None) in self.paths:
+                self.paths.remove(df.stored_path)
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all tables of this store but those that the result still reads."""
+        kept = {df.stored_path for df in frames}
+        for place in sorted(self.paths - kept):
+            self.paths.remove(place)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 class WordHashes(dict):
     """Remembers the 64-bit hash of each word (bytes); forgets all when it holds ``bound`` words."""
@@ -84,13 +94,12 @@ def components(edges: DataFrame, store: Store, a: str = "a", b: str = "b", round
             break
         mark = tuple(seen)
         both = now.union(now.select("v", "u"))
-        low = store.save(both.groupBy("u").agg(F.min("v").alias("m")), "low")
-        low = low.select("u", F.least("u", "m").alias("m"))
+        low = store.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
         large = store.save(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         low2 = store.save(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         moved = large.join(low2, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = store.save(moved.union(low2.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        store.drop(now, large)
+        store.drop(now, low, large, low2)
         now = after
     stars = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -347,6 +347,8 @@ def extract_text(pages: DataFrame, options: ExtractOptions | None = None) -> Dat
                 blocks = leaf_blocks(page if isinstance(page, str) else None)
                 texts.append("\n".join(b.text for b, y in zip(blocks, field.decode(features(blocks))) if y))
                 counts.append(len(blocks))
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_blocks": counts})
+            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_blocks": counts})
 
-    return pages.mapInPandas(run, "page_id long, url string, text string, n_chars long, n_blocks long")
+    # Ids go as text: pandas would make floats of numbers with nulls among them.
+    out = pages.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(run, "page_id string, url string, text string, n_chars long, n_blocks long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))

@@ -156,6 +156,7 @@ def learn(docs: DataFrame, store: Store, o: LanguageOptions) -> Model | None:
 
     sums = store.save(rows.mapInPandas(run, "part string, lang string, n long").groupBy("part", "lang").agg(F.sum("n").alias("n")), "counts")
     kept = sums.orderBy(F.expr("case when part like '#%' then 0 else 1 end"), F.desc("n"), "part", "lang").limit(o.most_features).collect()
+    store.keep()
     if not kept:
         return None
     languages = sorted({r["lang"] for r in kept})
@@ -171,7 +172,7 @@ def identify(docs: DataFrame, options: LanguageOptions | None = None) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"))
     model = learn(docs, store, o)
-    schema = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int,letters:int>>"
+    schema = "doc_id string, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int,letters:int>>"
 
     def run(frames):
         known = WordScores(model) if model else None
@@ -196,8 +197,9 @@ def identify(docs: DataFrame, options: LanguageOptions | None = None) -> DataFra
                 spans[doc[a]].append({"lang": model.languages[labels[a]], "first": int(a - starts[doc[a]]), "words": int(b - a), "letters": int(sums[b] - sums[a])})
             best = share.argmax(axis=1)
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].to_numpy(), "lang_pred": [model.languages[b] if n else UNKNOWN for b, n in zip(best, total)],
+                "doc_id": frame["doc_id"].to_numpy(dtype=object), "lang_pred": [model.languages[b] if n else UNKNOWN for b, n in zip(best, total)],
                 "score": np.where(total > 0, share[np.arange(len(texts)), best] / np.maximum(total, 1), 0.0), "spans": spans})
 
-    out = docs.select("doc_id", "text").mapInPandas(run, schema)
-    return out.withColumn("held_out", F.coalesce(crc_mod("doc_id", o.folds) == o.held_out, F.lit(False)))
+    # Ids go as text: pandas would make floats of numbers with nulls among them.
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", F.coalesce(crc_mod("doc_id", o.folds) == o.held_out, F.lit(False)))

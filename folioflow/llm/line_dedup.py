@@ -59,6 +59,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``docs`` with its lines cleaned, and n_lines, n_removed (names of the input that clash are replaced)."""
     store = Store(docs.sparkSession, "lines")
     gone = store.save(removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), store, run), "removals")
+    store.keep(gone)
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
     # The same join at every size: removals are broadcast nowhere.
     with_gone = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), "left")

@@ -109,6 +109,7 @@ def nearest(table: DataFrame, is_query, options: IndexOptions | None = None, id_
     pivots = np.unique(np.array([r["v"] for r in fitted]), axis=0)
     prefix = min(o.prefix, len(pivots))
     index = store.save(permutations(vectors, pivots, o), "index")
+    store.keep(index)
     n = index.count()
     queries = index.filter(is_query(F.col("id")))
     shards, blocks = -(-n // o.shard_rows), max(1, -(-queries.count() // o.query_rows))

@@ -224,6 +224,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, options: ToxicityOptions
             yield pd.DataFrame({"f": [clause_features(t, symbols, machine) for t in frame["text"]], "toxic": frame["toxic"]})
 
     fitted = rows.mapInPandas(features, "f array<double>, toxic int").collect()  # at most train_rows short rows
+    store.keep()
     x, y = np.array([r["f"] for r in fitted]).reshape(-1, width), np.array([r["toxic"] for r in fitted], dtype=float)
     w = fit_logistic(x, y) if len(fitted) else np.array([1.0] * width + [-3.0])
 
