@@ -6,10 +6,13 @@ their hash. Two sets of at least the wanted Jaccard similarity share at least ``
 Every document chooses its ``l`` by the estimated cost of its candidates: longer prefixes cost more
 list entries but ask for more shared ones. Of a pair, the larger set probes with its own ``l``.
 
-Equal sets are one node from the start. Lists of prefix shingles that stay crowded are first joined by
-leaders: each member is compared with one leader, components are contracted, and only pairs between
-different components remain, so copies are never expanded into all pairs. Every pair of different
-components that passes the prefix test is verified on the whole sets, so no link is lost.
+Equal sets are one node from the start. Lists of at most ``crowded`` sets are compared pair by pair. A
+longer list elects its most central set as leader, and every member is compared with the leader
+only. Members linked to it form one component. For the others, two sets x and y of a list are linked only if their
+differences from the leader differ little: |x ^ y| = |(x ^ leader) ^ (y ^ leader)| <= n * (100 - p) / p. So the
+differences are joined by prefixes of their own, under keys of leader and shingle, and long lists of these go
+on in the same way. A group of copies costs work in proportion to its size, is never expanded into all
+pairs, and no link between different components is lost.
 
 Edge cases: a null or wordless text has an empty set and links with nothing; a text with fewer words
 than a shingle is one shingle; rows that repeat a doc_id are one document, whose set is the smallest by
@@ -37,18 +40,18 @@ STEP, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 class JoinOptions:
     """``percent``: link if 100 * intersection >= percent * union. ``most_shared``: largest ``l``.
 
-    The rest shapes the plan, never the result: lists longer than ``crowded`` go through leaders for up
-    to ``leader_rounds`` rounds; ``common_share`` is the share of documents from which a shingle is
-    ordered last, of which at most ``common_bound`` are sent to the executors (8 bytes each).
+    The rest shapes the plan, never the result: lists longer than ``crowded`` go through leaders, for at
+    most ``leader_rounds`` rounds, after which they are compared pair by pair; ``common_share`` is the share of documents from which a
+    shingle is ordered last, of which at most ``common_bound`` are sent to the executors (8 bytes each).
     """
 
     words: int = 3
     percent: int = 90
     most_shared: int = 4
-    crowded: int = 32
+    crowded: int = 100
     leader_rounds: int = 6
-    common_share: float = 1 / 400
-    common_bound: int = 200_000
+    common_share: float = 1 / 2000
+    common_bound: int = 400_000
 
 
 def needed(n, percent: int):
@@ -101,16 +104,18 @@ def describe(texts: DataFrame, o: JoinOptions) -> DataFrame:
         for frame in chunks(frames, 4000):
             sets = shingler.sets(frame["text"])
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "n": [len(s) for s in sets],
-                "sig": [signature(s) if len(s) else None for s in sets], "token": None, "seen": None,
-            }).astype({"sig": "Int64", "token": "Int64", "seen": "Int64"})
+                "doc_id": frame["doc_id"], "n": [len(s) for s in sets],
+                "sig": [signature(s) if len(s) else 0 for s in sets], "token": None, "seen": None,
+            }).astype({"token": "Int64", "seen": "Int64"})
             values, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
             keep = seen >= max(3, len(sets) * o.common_share / 2)
             yield pd.DataFrame({
                 "doc_id": None, "n": None, "sig": None, "token": values[keep].view(np.int64), "seen": seen[keep],
-            }).astype({"doc_id": "Int64", "n": "Int64", "sig": "Int64"})
+            }).astype({"doc_id": "str", "n": "Int64", "sig": "Int64"})
 
-    return texts.mapInPandas(run, "doc_id long, n long, sig long, token long, seen long")
+    # Ids go as text: pandas would make floats of numbers with nulls among them.
+    out = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, n long, sig long, token long, seen long")
+    return out.withColumn("doc_id", F.expr("try_cast(doc_id as bigint)"))
 
 
 def prefixes(texts: DataFrame, common: np.ndarray, o: JoinOptions) -> DataFrame:
@@ -146,32 +151,79 @@ def prefixes(texts: DataFrame, common: np.ndarray, o: JoinOptions) -> DataFrame:
     return texts.mapInPandas(run, "token long, n int, sig long, level int")
 
 
+def repeated_only(listed: DataFrame) -> DataFrame:
+    """Rows of shingles with at least two different sets; ``listed`` is dealt and sorted by shingle.
+
+    The rows of the last shingle of a batch wait for the next batch, unless it is known to repeat.
+    """
+
+    def run(frames):
+        wait, known = None, None
+        for frame in frames:
+            if wait is not None and len(wait):
+                frame = pd.concat([wait, frame], ignore_index=True)
+            token, sig = frame["token"].to_numpy(), frame["sig"].to_numpy()
+            if not len(token):
+                continue
+            cut = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
+            several = np.minimum.reduceat(sig, cut) < np.maximum.reduceat(sig, cut)
+            several |= token[cut] == known if known is not None else False
+            last = token[-1]
+            keep = np.repeat(several, np.diff(np.append(cut, len(token))))
+            known = last if several[-1] else None
+            wait = frame.iloc[cut[-1] :] if not several[-1] else None
+            yield frame[keep]
+
+    return listed.mapInPandas(run, "token long, n int, sig long, level int")
+
+
 def stored_sets(texts: DataFrame, o: JoinOptions) -> DataFrame:
-    """(id, sig, grams): the sorted hashes of whole sets, six bytes each."""
+    """(id, grams, bits): the sorted hashes of whole sets, six bytes each, of rows whose signature is ``sig``.
+
+    ``bits`` holds the parities of 512 classes of hashes. Two sets differ by at least as many members as
+    their parities differ, which rules out most pairs below the threshold without their sets.
+    """
 
     def run(frames):
         shingler = Shingler(o.words)
         for frame in chunks(frames, 2000):
             sets = shingler.sets(frame["text"])
-            yield pd.DataFrame({
-                "id": frame["doc_id"], "sig": [signature(s) if len(s) else 0 for s in sets],
-                "grams": [packed(s) for s in sets]})
+            own = np.array([len(s) > 0 and signature(s) == sig for s, sig in zip(sets, frame["sig"])], dtype=bool)
+            sets = [s for s, k in zip(sets, own) if k]
+            yield pd.DataFrame({"id": frame["doc_id"][own], "grams": [packed(s) for s in sets], "bits": [parities(s) for s in sets]})
+
+    return texts.select("doc_id", "text", "sig").mapInPandas(run, "id long, grams binary, bits array<long>")
 
-    return texts.mapInPandas(run, "id long, sig long, grams binary")
+
+def parities(s: np.ndarray) -> list[int]:
+    odd = (np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def packed(s: np.ndarray) -> bytes:
     return np.sort(s & SIX_BYTES).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
+def unpacked(grams: bytes) -> np.ndarray:
+    wide = np.zeros((len(grams) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(grams, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
 def overlap(a: bytes, b: bytes) -> int:
-    x, y = (np.frombuffer(v, np.uint8).reshape(-1, 6) for v in (a, b))
-    wide = np.zeros((len(x) + len(y), 8), np.uint8)
-    wide[: len(x), :6], wide[len(x) :, :6] = x, y
-    both = np.sort(wide.view(np.uint64).ravel(), kind="stable")
+    both = np.sort(np.concatenate([unpacked(a), unpacked(b)]), kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
 
+def plausible(pairs: DataFrame, bits: DataFrame, o: JoinOptions) -> DataFrame:
+    """Pairs (a, b) whose parities differ by no more than linked sets of their sizes may."""
+    x = bits.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("x"))
+    y = bits.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("y"))
+    apart = sum(F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(8))
+    most = (F.col("nx") + F.col("ny")) * (100 - o.percent)  # |x ^ y| * (100 + p) <= (|x| + |y|) * (100 - p)
+    return pairs.join(x, "a").join(y, "b").filter(apart * (100 + o.percent) <= most).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
     """The pairs (a, b) that are linked, tested on whole sets."""
 
@@ -188,19 +240,95 @@ def verified(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def against_leaders(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
+    """Members ``a`` against leaders ``b``: links (linked, key null) and prefixes of the differences (key).
+
+    A difference that is no larger than linked sets may differ by can go with one it shares nothing
+    with; it stands in the leader's own list (the shingle zero) too.
+    """
+
+    def run(frames):
+        for frame in chunks(frames, 2000):
+            a, b, linked, key = [], [], [], []
+            for i, lead, x, y in zip(frame["a"], frame["b"], frame["x"], frame["y"]):
+                both = np.sort(np.concatenate([unpacked(x), unpacked(y)]), kind="stable")
+                once = np.ones(len(both), bool)
+                same = both[1:] == both[:-1]
+                once[1:] &= ~same
+                once[:-1] &= ~same
+                nx, ny, shared = len(x) // 6, len(y) // 6, int(same.sum())
+                if 100 * shared >= o.percent * (nx + ny - shared):
+                    a.append(i), b.append(lead), linked.append(True), key.append(0)
+                apart, may = both[once], nx * (100 - o.percent) // o.percent
+                tokens = apart[: may + 1]
+                if len(apart) <= may:
+                    tokens = np.append(tokens, np.uint64(0))
+                keys = mixed(tokens + np.uint64((int(lead) * STEP) & MASK)).view(np.int64)
+                a += [i] * len(keys)
+                b += [lead] * len(keys)
+                linked += [False] * len(keys)
+                key += keys.tolist()
+            yield pd.DataFrame({"a": a, "b": b, "linked": linked, "key": key}).astype({"a": "int64", "b": "int64", "linked": "bool", "key": "int64"})
+
+    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, linked boolean, key long")
+
+
 def choose_shared(postings: DataFrame, o: JoinOptions) -> DataFrame:
-    """(id, l): the prefix with the least estimated cost.
+    """(id, n, l, central, crowds): the prefix with the least estimated cost, and where the set stands.
 
     ``l``-prefixes of list entries E have at most E / l partners with l shared shingles (Markov); a
-    list entry costs one unit, verifying a partner its share of the set.
+    list entry costs one unit, verifying a partner its share of the set. ``central`` is the mean number
+    of partners of a prefix shingle, ``crowds`` the number of shingles of the chosen prefix in crowded lists.
     """
     levels = range(1, o.most_shared + 1)
     sums = postings.groupBy("id").agg(
-        F.first("n").alias("n"), *[F.sum(F.when(F.col("level") <= l, F.col("df") - 1)).alias(f"e{l}") for l in levels])
+        F.first("n").alias("n"), F.sum(F.col("df") - 1).alias("partners"),
+        *[F.sum(F.when(F.col("level") <= l, F.col("df") - 1)).alias(f"e{l}") for l in levels],
+        *[F.count(F.when((F.col("level") <= l) & (F.col("df") > o.crowded), 1)).alias(f"c{l}") for l in levels])
     ask = F.floor((F.col("n") * o.percent + 99) / 100)
-    cost = [F.struct((F.coalesce(F.col(f"e{l}"), F.lit(0)) * (1 + (F.col("n") / 8 + 4) / l)).alias("cost"), F.lit(l).alias("l")) for l in levels]
+    cost = [F.struct((F.coalesce(F.col(f"e{l}"), F.lit(0)) * (1 + (F.col("n") / 8 + 4) / l)).alias("cost"), F.lit(l).alias("l"),
+                     F.col(f"c{l}").alias("crowds")) for l in levels]
     allowed = F.filter(F.array(*cost), lambda c: (c["l"] <= ask) | (c["l"] == 1))
-    return sums.select("id", F.array_min(allowed)["l"].alias("l"))
+    best = sums.withColumn("best", F.array_min(allowed))
+    return best.select("id", "n", F.col("best.l").alias("l"), (F.col("partners") / F.col("n")).alias("central"), F.col("best.crowds").alias("crowds"))
+
+
+def cross_pairs(lists: DataFrame, o: JoinOptions) -> DataFrame:
+    """Pairs (a, b) of different components and fitting sizes that share a list."""
+    x, y = (lists.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "xy")
+    larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
+    met = x.join(y, "key").filter(larger & (F.col("component_x") != F.col("component_y")) & (F.col("n_y") * 100 >= F.col("n_x") * o.percent))
+    return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+
+
+def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, store: Store, o: JoinOptions):
+    """Crowded lists (key, id): links found with leaders, labels of their components, pairs still to verify."""
+    links, labels, pairs, rounds = None, None, None, 0
+    few_pairs = lists.count() * 2
+    while True:
+        entries = store.save(with_label(lists.join(about, "id"), labels), "entries")
+        sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                           F.max(F.struct("central", "id")).alias("lead"))
+        sizes = store.save(sizes.filter("lo < hi").select("key", "g", F.col("lead.id").alias("lead")), "sizes")
+        big = sizes.filter(F.col("g") > o.crowded)
+        left = big.agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0))).first()[0]
+        final = rounds == o.leader_rounds or left <= few_pairs
+        small = sizes if final else sizes.filter(F.col("g") <= o.crowded)
+        if rounds or (final and left):
+            few = store.save(cross_pairs(entries.join(small.select("key"), "key"), o), "pairs")
+            pairs = few if pairs is None else pairs.union(few)
+        if final:
+            return links, labels, pairs
+        rounds += 1
+        met = entries.join(big.select("key", "lead"), "key").filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+        seen = store.save(against_leaders(store.save(met, "met"), sets, o), "seen")
+        found = seen.filter("linked").select("a", "b")
+        links = found if links is None else links.union(found)
+        labels = store.save(components(links, store), "labels")
+        lists = seen.filter("not linked").select("key", F.col("a").alias("id")).distinct()
+        store.drop(entries, sizes)
 
 
 def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> DataFrame:
@@ -224,61 +352,47 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     classes = store.save(chosen.groupBy("n", "sig").agg(F.min("doc_id").alias("id")), "classes")
 
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    listed = prefixes(texts, common, o).repartition(width, "token")
-    shared = (listed.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
-              .filter("lo < hi").select("token"))
-    hits = listed.join(shared, "token").groupBy("token", "n", "sig").agg(F.min("level").alias("level"))
+    listed = repeated_only(prefixes(texts, common, o).repartition(width, "token").sortWithinPartitions("token"))
+    hits = listed.groupBy("token", "n", "sig").agg(F.min("level").alias("level"))
     hits = store.save(hits.withColumn("n", F.col("n").cast("long")), "hits").join(classes, ["n", "sig"])
     hits = store.save(hits.select("token", "id", "n", "level"), "hits")
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     postings = store.save(hits.join(store.save(df, "df"), "token"), "postings")
-    shared_l = store.save(choose_shared(postings, o), "l")
-    wanted = shared_l.select("id").join(classes.select("id", "sig"), "id")
-    sets = stored_sets(texts.join(wanted.select(F.col("id").alias("doc_id")), "doc_id"), o).dropDuplicates(["id", "sig"])
-    sets = store.save(sets.join(wanted, ["id", "sig"]), "sets")
-
-    links, labels = None, None
-    n_postings = postings.count()
-    for turn in range(o.leader_rounds):
-        crowded = postings.filter(F.col("df") > o.crowded)
-        crowded = with_label(crowded, labels)
-        sizes = crowded.groupBy("token", "component").agg(F.count(F.lit(1)).alias("g"))
-        left = sizes.groupBy("token").agg(F.sum("g").alias("all"), F.sum(F.col("g") * F.col("g")).alias("same"))
-        open_tokens = store.save(left.filter(F.col("all") * F.col("all") > F.col("same")), "open")
-        cross = open_tokens.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
-        if cross <= 8 * n_postings:
-            break
-        live = crowded.join(open_tokens.select("token"), "token")
-        order = F.xxhash64("id", F.lit(turn))
-        lead = store.save(live.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "component")).alias("b"))
-                          .select("token", F.col("b.id").alias("lead"), F.col("b.n").alias("ln"), F.col("b.component").alias("lc")), "lead")
-        met = live.join(lead, "token").filter(
-            (F.col("component") != F.col("lc")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * o.percent))
-        pairs = (met.groupBy("id", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("id")
-                 .agg(F.max(F.struct("c", F.col("lead").alias("lead"))).alias("b"))
-                 .select(F.col("id").alias("a"), F.col("b.lead").alias("b")))
-        found = store.save(verified(store.save(pairs, "pairs"), sets, o), "links")
-        links = found if links is None else links.union(found)
-        labels = store.save(components(links, store), "labels")
-
-    entries = with_label(postings.join(shared_l, "id"), labels)
-    x, y = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "level", "component", "l")]) for s in "xy")
+    about = store.save(choose_shared(postings, o), "about")
+    wanted = about.select("id").join(classes.select("id", "sig"), "id").withColumnRenamed("id", "doc_id")
+    sets = store.save(stored_sets(texts.join(wanted.hint("merge"), "doc_id"), o), "sets")
+    bits = sets.select("id", "bits").dropDuplicates(["id"]).join(about.select("id", "n"), "id")
+    bits = store.save(bits, "bits")
+
+    crowds = postings.filter(F.col("df") > o.crowded).select(F.col("token").alias("key"), "id")
+    links, labels, pairs = through_leaders(crowds, about.select("id", "n", "central"), sets, store, o)
+
+    # Lists that are not crowded: shared shingles of the prober's prefix, less what crowded lists may add.
+    entries = with_label(postings.filter(F.col("df") <= o.crowded).drop("n").join(about, "id"), labels)
+    x, y = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "level", "component", "l", "crowds")]) for s in "xy")
     larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
     met = x.join(y, "token").filter(
         larger & (F.col("component_x") != F.col("component_y")) & (F.col("n_y") * 100 >= F.col("n_x") * o.percent)
         & (F.col("level_x") <= F.col("l_x")) & (F.col("level_y") <= F.col("l_x")))
-    pairs = met.groupBy("id_x", "id_y").agg(F.count(F.lit(1)).alias("c"), F.first("l_x").alias("l")).filter("c >= l")
-    found = store.save(verified(store.save(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")), "pairs"), sets, o), "links")
+    few = met.groupBy("id_x", "id_y").agg(F.count(F.lit(1)).alias("c"), F.first("l_x").alias("l"), F.first("crowds_x").alias("k"))
+    few = few.filter(F.col("c") >= F.greatest(F.lit(1), F.col("l") - F.col("k"))).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+    pairs = few if pairs is None else few.union(pairs).distinct()
+    pairs = store.save(plausible(store.save(pairs, "pairs"), bits, o), "plausible")
+    found = store.save(verified(pairs, sets, o), "links")
     links = found if links is None else links.union(found)
+    links = links.distinct()  # a repeated row has its set twice
     joined = store.save(components(links, store), "labels")
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     by_class = (classes.join(joined.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
                 .select("n", "sig", F.coalesce("component", "id").alias("component_id"), F.coalesce("k", F.lit(0)).alias("k")))
     by_class = store.save(by_class, "classes")
     by_doc = store.save(chosen.join(by_class, ["n", "sig"]), "members")
-    return rows.select("doc_id", F.col("n").alias("own")).join(by_doc, "doc_id", "left").select(
+    out = rows.select("doc_id", F.col("n").alias("own")).join(by_doc, "doc_id", "left").select(
         "doc_id", F.coalesce("n", "own").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("k", F.lit(0)).alias("n_links_found"))
+    out = store.save(out, "result")
+    store.keep(out)
+    return out
 
 
 def with_label(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
