@@ -19,6 +19,7 @@ one doc_id are one document, each cleaned by its own words; a null doc_id is nei
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -128,15 +129,15 @@ def whole_windows(docs: DataFrame, o: SubstringOptions) -> DataFrame:
         reader = Reader()
         for frame in chunks(frames, 500):
             parts = []
-            for doc, text, runs in zip(frame["doc_id"], frame["text"], frame["runs"]):
+            for doc, text, segs, ss, es in zip(*(frame[c] for c in ("doc_id", "text", "seg", "s", "e"))):
                 words = reader.words(text)
                 if len(words) < o.window:
                     continue
                 rolling = Rolling(reader.hashed(words), reader.powers)
-                for r in runs:
-                    if own(rolling, r["s"], r["e"], r["seg"], o):
-                        i = np.arange(r["s"], r["e"] + 1)
-                        parts.append((rolling.slices(i, i + o.window).view(np.int64), np.full(len(i), r["seg"]), np.full(len(i), doc), i, i - r["s"]))
+                held = own(rolling, ss, es, segs, o)
+                for seg, s, e in zip(segs[held], ss[held], es[held]):
+                    i = np.arange(s, e + 1)
+                    parts.append((rolling.slices(i, i + o.window).view(np.int64), np.full(len(i), seg), np.full(len(i), doc), i, i - s))
             if parts:
                 key, seg, doc, s, at = (np.concatenate(c) for c in zip(*parts))
                 yield pd.DataFrame({"key": key, "seg": seg, "doc": doc, "s": s.astype(np.int32), "at": at.astype(np.int32)})
@@ -144,11 +145,11 @@ def whole_windows(docs: DataFrame, o: SubstringOptions) -> DataFrame:
     return docs.mapInPandas(run, "key long, seg long, doc long, s int, at int")
 
 
-def own(rolling: Rolling, s: int, e: int, seg: int, o: SubstringOptions) -> bool:
-    """Whether a run found in a document of this id lies in this text."""
-    if e + o.window >= len(rolling.sums):
-        return False
-    return int(rolling.slices(np.array([s]), np.array([e + o.window])).view(np.int64)[0]) == seg
+def own(rolling: Rolling, s: np.ndarray, e: np.ndarray, seg: np.ndarray, o: SubstringOptions) -> np.ndarray:
+    """Which runs found in documents of this id lie in this text."""
+    end = np.minimum(e + o.window, len(rolling.sums) - 1)
+    start = np.minimum(s, end)
+    return (rolling.slices(start, end).view(np.int64) == seg) & (end == e + o.window)
 
 
 def segment_words(docs: DataFrame, o: SubstringOptions) -> DataFrame:
@@ -158,15 +159,14 @@ def segment_words(docs: DataFrame, o: SubstringOptions) -> DataFrame:
         reader = Reader()
         for frame in chunks(frames, 500):
             rows = []
-            for doc, text, runs in zip(frame["doc_id"], frame["text"], frame["runs"]):
+            for doc, text, keys, segs, ats, ss, es in zip(*(frame[c] for c in ("doc_id", "text", "key", "seg", "at", "s", "e"))):
                 words = reader.hashed(reader.words(text))
-                rolling = Rolling(words, reader.powers)
-                packed = (words & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
-                for r in runs:
-                    if r["at"] >= 0 or own(rolling, r["s"], r["e"], r["seg"], o):
-                        part = packed[r["s"] : r["e"] + o.window]
-                        if len(part) == r["e"] - r["s"] + o.window:
-                            rows.append((r["key"], r["seg"], r["at"], doc, part.tobytes()))
+                if len(words) < o.window:
+                    continue
+                packed = np.ascontiguousarray((words & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6])
+                held = ((ats >= 0) & (es + o.window <= len(words))) | own(Rolling(words, reader.powers), ss, es, segs, o)
+                for key, seg, at, s, e in zip(*(c[held].tolist() for c in (keys, segs, ats, ss, es))):
+                    rows.append((key, seg, at, doc, packed[s : e + o.window].tobytes()))
             yield pd.DataFrame(rows, columns=["key", "seg", "at", "doc", "words"]).astype({"key": "int64", "seg": "int64", "at": "int32", "doc": "int64"})
 
     return docs.mapInPandas(run, "key long, seg long, at int, doc long, words binary")
@@ -183,7 +183,7 @@ class FMIndex:
             after = np.full(n, -1, np.int64)
             after[:-size] = rank[size:]
             key = rank * (n + 2) + after + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal keys share a rank
             step = np.concatenate([[0], key[order][1:] != key[order][:-1]])
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(step)
@@ -298,46 +298,50 @@ def cut_repeats(docs: DataFrame, options: SubstringOptions | None = None) -> Dat
     cold = known.filter(F.col("segments") <= o.hot).select(F.col("a").alias("key"), "seg", "doc", "s", "e", F.lit(-1).alias("at"))
     hot = known.filter(F.col("segments") > o.hot)
     if not hot.isEmpty():
-        lists = hot.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seg", "s", "e")).alias("runs"))
-        pieces = store.save(whole_windows(docs.join(lists, "doc_id"), o), "windows")
+        lists = hot.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seg", "s", "e")).alias("r")).select("doc_id", "r.seg", "r.s", "r.e")
+        pieces = store.save(whole_windows(docs.join(lists.hint("merge"), "doc_id"), o), "windows")
         twice = pieces.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key")
         twice = store.save(twice, "windows")
         cold = cold.unionByName(pieces.join(twice, "key").select("key", "seg", "doc", "s", F.col("s").alias("e"), "at"))
-    lists = cold.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "seg", "at", "s", "e")).alias("runs"))
-    lists = store.save(lists, "lists")
-    n = lists.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    lists = cold.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "seg", "at", "s", "e")).alias("r"))
+    lists = store.save(lists.select("doc_id", "r.key", "r.seg", "r.at", "r.s", "r.e"), "lists")
+    n = lists.agg(F.coalesce(F.sum(F.size("seg")), F.lit(0))).first()[0]
     shards = max(1, -(-n // o.shard_segments))
-    contents = segment_words(docs.join(lists, "doc_id"), o)
+    contents = segment_words(docs.join(lists.hint("merge"), "doc_id"), o)
     masks = contents.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInPandas(search_shard(o), "seg long, mask long")
     masks = store.save(masks.groupBy("seg").agg(F.bit_or("mask").alias("mask")), "masks")
     least = known.select("a", "seg", F.col("doc").alias("least")).join(masks, "seg", "left").select("a", "seg", "least", F.coalesce("mask", F.lit(0)).alias("mask"))
     least = store.save(least, "least")
     hit = runs.join(least, ["a", "seg"]).withColumn("mask", F.when(F.col("doc") > F.col("least"), F.lit(-1)).otherwise(F.col("mask")))
-    gone = hit.filter("mask <> 0").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seg", "s", "e", "mask")).alias("runs"))
-    gone = store.save(gone, "gone")
+    gone = hit.filter("mask <> 0").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seg", "s", "e", "mask")).alias("r"))
+    gone = store.save(gone.select("doc_id", "r.seg", "r.s", "r.e", "r.mask"), "gone")
+    store.keep(gone)
 
     def run(frames):
         reader = Reader()
         for frame in chunks(frames, 500):
             kept, sizes, removed, spans = [], [], [], []
-            for text, hits in zip(frame["text"], frame["runs"]):
+            for text, segs, ss, es, masks in zip(*(frame[c] for c in ("text", "seg", "s", "e", "mask"))):
                 words = reader.words(text)
-                edge = np.zeros(len(words) + 1, np.int32)
-                if hits is not None and len(hits):
-                    rolling = Rolling(reader.hashed(words), reader.powers)
-                    for r in hits:
-                        if own(rolling, r["s"], r["e"], r["seg"], o):
-                            bits = np.arange(r["e"] - r["s"] + 1)
-                            i = r["s"] + bits[(np.int64(r["mask"]) >> bits) & 1 == 1]
-                            np.add.at(edge, i, 1)
-                            np.add.at(edge, i + o.window, -1)
+                sizes.append(len(words))
+                held = own(Rolling(reader.hashed(words), reader.powers), ss, es, segs, o) if segs is not None and len(words) >= o.window else ()
+                if not np.any(held):
+                    kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+                    removed.append(0)
+                    spans.append([])
+                    continue
+                ss, es, masks = ss[held], es[held], masks[held]
+                bits = np.arange(64)
+                i = (ss[:, None] + bits)[((masks[:, None] >> bits) & 1 == 1) & (bits <= (es - ss)[:, None])]
+                edge = np.bincount(i, minlength=len(words) + 1) - np.bincount(i + o.window, minlength=len(words) + 1)
                 out = np.cumsum(edge)[:-1] > 0
                 change = np.nonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))[0].reshape(-1, 2)
-                kept.append(b" ".join([w for w, x in zip(words, out.tolist()) if not x]).decode("utf-8", "surrogatepass"))
-                sizes.append(len(words))
+                kept.append(b" ".join(compress(words, (~out).tolist())).decode("utf-8", "surrogatepass"))
                 removed.append(int(out.sum()))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in change])
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text": kept, "n_words": sizes, "n_removed": removed, "spans": spans})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(dtype=object), "text": kept, "n_words": sizes, "n_removed": removed, "spans": spans})
 
-    return docs.join(gone, "doc_id", "left").mapInPandas(
-        run, "doc_id long, text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
+    # Ids go as text: pandas would make floats of numbers with nulls among them.
+    met = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = met.mapInPandas(run, "doc_id string, text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
