@@ -5,7 +5,7 @@ word mark), the pieces, and the byte fallback for characters without a piece. Th
 model carry no usable path weights, so the piece transducer remembers its last piece: an arc to the next
 costs 0 if the pair stays apart when its letters are merged by the model, and one otherwise. A merge
 sequence keeps exactly those neighbours apart that it keeps apart on their own, so the path of weight 0 in the tropical
-semiring is the model's own encoding. For a model with piece probabilities the arcs cost their negative logarithm.
+semiring is the model's own encoding.
 
 A text is composed word mark by word mark: no piece goes on past the next one, so shortest paths join there, and
 the paths of words seen before are remembered. The model file is read on the executors; its path is a parameter.
@@ -42,23 +42,28 @@ class PieceTransducer:
         names = [model.id_to_piece(i) for i in range(size)]
         usable = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
         self.pieces = {names[i]: i for i in usable}
+        self.endings = {p[k:] for p in self.pieces for k in range(len(p))}
         self.merge_score = {names[i]: model.get_score(i) for i in usable}
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.unknown, self.longest = model.unk_id(), max(map(len, self.pieces), default=1)
+        self.unknown = model.unk_id()
         self.surface = {i: names[i].replace(MARK, " ").encode() for i in usable}
         self.surface |= {i: bytes([b]) for b, i in self.bytes.items()}
         self.paths: dict[str, tuple[int, ...]] = {}
+        self.beginnings: dict[str, tuple[int, str | None]] = {}
         self.apart: dict[tuple[str, str], bool] = {}
 
     def merged(self, letters: str) -> list[str]:
         """Pieces of a short string by merging the best-scored neighbours, the leftmost of equals first."""
         parts = list(letters)
         while True:
-            best = max(((self.merge_score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.merge_score), default=None)
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                score = self.merge_score.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
             if best is None:
                 return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def weight(self, before: str | None, piece: str) -> int:
         """0 if ``piece`` can follow ``before`` (None: the start or a character without a piece), else 1."""
@@ -70,20 +75,45 @@ class PieceTransducer:
         return 0 if self.apart[key] else 1
 
     def shortest(self, word: str) -> tuple[int, ...]:
-        """Ids on the shortest path through the composition of a word with the transducers."""
-        n = len(word)
-        cost, back = [0] + [1 << 40] * n, [None] * (n + 1)
-        for j in range(1, n + 1):
+        """Ids on the shortest path through the composition of a word with the transducers.
+
+        No weight is below 0, so a place reached at cost 0 needs no further arcs. The last arcs to such
+        places depend on the letters before only and are remembered for all words that begin alike.
+        """
+        n, pieces, apart, endings = len(word), self.pieces, self.apart, self.endings
+        known = n
+        while known and word[:known] not in self.beginnings:
+            known -= 1
+        cost = [0] * (known + 1) + [1 << 40] * (n - known)
+        back = [(0, None), *(self.beginnings[word[:j]] for j in range(1, known + 1)), *[(0, None)] * (n - known)]
+        for j in range(known + 1, n + 1):
             letter = word[j - 1]
-            if letter not in self.pieces:  # byte fallback
+            if letter not in pieces:  # byte fallback
                 cost[j], back[j] = cost[j - 1], (j - 1, None)
                 continue
-            for i in range(max(0, j - self.longest), j):
+            best = 1 << 40
+            lowest = j - 1  # no piece ends here that begins before
+            while lowest and word[lowest - 1 : j] in endings:
+                lowest -= 1
+            for i in range(lowest, j):
                 piece = word[i:j]
-                if piece in self.pieces and cost[i] < cost[j]:
-                    c = cost[i] + self.weight(back[i][1] if i else None, piece)
-                    if c < cost[j]:
-                        cost[j], back[j] = c, (i, piece)
+                if piece in pieces and cost[i] < best:
+                    before = back[i][1]
+                    stays = apart.get((before or "", piece))
+                    c = cost[i] + (self.weight(before, piece) if stays is None else not stays)
+                    if c < best:
+                        best, back[j] = c, (i, piece)
+                        if not c:
+                            break
+            cost[j] = best
+        if len(self.beginnings) > 5 * self.bound:
+            self.beginnings.clear()
+            known = 0  # all beginnings of a remembered one are remembered
+        if not cost[n] and n <= 64:  # then every place before on the path, and all others filled here, cost 0 too
+            for j in range(known + 1, n + 1):
+                if cost[j]:
+                    break
+                self.beginnings[word[:j]] = back[j]
         out, j = [], n
         while j:
             i, piece = back[j]
