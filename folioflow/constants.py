@@ -16,7 +16,6 @@ ROOT_TARGETS = ["Root", "General / Root", "All Folders"]
 GENERIC_FOLDERS = ["Accounts", "documents", "Markdown", "Consolidated", "Lightweight"]
 COMPANY_SUFFIXES = [" Limited", " Ltd", " PLC", " plc", " SARL"]
 CONSOLIDATED_BANNER = "**Consolidated Archive**"
-BANNER_WINDOW = 4096
 
 # --- Boilerplate rules ----------------------------------------------------------------------------
 MIN_SECTION_WORDS = 40
@@ -169,9 +168,6 @@ FENCE_INFO_UNWRAPPED = ["", "markdown", "md"]
 
 # --- Search ---------------------------------------------------------------------------------------
 SNIPPET_RADIUS = 70
-MAX_QUERY_CHARS = 500
-MAX_DOCUMENTS = 500
-MAX_MATCHES = 25
 QUICK_OPEN_LIMIT = 40
 
 # --- Consolidation --------------------------------------------------------------------------------
