@@ -34,7 +34,7 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class PieceTransducer:
     """The compiled model. ``bound`` limits the words and pairs remembered."""
 
-    def __init__(self, path: str = MODEL, bound: int = 200_000):
+    def __init__(self, path: str = MODEL, bound: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,7 +69,7 @@ class PieceTransducer:
         """0 if ``piece`` can follow ``before`` (None: the start or a character without a piece), else 1."""
         key = (before or "", piece)
         if key not in self.apart:
-            if len(self.apart) > 5 * self.bound:
+            if len(self.apart) > 2 * self.bound:
                 self.apart.clear()
             self.apart[key] = self.merged((before or "") + piece) == ([before, piece] if before else [piece])
         return 0 if self.apart[key] else 1
@@ -106,7 +106,7 @@ class PieceTransducer:
                         if not c:
                             break
             cost[j] = best
-        if len(self.beginnings) > 5 * self.bound:
+        if len(self.beginnings) > 2 * self.bound:
             self.beginnings.clear()
             known = 0  # all beginnings of a remembered one are remembered
         if not cost[n] and n <= 64:  # then every place before on the path, and all others filled here, cost 0 too
