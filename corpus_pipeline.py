@@ -3,6 +3,8 @@
 Toxic documents go; repeated runs of lines are deleted from the later documents; of a group of near
 copies (five-word shingles, Jaccard 0.8) the smallest doc_id stays; sources are interleaved to their target weights; texts are
 encoded to pieces. All stages but the last return the columns of documents, n_chars counted anew.
+The order of rows ends with a stored table, so the last stage lays out the schedule of its rows again and returns it as slot,
+block and place_in_block: rows sorted by slot and place_in_block are the mix, and every stretch of slots has the target shares.
 Empty texts and rows without doc_id pass every stage; equal doc_ids are one document for the third.
 """
 
@@ -41,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_pieces(docs.select(*COLUMNS))
+    return encode_pieces(mix(docs).select(*COLUMNS, "slot", "block", "place_in_block"))
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard),

@@ -334,3 +334,17 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
     assert {r.doc_id: r.pieces for r in kept["SentencePiece"]} == want
     assert {r.doc_id: r.pieces for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
     assert hashlib.sha256(b"").hexdigest() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_schedule_outlives_parquet(spark, tmp_path):
+    sizes = {"hot": 3200, "a": 800, "b": 800}
+    rows = [(i, f"text {i}", "en", s, 0) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    for name, stage in corpus_pipeline.STAGES[-2:]:
+        stage(spark, docs, str(tmp_path)).repartition(5).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    got = sorted(docs.collect(), key=lambda r: (r.slot, r.place_in_block))
+    assert sorted(r.doc_id for r in got) == list(range(len(rows)))
+    for n in (160, 800, 1600, 3000):  # a and b have run out after 3,200 rows
+        shares = {s: sum(r.source == s for r in got[:n]) / n for s in sizes}
+        assert all(abs(shares[s] - w) * n <= 32 for s, w in (("hot", 0.5), ("a", 0.25), ("b", 0.25)))
