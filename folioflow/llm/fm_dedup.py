@@ -9,7 +9,8 @@ each word the interval is widened to the last ``window - 1`` words, so every pos
 statistic cut at ``window``, and the interval of a whole window tells the smallest document that holds it.
 
 An anchor with more than ``hot`` different segments (a passage in very many documents, cut differently by its
-surroundings) is dealt by whole windows instead, of which only those of two documents go on. So shards
+surroundings) is dealt by whole windows instead, of which only those of two documents go on. A window found in
+very many segments is dealt in parts, each beside a copy of the piece of its smallest document. So shards
 hold about ``shard_segments`` segments of at most two windows' length each, whatever the input.
 
 Edge cases: null and short texts lose nothing; windows repeated within a document only stay; rows with
@@ -153,23 +154,23 @@ def own(rolling: Rolling, s: np.ndarray, e: np.ndarray, seg: np.ndarray, o: Subs
 
 
 def segment_words(docs: DataFrame, o: SubstringOptions) -> DataFrame:
-    """(key, seg, at, doc, words): the hashed words of segments, six bytes each."""
+    """(key, seg, at, doc, part, words): the hashed words of segments, six bytes each."""
 
     def run(frames):
         reader = Reader()
         for frame in chunks(frames, 500):
             rows = []
-            for doc, text, keys, segs, ats, ss, es in zip(*(frame[c] for c in ("doc_id", "text", "key", "seg", "at", "s", "e"))):
+            for doc, text, keys, segs, ats, ss, es, parts in zip(*(frame[c] for c in ("doc_id", "text", "key", "seg", "at", "s", "e", "part"))):
                 words = reader.hashed(reader.words(text))
                 if len(words) < o.window:
                     continue
                 packed = np.ascontiguousarray((words & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6])
                 held = ((ats >= 0) & (es + o.window <= len(words))) | own(Rolling(words, reader.powers), ss, es, segs, o)
-                for key, seg, at, s, e in zip(*(c[held].tolist() for c in (keys, segs, ats, ss, es))):
-                    rows.append((key, seg, at, doc, packed[s : e + o.window].tobytes()))
-            yield pd.DataFrame(rows, columns=["key", "seg", "at", "doc", "words"]).astype({"key": "int64", "seg": "int64", "at": "int32", "doc": "int64"})
+                for key, seg, at, s, e, part in zip(*(c[held].tolist() for c in (keys, segs, ats, ss, es, parts))):
+                    rows.append((key, seg, at, doc, part, packed[s : e + o.window].tobytes()))
+            yield pd.DataFrame(rows, columns=["key", "seg", "at", "doc", "part", "words"]).astype({"key": "int64", "seg": "int64", "at": "int32", "doc": "int64", "part": "int32"})
 
-    return docs.mapInPandas(run, "key long, seg long, at int, doc long, words binary")
+    return docs.mapInPandas(run, "key long, seg long, at int, doc long, part int, words binary")
 
 
 class FMIndex:
@@ -295,20 +296,25 @@ def cut_repeats(docs: DataFrame, options: SubstringOptions | None = None) -> Dat
     about = whole.groupBy("a").agg(F.min("doc").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("segments")).filter("lo < hi")
     about = store.save(about.select("a", "segments"), "anchors")
     known = store.save(whole.join(about, "a").select("a", "seg", "doc", "s", "e", "segments"), "known")
-    cold = known.filter(F.col("segments") <= o.hot).select(F.col("a").alias("key"), "seg", "doc", "s", "e", F.lit(-1).alias("at"))
+    cold = known.filter(F.col("segments") <= o.hot).select(F.col("a").alias("key"), "seg", "doc", "s", "e", F.lit(-1).alias("at"), F.lit(0).alias("part"))
     hot = known.filter(F.col("segments") > o.hot)
     if not hot.isEmpty():
         lists = hot.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("seg", "s", "e")).alias("r")).select("doc_id", "r.seg", "r.s", "r.e")
         pieces = store.save(whole_windows(docs.join(lists.hint("merge"), "doc_id"), o), "windows")
-        twice = pieces.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key")
-        twice = store.save(twice, "windows")
-        cold = cold.unionByName(pieces.join(twice, "key").select("key", "seg", "doc", "s", F.col("s").alias("e"), "at"))
-    lists = cold.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "seg", "at", "s", "e")).alias("r"))
-    lists = store.save(lists.select("doc_id", "r.key", "r.seg", "r.at", "r.s", "r.e"), "lists")
+        piece = F.struct("doc", "seg", "at")
+        twice = pieces.groupBy("key").agg(F.min(piece).alias("least"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).filter("least.doc < hi")
+        twice = store.save(twice.select("key", "least", F.ceil(F.col("n") / max(1, o.shard_segments // 8)).cast("int").alias("parts")), "windows")
+        # The smallest document's piece goes to every part of its window: a negative part is the number of copies.
+        part = F.when(piece == F.col("least"), -F.col("parts")).otherwise(F.pmod(F.xxhash64("seg", "at"), "parts")).cast("int")
+        cold = cold.unionByName(pieces.join(twice, "key").select("key", "seg", "doc", "s", F.col("s").alias("e"), "at", part.alias("part")))
+    lists = cold.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "seg", "at", "s", "e", "part")).alias("r"))
+    lists = store.save(lists.select("doc_id", "r.key", "r.seg", "r.at", "r.s", "r.e", "r.part"), "lists")
     n = lists.agg(F.coalesce(F.sum(F.size("seg")), F.lit(0))).first()[0]
     shards = max(1, -(-n // o.shard_segments))
     contents = segment_words(docs.join(lists.hint("merge"), "doc_id"), o)
-    masks = contents.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInPandas(search_shard(o), "seg long, mask long")
+    copies = F.when(F.col("part") < 0, F.sequence(F.lit(0), -F.col("part") - 1)).otherwise(F.array("part"))
+    contents = contents.withColumn("part", F.explode(copies))
+    masks = contents.groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard")).applyInPandas(search_shard(o), "seg long, mask long")
     masks = store.save(masks.groupBy("seg").agg(F.bit_or("mask").alias("mask")), "masks")
     least = known.select("a", "seg", F.col("doc").alias("least")).join(masks, "seg", "left").select("a", "seg", "least", F.coalesce("mask", F.lit(0)).alias("mask"))
     least = store.save(least, "least")

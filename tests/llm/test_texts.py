@@ -110,6 +110,29 @@ def test_cut_repeats_equals_brute_force(spark, window, gram, hot):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_cut_repeats_deals_a_hot_window_to_many_shards(spark, tmp_path, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(14))
+    rows = [(i, f"a{i} b{i} c{i} {passage} d{i} e{i} f{i}") for i in range(300)]
+    search = fm_dedup.search_shard
+
+    def noted(o):
+        inner, folder = search(o), str(tmp_path)
+
+        def run(key, frame):
+            with open(f"{folder}/{key[0]}", "w") as f:
+                f.write(str(len(frame)))
+            return inner(key, frame)
+
+        return run
+
+    monkeypatch.setattr(fm_dedup, "search_shard", noted)
+    o = fm_dedup.SubstringOptions(window=12, gram=4, hot=10, shard_segments=40)
+    got = fm_dedup.cut_repeats(documents(spark, rows), o).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == brute_cut(rows, 12)
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) >= 900 and max(sizes) < 150
+
+
 def test_cut_repeats_null_ids_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(60))
     got = {r.doc_id: r.n_removed for r in fm_dedup.cut_repeats(documents(spark, [(None, text), (4, text), (9, text)])).collect()}
