@@ -2,12 +2,12 @@
 
 A source of weight w gets its block i (from 0) released at slot floor(i/w) and due by slot
 ceil((i+1)/w). Earliest-deadline-first over these windows keeps every source within one block of its
-weight at every slot. Weights are whole parts of a period, so the schedule repeats; one period is laid
-out once, and every block of the corpus gets its slot from its number in its source.
+weight at every slot. Weights are taken exactly, as fractions. The schedule is laid out in periods by parallel
+tasks: where a period begins, each source has had its share rounded down or up, so no error is carried on.
 
 Documents are shuffled within their source by a digest of the id and numbered through even buckets of the
-digest, so a source with any share of the rows is numbered by many tasks. No document is dropped or repeated: where
-a source has run out, its slots stay empty, and the others go on in their proportion.
+digest, so a source with any share of the rows is numbered by many tasks. No document is dropped or repeated: once
+a source has run out, slots that no other source is due for stay empty, and the others go on in their proportion.
 
 Edge cases: a null source is the source of the empty name; sources without a given weight take the
 derived one; a null doc_id counts as the empty id; equal rows follow each other; an empty table gives no rows; extra
@@ -17,16 +17,21 @@ columns are kept, those that clash with the names added are replaced.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
 class MixOptions:
-    """``weights``: parts per source; others get rows ** ``power``. ``most_sources`` bounds the plan."""
+    """``weights``: parts per source, positive; others get rows ** ``power``. ``period``: least slots a task lays out at once."""
 
     weights: dict[str, float] = field(default_factory=dict)
     power: float = 0.5
@@ -48,20 +53,69 @@ def whole_parts(weights: dict[str, float], period: int) -> dict[str, int]:
     return parts
 
 
-def schedule(parts: dict[str, int]) -> list[str]:
-    """The source of every slot of one period, by earliest deadline first among released blocks."""
-    period, waiting, ready, out = sum(parts.values()), [], [], []
-    for s, w in parts.items():
-        heapq.heappush(waiting, (0, s, 0))
-    for t in range(period):
+def whole_blocks(weights: list[int], slots: int) -> list[int]:
+    """Blocks of every source in the first ``slots`` slots: its share rounded down or up, ``slots`` in all."""
+    total = sum(weights)
+    given = [w * slots // total for w in weights]
+    by_rest = sorted(range(len(weights)), key=lambda k: (-(weights[k] * slots % total), k))
+    for k in by_rest[: slots - sum(given)]:
+        given[k] += 1
+    return given
+
+
+def lay_out(weights: list[int], blocks: list[int], period: int, p: int) -> Iterator[tuple[int, int, int]]:
+    """(slot, source, block) of period ``p``, by earliest deadline first among released blocks.
+
+    The blocks of a period follow from its bounds alone, so periods are laid out apart. Windows are those
+    of the endless schedule, cut at the bounds; as each source has its share there, rounded, they can all be kept.
+    """
+    total, begin, end = sum(weights), p * period, (p + 1) * period
+    until = [min(n, b) for n, b in zip(whole_blocks(weights, end), blocks)]
+    waiting = [(max(i * total // weights[k], begin), k, i) for k, i in enumerate(whole_blocks(weights, begin)) if i < until[k]]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    t = begin
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // parts[s]), s, i))
-        _, s, i = heapq.heappop(ready)
-        out.append(s)
-        if i + 1 < parts[s]:
-            heapq.heappush(waiting, ((i + 1) * period // parts[s], s, i + 1))
-    return out
+            _, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (min(-(-(i + 1) * total // weights[k]), end), k, i))
+        _, k, i = heapq.heappop(ready)
+        yield t, k, i
+        if i + 1 < until[k]:
+            heapq.heappush(waiting, (max((i + 1) * total // weights[k], begin), k, i + 1))
+        t += 1
+
+
+def schedule(parts: dict[str, int]) -> list[str]:
+    """The source of every slot of one period of whole parts."""
+    names, weights = list(parts), list(parts.values())
+    return [names[k] for _, k, _ in lay_out(weights, weights, sum(weights), 0)]
+
+
+def slots_of_blocks(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int], o: MixOptions) -> DataFrame:
+    """(_source, block, slot) of all blocks, a period of slots at a time in parallel tasks."""
+    names = sorted(weights)
+    exact = [Fraction(weights[s]) for s in names]
+    if any(w <= 0 for w in exact):
+        raise ValueError("weights must be positive")
+    scale = math.lcm(*(w.denominator for w in exact))
+    parts, counts = [int(w * scale) for w in exact], [blocks[s] for s in names]
+    total = sum(parts)
+    # Every source has a block in each period, so that shares rounded at the bounds never fall.
+    period = max([o.period, *(-(-total // w) for w in parts)])
+    periods = max((-(-n * total // (w * period)) for n, w in zip(counts, parts)), default=0)
+
+    def run(frames):
+        for frame in frames:
+            for p in frame["id"].tolist():
+                placed = lay_out(parts, counts, period, p)
+                while rows := list(islice(placed, 50_000)):
+                    yield pd.DataFrame({"_source": [names[k] for _, k, _ in rows], "block": [i for _, _, i in rows], "slot": [t for t, _, _ in rows]})
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.range(0, periods, 1, max(1, min(periods, width))).mapInPandas(run, "_source string, block long, slot long")
 
 
 def mix(docs: DataFrame, options: MixOptions | None = None) -> DataFrame:
@@ -73,13 +127,8 @@ def mix(docs: DataFrame, options: MixOptions | None = None) -> DataFrame:
     sizes = {r["_source"]: r["n"] for r in keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(o.most_sources + 1).collect()}
     if len(sizes) > o.most_sources:
         raise ValueError(f"more than {o.most_sources} sources")
-    parts = whole_parts({s: float(o.weights.get(s, n**o.power)) for s, n in sorted(sizes.items())}, o.period) if sizes else {}
-    offsets: dict[str, list[int]] = {s: [] for s in parts}
-    for t, s in enumerate(schedule(parts)):
-        offsets[s].append(t)
-    period = sum(parts.values())
-    plan = F.broadcast(spark.createDataFrame(  # one row per source, at most most_sources; a period's slots in all
-        [(s, parts[s], offsets[s]) for s in parts], "_source string, _parts int, _offsets array<int>"))
+    weights = {s: o.weights.get(s, n**o.power) for s, n in sizes.items()}
+    plan = slots_of_blocks(spark, weights, {s: -(-n // o.block_rows) for s, n in sizes.items()}, o)
 
     buckets = max(1, -(-max(sizes.values(), default=1) // o.bucket_rows))
     bucket = F.floor(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int")
@@ -92,9 +141,8 @@ def mix(docs: DataFrame, options: MixOptions | None = None) -> DataFrame:
     ranked = keyed.withColumn("_row", F.row_number().over(inside)).join(counts, ["_source", "_bucket"])
     number = F.col("_before") + F.col("_row") - 1
     block = F.floor(number / o.block_rows)
-    placed = (ranked.join(plan, "_source").withColumn("block", block)
-              .withColumn("slot", F.floor(F.col("block") / F.col("_parts")) * period + F.get("_offsets", (F.col("block") % F.col("_parts")).cast("int")))
-              .withColumn("place_in_block", (number % o.block_rows).cast("int")))
-    mixed = placed.drop("_source", "_digest", "_bucket", "_row", "_before", "_parts", "_offsets")
+    placed = ranked.withColumn("block", block).drop("slot").join(plan, ["_source", "block"]).withColumn("place_in_block", (number % o.block_rows).cast("int"))
+    names = [*docs.columns, *(c for c in ("block", "slot", "place_in_block") if c not in docs.columns)]
+    mixed = placed.select(*names)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartitionByRange(width, "slot", "place_in_block").sortWithinPartitions("slot", "place_in_block")

@@ -265,6 +265,21 @@ def test_mix_keeps_rows_and_weights(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_keeps_to_target_weights_over_many_periods(spark):
+    sizes = {"hot": 3500} | {f"s{k:02}": 350 for k in range(20)}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    o = mixing.MixOptions(block_rows=1, period=100)
+    at = {r.slot: r.source for r in mixing.mix(docs, o).select("slot", "source").collect()}
+    assert len(at) == len(rows)
+    total = sum(n**0.5 for n in sizes.values())
+    given = dict.fromkeys(sizes, 0)
+    for t in range(max(at) + 1):
+        if t in at:
+            given[at[t]] += 1
+        assert all(abs(given[s] - (t + 1) * n**0.5 / total) < 1 + 1e-6 for s, n in sizes.items() if given[s] < n), t
+
+
 # --- pages ------------------------------------------------------------------------------------------------
 def test_leaf_blocks_of_broken_markup():
     page = """<!DOCTYPE html><title>no</title><script>var t="</p>";</script><style>p{}</style><p>One &amp; <b>two<br>three<p>Four<ul><li>a<li>b</ul>
