@@ -29,14 +29,17 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import chunks
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|noscript|title|object|canvas)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"""|<[a-zA-Z/!?](?:"[^"]*"|'[^']*'|[^'">])*+>|<[a-zA-Z/!?][^>]*>|[^<]+|<""", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(.*?)(/?)>\Z", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body button dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul""".split())
+#: With the blocks, the tags that cannot stand in a drawing and so end one left open.
+SVG_ENDS = frozenset("b big br center code em embed hr i img meta nobr ruby s small span strike strong sub sup tt u var".split())
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|noscript|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<svg\b[^>]*+(?<!/)>.*?(?:</svg\s*>|(?=</?(?:{'|'.join(sorted(BLOCK | SVG_ENDS))})\b)|\Z)"  # a self-closing one is a tag like others
+    r"""|<[a-zA-Z/!?](?:"[^"]*"|'[^']*'|[^'">])*+>|<[a-zA-Z/!?][^>]*>|[^<]+|<""", re.S | re.I)
 #: Opening one of these ends an open one of the named, unless one of the last group lies between.
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tr": ("tr", ("table",)),
         "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "option": ("option", ("select",))}

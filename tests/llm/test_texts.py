@@ -288,6 +288,17 @@ def test_leaf_blocks_of_broken_markup():
     assert html_text.leaf_blocks(None) == [] and html_text.leaf_blocks("<!-- open <p>x") == []
 
 
+@pytest.mark.parametrize("page,texts", [
+    ("<svg class='i' /><p>One<p>Two <svg><title>no</title><text>no</text></svg>end", ["One", "Two end"]),
+    ("<svg viewBox='0'><path d='M0'><article><p>One</article><svg/><p>Two", ["One", "Two"]),
+    ("<p>One<object data='x'><p>Two</object><p>Three", ["One", "Two", "Three"]),
+    ("<object data='x'/><p>One", ["One"]),
+    ("<canvas><p>One</canvas><p>Two", ["One", "Two"]),
+    ("<canvas id='c'/><p>One", ["One"])])
+def test_leaf_blocks_after_drawings_and_objects(page, texts):
+    assert [b.text for b in html_text.leaf_blocks(page)] == texts
+
+
 def test_extraction_of_held_out_layouts(spark):
     rng = random.Random(8)
 
