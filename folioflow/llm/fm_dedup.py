@@ -1,4 +1,4 @@
-"""Substring deduplication with a compressed FM-index per shard.
+"""Substring deduplication with an FM-index (not compressed) per shard.
 
 A window is ``window`` consecutive words. Each window selects its minimal word n-gram as anchor, so equal windows of
 any documents have equal anchors. Anchors of one document only end here. The windows of an anchor
