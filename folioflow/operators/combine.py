@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from folioflow.operators.ordering import scan_in_order
 from folioflow.operators.pages import count_pages
 
 PART_ORDER = ["block", "position", "line"]
+HEADER_END = r"(?m)^[ \t]*(?:<!--|---|##)"
+HEADER_BANNER = r"(?m)^[ \t]*>[ \t]*" + re.escape(K.CONSOLIDATED_BANNER)
 
 
 def combinable(df: DataFrame, include_consolidated: bool = False, include_lightweight: bool = False) -> DataFrame:
@@ -155,8 +158,13 @@ def destination(folder: str | None, file_name: str | None) -> str:
 
 
 def misplaced_consolidations(df: DataFrame) -> DataFrame:
-    """Combined documents lying among transcripts (``path, text``), with where they belong."""
+    """Combined documents lying among transcripts (``path, text``), with where they belong.
+
+    Such a document says so in a block quote of its header, the text before the first page marker, rule or section;
+    a transcript that quotes the banner elsewhere stays.
+    """
     among = (F.try_element_at(T.path_parts("path"), F.lit(-2)) == K.MARKDOWN_DIR) & ~T.is_consolidated("path")
-    banner = F.col("text").contains(K.CONSOLIDATED_BANNER)
+    header = F.split("text", HEADER_END, 2)[0]
+    banner = F.col("text").contains(K.CONSOLIDATED_BANNER) & header.rlike(HEADER_BANNER)
     moved = F.regexp_replace("path", r"Markdown/([^/]*)$", f"{K.CONSOLIDATED_DIR}/$1")
     return df.filter(among & banner).select("path", moved.alias("destination"))

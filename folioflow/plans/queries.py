@@ -407,11 +407,13 @@ def collection_label(spark, sf):
 
 @query
 def misplaced_consolidations(spark, sf):
-    """Labelled documents of low quality carry the banner of a combined document."""
-    labels = X.table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").alias("doc"), F.lit(True).alias("low"))
+    """Labelled documents of low quality carry the header of a combined document, those of high quality quote its banner."""
+    labels = X.table(spark, sf, "labels").select(F.col("doc_id").alias("doc"), (F.col("quality") == 0).alias("low"))
     docs = X.library_documents(spark, sf).select("doc", "folder", "file_name", "text").join(labels, "doc", "left")
     path = F.concat(F.lit("/ws/"), "folder", F.lit("/Markdown/"), "file_name")
-    text = F.concat(F.when(F.col("low"), f"# Title\n> {K.CONSOLIDATED_BANNER}: 2\n").otherwise(""), F.col("text"))
+    quoting = f"# Title\nThe file says {K.CONSOLIDATED_BANNER} on top.\n---\n> {K.CONSOLIDATED_BANNER}: 2\n"
+    head = F.when(F.col("low"), f"# Title\n> {K.CONSOLIDATED_BANNER}: 2\n").when(~F.col("low"), quoting).otherwise("")
+    text = F.concat(head, F.col("text"))
     return CO.misplaced_consolidations(docs.select(path.alias("path"), text.alias("text")))
 
 
