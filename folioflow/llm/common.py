@@ -17,6 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LEAST = -(2**63 - 1)
+
+
 class Store:
     """Tables written below the shared checkpoint folder; a lost executor costs a re-read of them."""
 
@@ -24,10 +27,10 @@ class Store:
         self.spark, self.root = spark, f"{checkpoint_dir(spark)}/folioflow/{label}-{uuid.uuid4().hex}"
         self.number, self.paths = 0, set()
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
+    def save(self, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
         self.number += 1
         path = f"{self.root}/{self.number}-{label}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.stored_path = path
@@ -64,6 +67,27 @@ class WordHashes(dict):
         return out
 
 
+class BestOf:
+    """The ``k`` best (score falling, id rising) of every key, and the score a newcomer must reach."""
+
+    def __init__(self, keys: int, k: int):
+        self.k, self.floor = k, np.full(keys, LEAST, np.int64)
+        self.key, self.score, self.id = (np.empty(0, np.int64) for _ in range(3))
+
+    def add(self, key: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if not len(key):
+            return
+        key, score, ids = np.concatenate([self.key, key]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
+        order = np.lexsort((ids, -score, key))
+        key, score, ids = key[order], score[order], ids[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        place = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+        full = place == self.k - 1
+        self.floor[key[full]] = score[full]
+        stay = place < self.k
+        self.key, self.score, self.id = key[stay], score[stay], ids[stay]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values, so that their order is as good as random."""
     h = h ^ (h >> np.uint64(33))
@@ -73,6 +97,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` or a longer one, such that no column of ``df`` starts with it, in any case."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of an id written as text, modulo ``modulus``: the folds of the contracts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

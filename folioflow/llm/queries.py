@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.collision_dedup import near_duplicates
 from folioflow.llm.common import table
+from folioflow.llm.decontamination import find_leaks
 from folioflow.llm.fm_dedup import cut_repeats
+from folioflow.llm.hard_negatives import mine_negatives
 from folioflow.llm.html_text import extract_text
 from folioflow.llm.jaccard_join import jaccard_components
 from folioflow.llm.language_id import identify
@@ -15,6 +17,7 @@ from folioflow.llm.line_dedup import RUN, dedup_lines
 from folioflow.llm.mixing import mix
 from folioflow.llm.permutation_index import nearest
 from folioflow.llm.piece_transducer import encode_pieces
+from folioflow.llm.ranked_search import rank_documents
 from folioflow.llm.toxicity import score_toxicity
 
 
@@ -64,15 +67,33 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return mine_negatives(rows, lambda i: i % 100 == 0)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_nearest_neighbours, op4_mixing_sources, op5_toxicity, op6_substring_dedup,
     op7_language_id, op8_sentencepiece, op9_line_dedup,
-    op10_html_extraction)}
+    op10_html_extraction, op11_hard_negatives, op12_ranked_search, op13_decontamination)}
 
 # Words split at the white space of the contract; a leading or trailing empty string is no word.
 WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# The terms of ranked search, and the words of decontamination, which keep no capital letter.
+TERMS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES = {
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWERED)} AS words FROM documents),
@@ -108,4 +129,31 @@ g AS (SELECT DISTINCT doc_id, i + j AS gone_at FROM r, range(50) AS t(j)), c AS
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(words, lambda x, k: gone IS NULL OR NOT list_contains(gone, k)), ' ')) AS kept_sha256
 FROM w LEFT JOIN c USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
+    "op12_ranked_search": f"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+t AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t, s GROUP BY term, docs),
+r AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
+    "op13_decontamination": f"""
+WITH b AS (SELECT item_id, {TERMS} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, len(win) AS n, win FROM (SELECT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w] ELSE list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9]) END) AS win FROM b)),
+d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+p AS (SELECT doc_id, i, n, w[i:i + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g))),
+h AS MATERIALIZED (SELECT doc_id, i, p.n, item_id FROM p JOIN g USING (win)),
+c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM h), LATERAL (SELECT unnest(range(i, i + n)) AS place) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
 }
