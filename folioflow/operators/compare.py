@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow import constants as K
 from folioflow.functions.markdown import for_mode
-from folioflow.functions.text import collapse, let
+from folioflow.functions.text import collapse
+from folioflow.operators.word_diff import TOKEN, difference
 
 
 def compare_pages(a: DataFrame, b: DataFrame, keys: list[str], mode: str = "source") -> DataFrame:
@@ -43,87 +44,17 @@ def is_wholesale(changed, shared):
 
 
 # --- word-level differences ---------------------------------------------------------------------------
-_TOKEN = re.compile(r"\s+|\S+")
 DIFF_SCHEMA = TY.ArrayType(TY.StructType([
     TY.StructField("op", TY.StringType()), TY.StructField("tokens", TY.ArrayType(TY.StringType()))]))
+COUNTS = ("added", "removed", "inserted", "deleted")
 
 
-def edit_script(a: list[str], b: list[str], limit: int = K.MAX_EDIT_DISTANCE) -> list[tuple[str, list[str]]]:
-    """Shortest edit script between two token lists, or one replacement beyond ``limit`` edits.
-
-    Greedy furthest-reaching search over diagonals; on equal reach an insertion is preferred only
-    when the neighbour above reaches strictly further.
-    """
-    n, m = len(a), len(b)
-    replaced = [("-", a), ("+", b)]
-    if n + m > 2 * limit:
-        return replaced
-    most = min(n + m, limit)
-    centre = most + 1
-    reach = [0] * (2 * centre + 1)  # furthest position in a on each diagonal
-    rounds: list[list[int]] = []    # diagonals -d-1..d+1 as they stood before round d
-
-    for d in range(most + 1):
-        rounds.append(reach[centre - d - 1:centre + d + 2])
-        for k in range(-d, d + 1, 2):
-            below, above = reach[centre + k - 1], reach[centre + k + 1]
-            x = above if k == -d or (k != d and below < above) else below + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            reach[centre + k] = x
-            if x >= n and y >= m:
-                return _walk_back(rounds, a, b)
-    return replaced
-
-
-def _walk_back(rounds: list[list[int]], a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
-    x, y = len(a), len(b)
-    script: list[tuple[str, list[str]]] = []
-    for d in range(len(rounds) - 1, 0, -1):
-        row, k = rounds[d], x - y
-        at = k + d + 1
-        inserted = k == -d or (k != d and row[at - 1] < row[at + 1])
-        start_x = row[at + 1] if inserted else row[at - 1]
-        start_y = start_x - (k + 1 if inserted else k - 1)
-        common = max(0, min(x - start_x, y - start_y))
-        script.extend(("=", [a[x - 1 - i]]) for i in range(common))
-        x, y = x - common, y - common
-        if x == start_x:
-            y -= 1
-            script.append(("+", [b[y]]))
-        else:
-            x -= 1
-            script.append(("-", [a[x]]))
-    script.extend(("=", [a[i]]) for i in range(min(x, y) - 1, -1, -1))
-    return script[::-1]
-
-
-def diff_tokens(a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
-    """Edit operations with equal heads and tails split off first and neighbours merged."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    mid_a, mid_b = a[head:len(a) - tail], b[head:len(b) - tail]
-    middle = edit_script(mid_a, mid_b) if mid_a and mid_b else [("-", mid_a), ("+", mid_b)]
-    merged: list[tuple[str, list[str]]] = []
-    for op, part in [("=", a[:head]), *middle, ("=", a[len(a) - tail:])]:
-        if part and merged and merged[-1][0] == op:
-            merged[-1][1].extend(part)
-        elif part:
-            merged.append((op, list(part)))
-    return merged
-
-
-def diff_pages(compared: DataFrame) -> DataFrame:
-    """Word-level difference of each changed page pair: ``ops, added, removed`` (words).
+def diff_pages(compared: DataFrame, limit: int | None = None) -> DataFrame:
+    """Word-level difference of each changed page pair: ``ops``, words ``added`` and ``removed``, tokens
+    (words and the white space between them) ``inserted`` and ``deleted``, the fewest that rebuild the page.
 
     Unchanged pairs are filtered natively; the rest is independent per row, so Arrow batches of
-    pairs go to the edit search wherever they are.
+    pairs go to the search wherever they are. ``limit`` bounds the tokens of one script, see ``difference``.
     """
     changed = compared.filter(F.col("status") == "changed").drop("status")
     # The search costs far more than moving its input: use every core, whatever the bytes say.
@@ -131,19 +62,21 @@ def diff_pages(compared: DataFrame) -> DataFrame:
     tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     changed = changed.repartition(tasks)
     keys = [c for c in changed.columns if c not in ("text_a", "text_b")]
-    schema = TY.StructType([changed.schema[k] for k in keys] + [TY.StructField("ops", DIFF_SCHEMA)])
+    schema = TY.StructType([changed.schema[k] for k in keys] + [TY.StructField("ops", DIFF_SCHEMA)]
+                           + [TY.StructField(c, TY.LongType()) for c in COUNTS])
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = batch[keys].copy()
-            out["ops"] = [
-                [{"op": op, "tokens": toks} for op, toks in diff_tokens(_TOKEN.findall(x), _TOKEN.findall(y))]
-                for x, y in zip(batch["text_a"], batch["text_b"])]
-            yield out
-
-    words = lambda op: let(F.filter("ops", lambda o: o["op"] == op), lambda os: F.aggregate(
-        os, F.lit(0).cast("bigint"), lambda n, o: n + F.size(F.filter(o["tokens"], lambda t: t.rlike(r"\S")))))
-    return changed.mapInPandas(run, schema).withColumn("added", words("+")).withColumn("removed", words("-"))
+            ops = [difference(TOKEN.findall(x), TOKEN.findall(y), limit)
+                   for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
+            size = lambda sign, real: pa.array([sum(
+                sum(not t.isspace() for t in ts) if real else len(ts) for o, ts in one if o == sign) for one in ops], pa.int64())
+            listed = pa.array([[{"op": o, "tokens": ts} for o, ts in one] for one in ops], arrow.field("ops").type)
+            columns = [batch.column(k) for k in keys] + [listed, size("+", True), size("-", True), size("+", False), size("-", False)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return changed.mapInArrow(run, schema)
 
 
 def page_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -317,6 +317,22 @@ def compared(reduce) -> str:
       FROM a FULL JOIN b ON a.pair = b.pair AND a.page_num = b.page_num)"""
 
 
+def aligned(status, text) -> str:
+    """Table ``edits`` of the changed pages: their tokens and the length of a longest common subsequence, row by row of the alignment."""
+    tokens = lambda x: f"regexp_extract_all({text(x)}, '\\s+|\\S+')"
+    return f"""{compared(status)}, t AS MATERIALIZED (SELECT row_number() OVER () AS id, pair, page_num, ta, tb, {tokens('ta')} AS a, {tokens('tb')} AS b FROM cmp WHERE status = 'changed'),
+      l AS MATERIALIZED (SELECT id, generate_subscripts(a, 1) AS i, unnest(a) AS token FROM t),
+      grid AS (SELECT id, 0 AS i, 0 AS j, NULL AS token, 0 AS v FROM t UNION ALL SELECT id, 0, generate_subscripts(b, 1), unnest(b), 0 FROM t
+        UNION ALL SELECT id, i + 1, j, token, max(best) OVER (PARTITION BY id ORDER BY j) FROM (
+          SELECT g.id, g.i, g.j, g.token, greatest(v, CASE WHEN g.token = l.token THEN 1 + lag(v) OVER (PARTITION BY g.id ORDER BY j) ELSE 0 END) AS best
+          FROM grid g JOIN l ON l.id = g.id AND l.i = g.i + 1)),
+      edits AS (SELECT t.*, len(b) - n AS inserted, len(a) - n AS deleted FROM t JOIN (SELECT id, max(v) AS n FROM grid GROUP BY id) USING (id))"""
+
+
+def word_count(x: str) -> str:
+    return f"len(list_filter({x}, lambda w: NOT regexp_full_match(w, '\\s+')))"
+
+
 oracle(
     compare_pages=f"WITH {compared(collapse)} SELECT pair, page_num, status FROM cmp",
     compare_summary=f"""WITH {compared(lambda x: collapse(prose(x)))}, s AS (SELECT pair, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status IN ('changed', 'same')) AS shared,
@@ -325,8 +341,10 @@ oracle(
     page_sets=f"""WITH {SIDES} SELECT pair, page_num, 'both' AS membership FROM (SELECT pair, page_num FROM a INTERSECT SELECT pair, page_num FROM b)
       UNION ALL SELECT pair, page_num, 'only_a' FROM (SELECT pair, page_num FROM a EXCEPT SELECT pair, page_num FROM b)
       UNION ALL SELECT pair, page_num, 'only_b' FROM (SELECT pair, page_num FROM b EXCEPT SELECT pair, page_num FROM a)""",
-    diff_words=f"""WITH {compared(collapse)} SELECT pair, page_num, {h16(strip('ta'))} AS a_hash, {h16(strip('tb'))} AS b_hash, true AS changed
-      FROM cmp WHERE status = 'changed'""",
+    diff_words=f"""WITH RECURSIVE {aligned(collapse, strip)} SELECT pair, page_num, {h16(strip('ta'))} AS a_hash, {h16(strip('tb'))} AS b_hash,
+      (inserted + deleted)::BIGINT AS edits FROM edits""",
+    diff_word_counts=f"""WITH RECURSIVE {aligned(lambda x: collapse(prose(x)), prose)} SELECT pair, page_num, inserted::BIGINT AS inserted, deleted::BIGINT AS deleted,
+      ({word_count('b')} - {word_count('a')})::BIGINT AS more_words FROM edits""",
 )
 
 # --- ledger -----------------------------------------------------------------------------------------------------------

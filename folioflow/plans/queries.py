@@ -447,12 +447,13 @@ def diff_words(spark, sf):
         F.filter("ops", lambda o: o["op"].isin(*ops)), lambda o: o["tokens"])), "")
     return diffs.select(
         "pair", "page_num", T.text_hash(side("=", "-")).alias("a_hash"), T.text_hash(side("=", "+")).alias("b_hash"),
-        (F.lit(1) * (F.col("added") + F.col("removed")) > 0).alias("changed"))
+        (F.col("inserted") + F.col("deleted")).alias("edits"))
 
 
 @query
 def diff_word_counts(spark, sf):
-    return CM.diff_pages(CM.compare_pages(*_sides(spark, sf), ["pair"], "prose")).select("pair", "page_num", "added", "removed")
+    return CM.diff_pages(CM.compare_pages(*_sides(spark, sf), ["pair"], "prose")).select(
+        "pair", "page_num", "inserted", "deleted", (F.col("added") - F.col("removed")).alias("more_words"))
 
 
 # --- ledger -----------------------------------------------------------------------------------------------------

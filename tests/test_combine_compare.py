@@ -1,9 +1,12 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from folioflow import constants as K
 from folioflow.operators import combine as C
 from folioflow.operators import compare as M
+from folioflow.operators import word_diff as W
 from folioflow.sources.files import write_consolidated
 
 HEADER = "# Report {y}\n\n> Source Document: `x`  \n\n---\n\n"
@@ -71,17 +74,38 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_edit_scripts_are_minimal_and_reassemble():
+@pytest.mark.parametrize("cells", [1 << 26, 8])
+def test_edit_scripts_are_minimal_and_reassemble(monkeypatch, cells):
+    """Few kept cells force the halving of tables."""
+    monkeypatch.setattr(W, "KEPT_CELLS", cells)
     rng = random.Random(5)
     for _ in range(300):
         a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
-        ops = M.diff_tokens(a, b)
+        ops = W.difference(a, b)
         assert [t for o, ts in ops for t in ts if o != "+"] == a and [t for o, ts in ops for t in ts if o != "-"] == b
-        assert sum(len(ts) for o, ts in ops if o == "=") == lcs(a, b)
-        assert all(x[0] != y[0] for x, y in zip(ops, ops[1:]))
+        assert sum(len(ts) for o, ts in ops if o == "=") == lcs(a, b) == W.common_length(a, b)
+        assert all(x[0] != y[0] and x[0] + y[0] != "+-" for x, y in zip(ops, ops[1:]))
 
 
-def test_rewritten_page_is_one_replacement():
-    a, b = [f"a{i}" for i in range(900)], [f"b{i}" for i in range(900)]
-    assert M.diff_tokens(["x", *a], ["x", *b]) == [("=", ["x"]), ("-", a), ("+", b)]
-    assert M.edit_script(a[:500], b[:500]) == [("-", a[:500]), ("+", b[:500])]
+def test_words_inserted_deleted_and_changed():
+    ops = lambda a, b: [(o, "".join(ts)) for o, ts in W.difference(W.TOKEN.findall(a), W.TOKEN.findall(b))]
+    assert ops("the same words", "the same words") == [("=", "the same words")] and ops("", "") == []
+    assert [o for o, t in ops("assets under management", "assets under active management")] == ["=", "+", "="]
+    assert [o for o, t in ops("net rental income rose", "net income rose")] == ["=", "-", "="]
+    assert ops("profit of £12.4m", "profit of £15.9m") == [("=", "profit of "), ("-", "£12.4m"), ("+", "£15.9m")]
+
+
+def test_rewritten_page_is_one_replacement_under_a_limit():
+    a, b = ([x for i in range(900) for x in (f"{s}{i}", " ")] for s in "ab")
+    assert W.difference(["x", *a], ["x", *b], K.MAX_EDIT_DISTANCE) == [("=", ["x"]), ("-", a[:-1]), ("+", b[:-1]), ("=", [" "])]
+    assert sum(len(ts) for o, ts in W.difference(a, b) if o == "=") == 900
+    assert [o for o, _ in W.difference(list("abcd"), list("axyd"), 3)] == ["=", "-", "+", "="] == [o for o, _ in W.difference(list("abcd"), list("axyd"), 4)]
+    assert [o for o, _ in W.difference(list("abcbd"), list("axbyd"), 3)] == ["=", "-", "+", "="]
+
+
+def test_long_pages_are_aligned_whole():
+    rng = random.Random(2)
+    a = [str(rng.randrange(3000)) for _ in range(20_000)]
+    b = [t for t in a if rng.random() < 0.9]
+    kept = sum(len(ts) for o, ts in W.difference(a, b) if o == "=")
+    assert kept == len(b)
