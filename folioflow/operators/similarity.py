@@ -7,17 +7,24 @@ Candidates come from prefix filtering: with words ordered from rare to common, t
 similarity t or more share a word among their first ``n - ceil(t n) + 1``, and share their two
 smallest common words among the first ``n - ceil(t n) + 2``. A prefix word found in few texts yields
 its pairs directly. A prefix word found in many is refined to word pairs. Word pairs that are still
-shared by many texts never yield all pairs: in each round only the first undecided text of such a
-group may become a leader and is compared with the rest of the group, so the work of a round is
-linear in the number of texts.
+shared by many texts never yield all pairs: in each round only the first undecided texts of such a
+group are compared with each other, those that turn out leaders then with the rest of the group. The
+first rounds take few texts of a group, since in a group of near copies one leader settles all others;
+groups that stay are of dissimilar texts, and take more and more of them at a time.
+
+Every text carries a parity bitmap: bit h is set if an odd number of its words hash to it. Two bitmaps
+differ in no more places than their texts differ in words, so nearly all pairs that merely share
+common words are ruled out before a word list moves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
@@ -26,6 +33,9 @@ from folioflow.plans.storage import materialise
 
 PAIR_GROUP = 64
 COMMON_WORDS = 20_000
+FRONT_GROWTH, FRONT_MOST = 8, 1024  # texts of a crowded group compared with each other in one round
+SOLVED_AT_ONCE = 200_000            # links few enough to be walked in order by one task
+LANES = 4
 
 
 @dataclass
@@ -48,8 +58,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
+def bitmap() -> list[Column]:
+    """Aggregates over the distinct words (column ``word``) of a text: its parity bitmap, in lanes of 64 bits."""
+    h = F.xxhash64("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
+    return [F.bit_xor(F.when(h.bitwiseAND(F.lit(LANES - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{i}") for i in range(LANES)]
+
+
+def may_reach(a_n: Column, b_n: Column, a_bits: Column, b_bits: Column, threshold: float) -> Column:
+    """False only where sizes or bitmaps prove the similarity to be below the threshold."""
+    apart = sum(F.bit_count(a_bits[f"bits{i}"].bitwiseXOR(b_bits[f"bits{i}"])) for i in range(LANES))
+    most = (a_n + b_n) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9)
+    return size_compatible(a_n, b_n, threshold) & (apart <= most)
+
+
 def rare_first(forms: DataFrame, threshold: float) -> DataFrame:
-    """``form, rank, n, keep, head``: the first ``keep + 1`` words of each text from rare to common.
+    """``form, rank, n, bits, keep, head``: the first ``keep + 1`` words of each text from rare to common.
 
     Words carrying more than 1/COMMON_WORDS of all entries are fewer than COMMON_WORDS, so their
     frequencies are broadcast; the frequencies of the others are joined by word without skew.
@@ -61,35 +85,36 @@ def rare_first(forms: DataFrame, threshold: float) -> DataFrame:
     rest = frequency.filter(F.col("df") * COMMON_WORDS <= F.lit(total))
     ranked = entries.join(common, "word").unionByName(
         entries.join(common.select("word"), "word", "left_anti").join(rest, "word"))
-    ordered = ranked.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("_o"))
+    ordered = ranked.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("_o"), *bitmap())
     sized = forms.select("form", "rank", F.size("words").alias("n"))
     keep = F.col("n") - required_overlap(F.col("n"), threshold) + 1
     return ordered.join(sized, "form").select(
-        "form", "rank", "n", keep.alias("keep"),
+        "form", "rank", "n", F.struct(*[f"bits{i}" for i in range(LANES)]).alias("bits"), keep.alias("keep"),
         F.transform(F.slice("_o", 1, keep + 1), lambda w: w["word"]).alias("head"))
 
 
 def _with_group_size(entries: DataFrame) -> DataFrame:
     """Entries whose signature occurs more than once, with the number of its members."""
     sizes = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
-    sizes = materialise(sizes, "group-sizes")
-    return lookup(entries, sizes, "sig", counts=sizes.withColumnRenamed("members", "_n"))
+    return entries.join(sizes, "sig")
 
 
 def _pairs_within(entries: DataFrame, threshold: float) -> DataFrame:
-    """Earlier and later text of each compatible pair inside small groups."""
-    a = entries.select("sig", F.col("form").alias("a"), F.col("rank").alias("a_rank"), F.col("n").alias("a_n"))
-    b = entries.select("sig", F.col("form").alias("b"), F.col("rank").alias("b_rank"), F.col("n").alias("b_n"))
-    near = (F.col("a_rank") < F.col("b_rank")) & size_compatible(F.col("a_n"), F.col("b_n"), threshold)
-    return a.join(b, "sig").filter(near).select("a", "b").distinct()
+    """Earlier and later text of each pair inside small groups that sizes and bitmaps leave open."""
+    a, b = (entries.select("sig", *[F.col(c).alias(f"{x}_{c}") for c in ("form", "rank", "n", "bits")]) for x in "ab")
+    near = (F.col("a_rank") < F.col("b_rank")) & may_reach(*[F.col(c) for c in ("a_n", "b_n", "a_bits", "b_bits")], threshold)
+    return a.join(b, "sig").filter(near).select(F.col("a_form").alias("a"), F.col("b_form").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
-    """Keep the pairs ``(a, b)`` whose word sets reach the threshold; adds ranks and sizes."""
+    """Keep the pairs ``(a, b)`` whose word sets reach the threshold; adds ranks and sizes.
+
+    A text found in very many pairs is split over tasks by the adaptive skew join, on either side.
+    """
     side = lambda x: forms.select(
         F.col("form").alias(x), F.col("rank").alias(f"{x}_rank"), F.size("words").alias(f"{x}_n"),
         F.col("words").alias(f"{x}_words"))
-    both = lookup(pairs, side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     scored = both.withColumn("similarity", jaccard(F.col("a_words"), F.col("b_words")))
     return scored.filter(F.col("similarity") >= threshold).drop("a_words", "b_words")
 
@@ -102,7 +127,7 @@ def leader_clusters(forms: DataFrame, threshold: float = K.DEFAULT_SIMILARITY) -
     """
     forms = forms.filter(F.size("words") > 0)
     heads = materialise(rare_first(forms, threshold), "heads")
-    single = heads.select("form", "rank", "n", F.explode(F.slice("head", 1, F.col("keep"))).alias("sig"))
+    single = heads.select("form", "rank", "n", "bits", F.explode(F.slice("head", 1, F.col("keep"))).alias("sig"))
     grouped = materialise(_with_group_size(single), "prefixes")
     small = _pairs_within(grouped.filter(F.col("members") <= PAIR_GROUP), threshold)
     large = grouped.filter(F.col("members") > PAIR_GROUP).select("form", "sig")
@@ -113,7 +138,7 @@ def leader_clusters(forms: DataFrame, threshold: float = K.DEFAULT_SIMILARITY) -
         small = small.unionByName(_pairs_within(double.filter(F.col("members") <= PAIR_GROUP), threshold)).distinct()
         crowded = double.filter(F.col("members") > PAIR_GROUP).drop("members")
         crowded = None if crowded.isEmpty() else materialise(crowded, "crowded")
-    edges = materialise(verify(materialise(small, "candidates"), forms, threshold), "edges")
+    edges = materialise(verify(small, forms, threshold), "edges")
     return _elect(forms, edges, crowded, threshold)
 
 
@@ -124,8 +149,8 @@ def _word_pairs(large: DataFrame, heads: DataFrame, threshold: float) -> DataFra
     seconds = F.slice("head", at + 1, F.greatest(F.size("head") - at, F.lit(0)))
     alone = F.when(required_overlap(F.col("n"), threshold) <= 1, F.array(F.lit(""))).otherwise(
         F.array().cast("array<string>"))
-    return rows.select("form", "rank", "n", "first", F.explode(F.concat(seconds, alone)).alias("second")).select(
-        "form", "rank", "n", F.concat_ws("\x01", "first", "second").alias("sig"))
+    return rows.select("form", "rank", "n", "bits", "first", F.explode(F.concat(seconds, alone)).alias("second")).select(
+        "form", "rank", "n", "bits", F.concat_ws("\x01", "first", "second").alias("sig"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -133,44 +158,45 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _elect(forms: DataFrame, edges: DataFrame, crowded: DataFrame | None, threshold: float) -> Clusters:
-    """Decide leaders round by round.
+    """Decide leaders.
 
     A text is a leader once no earlier undecided text can be similar to it, and merged once a similar
-    earlier leader exists. Each round decides at least the earliest undecided text.
+    earlier leader exists. Links alone decide as soon as no crowded group holds undecided texts.
     """
-    touched = edges.select(F.col("a").alias("form"), F.col("a_rank").alias("rank")).unionByName(
-        edges.select(F.col("b").alias("form"), F.col("b_rank").alias("rank")))
-    if crowded is not None:
-        touched = touched.unionByName(crowded.select("form", "rank"))
-    undecided = materialise(touched.distinct(), "undecided")
     merged_parts: list[DataFrame] = []
     link_parts: list[DataFrame] = []
-
-    while not undecided.isEmpty():
+    known = [edges]
+    undecided = None
+    if crowded is not None:
+        touched = _union([edges.select(F.col(x).alias("form"), F.col(f"{x}_rank").alias("rank")) for x in "ab"] + [crowded.select("form", "rank")])
+        undecided = materialise(touched.distinct(), "undecided")
+    front = 1
+    while undecided is not None and not undecided.isEmpty():
         open_forms = undecided.select("form")
-        live = edges.join(open_forms.withColumnRenamed("form", "a"), "a", "left_semi").join(
-            open_forms.withColumnRenamed("form", "b"), "b", "left_semi")
-        waiting = live.select(F.col("b").alias("form"))
-        if crowded is not None:
-            live_entries = crowded.join(open_forms, "form", "left_semi")
-            firsts = live_entries.groupBy("sig").agg(F.min_by("form", "rank").alias("first"))
-            behind = lookup(live_entries, firsts, "sig").filter(F.col("form") != F.col("first"))
-            waiting = waiting.unionByName(behind.select("form"))
+        entries = materialise(crowded.join(open_forms, "form", "left_semi"), "open-entries")
+        if entries.isEmpty():
+            break
+        behind, near = _fronts(entries, front, threshold)
+        found = materialise(verify(near, forms, threshold), "front-edges")
+        known.append(found)
+        live = _open_edges(_union(known), open_forms)
+        waiting = live.select(F.col("b").alias("form")).unionByName(behind)
         elected = materialise(undecided.join(waiting.distinct(), "form", "left_anti"), "elected")
         merged = live.join(elected.select(F.col("form").alias("a")), "a", "left_semi").select(F.col("b").alias("form"))
-        if crowded is not None:
-            found = materialise(_compare_with(elected, crowded, forms, threshold), "crowded-links")
-            link_parts.append(found)
-            merged = merged.unionByName(found.filter(F.col("leader_rank") < F.col("rank")).select("form").join(
-                open_forms, "form", "left_semi"))
+        links = materialise(_compare_with(elected, crowded, forms, threshold), "crowded-links")
+        link_parts.append(links)
+        merged = merged.unionByName(links.filter(F.col("leader_rank") < F.col("rank")).select("form").join(open_forms, "form", "left_semi"))
         merged = materialise(merged.distinct(), "merged")
         merged_parts.append(merged)
         undecided = materialise(
             undecided.join(elected.select("form"), "form", "left_anti").join(merged, "form", "left_anti"), "undecided")
+        front = min(front * FRONT_GROWTH, FRONT_MOST)
+
+    edges = edges if len(known) == 1 else materialise(_union(known).distinct(), "edges")
+    merged_parts.append(_decide(edges if undecided is None else _open_edges(edges, undecided.select("form"))))
 
     sized = forms.select("form", "rank", F.size("words").alias("n"))
-    leaders = sized if not merged_parts else sized.join(_union(merged_parts), "form", "left_anti")
-    leaders = materialise(leaders, "leaders")
+    leaders = materialise(sized.join(_union(merged_parts), "form", "left_anti"), "leaders")
     led = leaders.select(F.col("form").alias("leader"))
 
     def directed(leader: str, form: str) -> DataFrame:
@@ -184,16 +210,61 @@ def _elect(forms: DataFrame, edges: DataFrame, crowded: DataFrame | None, thresh
     return Clusters(leaders, materialise(links.distinct(), "links"))
 
 
+def _open_edges(edges: DataFrame, open_forms: DataFrame) -> DataFrame:
+    """Edges between undecided texts."""
+    for x in "ab":
+        edges = edges.join(open_forms.withColumnRenamed("form", x), x, "left_semi")
+    return edges
+
+
+def _fronts(entries: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The texts behind the first ``size`` of some group, and the open pairs among the first of each group."""
+    order = Window.partitionBy("sig").orderBy("rank")
+    first = materialise(entries.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size), "fronts")
+    ends = first.groupBy("sig").agg(F.max("rank").alias("last"), F.count(F.lit(1)).alias("held")).filter(F.col("held") == size)
+    behind = entries.join(ends, "sig").filter(F.col("rank") > F.col("last")).select("form")
+    return behind, _pairs_within(first, threshold)
+
+
+def _decide(edges: DataFrame) -> DataFrame:
+    """Texts merged by ``edges`` alone: those with an earlier neighbour that is not merged itself.
+
+    Texts without an earlier undecided neighbour are decided in rounds, until the links left are few enough for one task
+    to walk them in rank order.
+    """
+    merged: list[DataFrame] = []
+    while edges.count() > SOLVED_AT_ONCE:
+        later = edges.select(F.col("b").alias("form")).distinct()
+        heads = edges.join(later.withColumnRenamed("form", "a"), "a", "left_anti")
+        gone = materialise(heads.select(F.col("b").alias("form")).distinct(), "merged")
+        merged.append(gone)
+        decided = heads.select(F.col("a").alias("form")).unionByName(gone).distinct()
+        edges = materialise(edges.join(decided.withColumnRenamed("form", "a"), "a", "left_anti").join(
+            decided.withColumnRenamed("form", "b"), "b", "left_anti"), "edges")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone: set[str] = set()
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                if a not in gone:
+                    gone.add(b)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.string())], names=["form"])
+
+    ordered = edges.select("a", "b", "a_rank", "b_rank").coalesce(1).sortWithinPartitions("b_rank", "a_rank").select("a", "b")
+    merged.append(ordered.mapInArrow(walk, "form string"))
+    return _union(merged)
+
+
 def _compare_with(elected: DataFrame, crowded: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     """Links between newly elected leaders and every text sharing a crowded group with them.
 
-    A group elects at most one leader per round, so this looks at each group entry once.
+    A group elects at most its front in a round; nearly all pairs end at their bitmaps.
     """
     fronts = crowded.join(elected.select("form"), "form", "left_semi").select(
-        "sig", F.col("form").alias("a"), F.col("n").alias("a_n"))
-    near = lookup(crowded, fronts, "sig").filter(
-        (F.col("form") != F.col("a")) & size_compatible(F.col("a_n"), F.col("n"), threshold))
-    pairs = materialise(near.select("a", F.col("form").alias("b")).distinct(), "crowded-candidates")
+        "sig", F.col("form").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
+    near = crowded.join(fronts, "sig").filter(
+        (F.col("form") != F.col("a")) & may_reach(F.col("a_n"), F.col("n"), F.col("a_bits"), F.col("bits"), threshold))
+    pairs = near.select("a", F.col("form").alias("b")).distinct()
     return verify(pairs, forms, threshold).select(
         F.col("b").alias("form"), F.col("b_rank").alias("rank"), F.col("a").alias("leader"),
         F.col("a_rank").alias("leader_rank"), F.col("a_n").alias("leader_n"), "similarity")

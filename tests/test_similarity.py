@@ -90,3 +90,41 @@ def test_many_near_copies_form_one_cluster(spark):
     assert clusters.leaders.count() == 401
     links = clusters.links.collect()
     assert len(links) == 199 and {r.leader for r in links} == {"c000"}
+
+
+def test_dissimilar_texts_of_common_words_take_few_rounds(spark, monkeypatch, count=4000):
+    """Every text shares its rarest words with many others and is similar to none."""
+    rng, rounds, fronts = random.Random(count), [], S._fronts
+    monkeypatch.setattr(S, "_fronts", lambda *args: rounds.append(1) or fronts(*args))
+    monkeypatch.setattr(S, "PAIR_GROUP", 16)
+    base = [f"w{i:02d}" for i in range(80)]
+    rows = [(f"f{i:04d}", i, rng.sample(base, 40)) for i in range(count)]
+    table = materialise(spark.createDataFrame(rows, "form string, rank int, words array<string>"), "forms")
+    clusters = S.leader_clusters(table, 0.85)
+    assert clusters.leaders.count() == count and clusters.links.count() == 0 and 0 < len(rounds) < 10
+
+
+def test_bitmaps_leave_few_pairs_and_lose_none(spark, monkeypatch):
+    checked, verify = [], S.verify
+    monkeypatch.setattr(S, "verify", lambda pairs, *args: checked.append(pairs.count()) or verify(pairs, *args))
+    rng = random.Random(4)
+    base = [f"w{i:02d}" for i in range(120)]
+    sets = [rng.sample(base, 60) for _ in range(150)]
+    sets += [[*s[:57], "x", "y"] for s in sets[:40]]
+    rows = [(f"f{i:03d}", i, s) for i, s in enumerate(sets)]
+    table = materialise(spark.createDataFrame(rows, "form string, rank int, words array<string>"), "forms")
+    links = {(r.form, r.leader) for r in S.leader_clusters(table, 0.85).links.collect()}
+    assert links == {(f"f{150 + i:03d}", f"f{i:03d}") for i in range(40)}
+    assert sum(checked) < 200  # of 17,955 pairs
+
+
+def test_links_walked_in_rounds_equal_links_walked_at_once(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)}
+    edges = materialise(spark.createDataFrame([(f"f{a}", f"f{b}", a, b) for a, b in pairs], "a string, b string, a_rank int, b_rank int"), "edges")
+    gone = set()
+    for a, b in sorted(pairs, key=lambda p: (p[1], p[0])):
+        gone |= {b} if a not in gone else set()
+    for most in (10_000, 5):
+        monkeypatch.setattr(S, "SOLVED_AT_ONCE", most)
+        assert {r.form for r in S._decide(edges).collect()} == {f"f{i}" for i in gone}
