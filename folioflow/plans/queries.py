@@ -562,7 +562,7 @@ def stream_job_status(spark, sf):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     out, checkpoint = scratch_path(spark, "job-status"), scratch_path(spark, "job-status-progress")
     ST.write_job_status(X.job_events(X.with_zone(stream)), out, checkpoint).awaitTermination()
-    state = ST.latest_job_status(spark.read.parquet(out))
+    state = ST.latest_job_status(spark, out)
     return state.select("job_id", "status", "is_completed", F.unix_micros("completed_at").alias("completed_micros"))
 
 
@@ -575,7 +575,7 @@ def stream_collect_results(spark, sf):
     cache, refused = scratch_path(spark, "stream-cache"), scratch_path(spark, "stream-refused")
     stream = spark.readStream.schema(responses.schema).parquet(source)
     ST.collect_stream(stream, mapping, X.MODEL, cache, refused, scratch_path(spark, "collect-progress")).awaitTermination()
-    return ST.collected_pages(spark.read.parquet(cache)).select("model", "doc", "page_num", "text")
+    return ST.collected_pages(spark, cache).select("model", "doc", "page_num", "text")
 
 
 @query

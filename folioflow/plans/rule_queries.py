@@ -172,9 +172,9 @@ def ingested_versions(spark, sf):
     lines = X.table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("path"), F.col("l_linenumber").cast("bigint").alias("size"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("mtime"))
     source, table, progress = (scratch_path(spark, f"ingest-{n}") for n in ("source", "table", "progress"))
-    lines.write.parquet(source)
-    ST.ingest_stream(spark.readStream.schema(lines.schema).parquet(source), table, progress).awaitTermination()
-    return I.newest_versions(spark.read.parquet(table).select("path", "size", "mtime"))
+    lines.repartition(6).write.parquet(source)  # six batches
+    ST.ingest_stream(spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(source), table, progress).awaitTermination()
+    return ST.ingested(spark, table).select("path", "size", "mtime")
 
 
 oracle(

@@ -6,6 +6,7 @@ from folioflow.operators import inventory as I
 from folioflow.operators import ledger as L
 from folioflow.sources import files as S
 from folioflow.streaming import jobs as J
+from folioflow.streaming.tables import StreamTable
 
 
 def workspace(root):
@@ -101,7 +102,7 @@ def test_job_status_stream_equals_batch(spark, tmp_path):
         J.write_job_status(stream, out, str(tmp_path / "ck")).awaitTermination()
     pick = lambda df: sorted((r.job_id, r.status, r.is_completed, r.completed_at) for r in df.collect())
     batch = pick(L.job_state(events))
-    assert pick(J.latest_job_status(spark.read.parquet(out))) == batch
+    assert pick(J.latest_job_status(spark, out)) == batch
     assert [b[:3] for b in batch] == [("a", "JOB_STATE_SUCCEEDED", True), ("b", "JOB_STATE_RUNNING", False), ("c", "JOB_STATE_FAILED", True)]
 
 
@@ -114,8 +115,40 @@ def test_collect_stream_is_idempotent(spark, tmp_path):
         (source / f"{i}.jsonl").write_text("\n".join([line("k1", "one"), line("k2", " "), line("zz", "?")]))
         stream = spark.readStream.schema(L.RESPONSE_SCHEMA).json(str(source))
         J.collect_stream(stream, mapping, "m", str(tmp_path / "cache"), str(tmp_path / "no"), str(tmp_path / "ck")).awaitTermination()
-    assert [tuple(r) for r in J.collected_pages(spark.read.parquet(str(tmp_path / "cache"))).collect()] == [("m", "d", 1, "one")]
-    assert {r.page_num for r in spark.read.parquet(str(tmp_path / "no")).collect()} == {2}
+    assert [tuple(r) for r in J.collected_pages(spark, str(tmp_path / "cache")).collect()] == [("m", "d", 1, "one")]
+    assert {r.page_num for r in StreamTable(str(tmp_path / "no"), ["doc", "page_num"], ["batch_id"]).read(spark).collect()} == {2}
+
+
+def test_ended_jobs_leave_the_state_and_late_events_do_not_bring_them_back(spark, tmp_path):
+    day, source, out = 86_400, str(tmp_path / "in"), str(tmp_path / "out")
+    schema, sizes = "job_id string, status string, ts timestamp, seq bigint", []
+    for n in range(4):  # two jobs a batch end ten days apart, one job stays open; the last batch repeats old events
+        rows = [("open", "JOB_STATE_RUNNING", n * 10 * day, n), (f"j{n}", "JOB_STATE_RUNNING", n * 10 * day, n), (f"j{n}", "JOB_STATE_SUCCEEDED", n * 10 * day + 5, n)]
+        rows += [("j0", "JOB_STATE_RUNNING", 1, 0)] if n == 3 else []
+        df = spark.createDataFrame(rows, "job_id string, status string, s long, seq long").select("job_id", "status", F.timestamp_seconds("s").alias("ts"), "seq")
+        df.coalesce(1).write.mode("append").parquet(source)
+        query = J.write_job_status(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "ck"))
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {r.job_id: (r.status, r.is_completed) for r in J.latest_job_status(spark, out).collect()}
+    assert got == {"open": ("JOB_STATE_RUNNING", False)} | {f"j{n}": ("JOB_STATE_SUCCEEDED", True) for n in range(4)}
+    assert sizes[-1] <= sizes[0] + 2, sizes
+
+
+def test_stream_table_keeps_two_generations_and_the_newest_rows(spark, tmp_path):
+    import random
+
+    rng, want, table = random.Random(1), {}, StreamTable(str(tmp_path / "t"), ["k"], ["v"])
+    for n in range(9):
+        rows = [(rng.randrange(40), 100 * n + i, f"x{i}") for i in range(1 + 30 * (n % 4 == 0))]
+        df = spark.createDataFrame(rows, "k long, v long, text string").coalesce(1)
+        for _ in range(1 + (n == 5)):  # one batch is run again
+            table.merge(df, n)
+        for k, v, t in sorted(rows, key=lambda r: r[1]):
+            want[k] = (v, t)
+    assert {r.k: (r.v, r.text) for r in table.read(spark).collect()} == want
+    folders = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert len(table.generations(spark)) <= 2 and len(folders) <= 5 and len(list((tmp_path / "t" / "manifests").glob("0*"))) == 2
 
 
 def test_ingest_reads_changes_only(spark):
