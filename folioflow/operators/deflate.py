@@ -7,6 +7,7 @@ documents are replaced, ``rewrite`` produces the lightweight texts. Documents ar
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -270,6 +271,37 @@ def apply_verdicts(decisions: DataFrame, verdicts: DataFrame | None) -> DataFram
     return gated.filter((F.col("reason") != "boilerplate") | (F.coalesce("verdict", F.lit("keep")) == "strip")).drop("verdict")
 
 
+def classify(candidates: DataFrame, judge: Callable[[pd.DataFrame], pd.Series], known: DataFrame | None = None) -> DataFrame:
+    """A caller's classifier over the distinct candidates: ``fp, verdict``, NULL where it failed (which keeps the text).
+
+    ``judge`` gets Arrow batches of ``fp, heading, example, files``, the example cut to the reference's length, and returns
+    'strip' or 'keep' per row. A batch that fails is asked row by row, so one bad passage costs no other its verdict, and other
+    answers are failures. Verdicts in ``known``, from earlier runs, are taken over by fingerprint and not asked for again.
+    """
+    rows = candidates.select("fp", "heading", F.substring("example", 1, K.EXAMPLE_CHARS).alias("example"), "files").dropDuplicates(["fp"])
+    held = None
+    if known is not None:
+        held = known.filter(F.col("verdict").isNotNull()).groupBy("fp").agg(F.max("verdict").alias("verdict"))
+        rows, held = rows.join(held, "fp", "left_anti"), held.join(rows.select("fp"), "fp", "left_semi")
+
+    def ask(batch: pd.DataFrame) -> list:
+        try:
+            given = list(judge(batch))
+            if len(given) != len(batch):
+                raise ValueError("one verdict per row")
+            return [v if v in ("strip", "keep") else None for v in given]
+        except Exception:  # the caller's code may fail in any way
+            return [None] if len(batch) == 1 else [v for i in range(len(batch)) for v in ask(batch.iloc[[i]])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"fp": batch["fp"], "verdict": ask(batch)})
+
+    asked = rows.mapInPandas(run, "fp string, verdict string")
+    return asked if held is None else asked.unionByName(held)
+
+
 def pointer_text(label: Column, reason: Column, entities: Column, files: Column, canonical: Column) -> Column:
     shared = F.format_string("standard statutory text shared by %d companies, %d filings", entities, files)
     repeated = F.format_string(

@@ -15,7 +15,7 @@ from pyspark.sql import types as TY
 
 from folioflow import constants as K
 from folioflow.functions import text as T
-from folioflow.plans.storage import materialise
+from folioflow.plans.storage import materialise, stored_whole
 from folioflow.operators.ordering import number_within, running_max, scan_in_order
 from folioflow.operators.pages import assemble
 
@@ -251,3 +251,30 @@ def convert_missing(
     prompt = F.lit(None if prompt_id == K.PRESET_PROMPT else prompt_id).cast("string")
     converted = done.filter(held).withColumns({"model": F.lit(model), "prompt": prompt})
     return converted, done.filter(~held).drop("text")
+
+
+def convert_in_passes(
+    pages: DataFrame, transcribe: Callable[[pd.DataFrame, str], pd.Series], model: str, path: str, passes: int = K.MAX_RETRY_PASSES + 1
+) -> tuple[DataFrame, DataFrame]:
+    """Run the ladder of prompts over ``pages`` (``doc, page_num, ...``): what one prompt is refused, the next one is asked.
+
+    Each pass is stored below ``path`` before the next begins. A pass that is complete is not run again, so a run stopped
+    at any point goes on where it was; a pass cut off half-way is written anew. Returns all converted pages, with the prompt
+    and pass that got them, and the pages refused by every prompt.
+    """
+    spark, open_pages, done = pages.sparkSession, pages, []
+    for number in range(min(passes, K.MAX_RETRY_PASSES + 1)):
+        place = f"{path.rstrip('/')}/pass={number}"
+        if not stored_whole(spark, place):
+            converted, refused = convert_missing(open_pages, transcribe, model, number)
+            both = converted.withColumn("held", F.lit(True)).unionByName(refused.withColumn("held", F.lit(False)), allowMissingColumns=True)
+            both.write.mode("overwrite").parquet(place)
+        stored = spark.read.parquet(place)
+        done.append(stored.filter("held").drop("held").withColumn("retry_pass", F.lit(number)))
+        open_pages = stored.filter("NOT held").select(*pages.columns)
+        if open_pages.isEmpty():
+            break
+    out = done[0]
+    for other in done[1:]:
+        out = out.unionByName(other)
+    return out, open_pages

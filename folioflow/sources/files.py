@@ -13,6 +13,7 @@ from folioflow.functions import text as T
 from folioflow.operators.combine import PART_ORDER
 from folioflow.operators.cost import RATE_FIELDS
 from folioflow.operators.ledger import RESPONSE_SCHEMA
+from folioflow.sources.document_sink import write_documents
 
 TRANSCRIPT_SCHEMA = "path string, name string, text string, size bigint, mtime timestamp"
 
@@ -156,11 +157,14 @@ def lightweight_path(doc) -> Column:
     return F.concat(F.regexp_replace(folder, rf"/{K.MARKDOWN_DIR}$", ""), F.lit(f"/{K.LIGHTWEIGHT_DIR}/"), name)
 
 
-def write_lightweight(results: DataFrame, path: str, mode: str = "algorithmic") -> DataFrame:
-    """Store lightweight texts by entity with their output path; a dry run stores nothing."""
-    out = results.withColumn("output", lightweight_path("doc")) if dict(results.dtypes)["doc"] == "string" else results
+def write_lightweight(results: DataFrame, root: str, mode: str = "algorithmic") -> DataFrame:
+    """Write each lightweight text (``doc`` a path, ``content``) to its own file in the ``Lightweight`` folder beside the
+    transcript, paths being relative to the workspace ``root`` or below it; a dry run stores nothing."""
+    base = os.path.abspath(urlparse(root).path) + "/"
+    out = results.withColumn("output", lightweight_path("doc"))
     if mode != "dry-run":
-        out.write.mode("overwrite").partitionBy("entity").parquet(path)
+        inside = F.when(F.col("output").startswith(base), F.substring("output", F.lit(len(base) + 1), F.length("output"))).otherwise(F.col("output"))
+        write_documents(out, root, inside, F.col("content"))
     return out.withColumn("written", F.lit(mode != "dry-run"))
 
 
@@ -217,7 +221,8 @@ def plan_groups(plans: DataFrame) -> DataFrame:
 
 
 def write_plans(plans: DataFrame, path: str) -> None:
-    plans.write.mode("append").json(path)
+    """One JSON file per plan, named by its id."""
+    write_documents(plans, path, F.concat("id", F.lit(".json")), F.to_json(F.struct(*plans.columns)))
 
 
 def latest_plan_id(plans: DataFrame) -> DataFrame:

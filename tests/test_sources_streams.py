@@ -1,10 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from folioflow.operators import deflate as D
 from folioflow.operators import inventory as I
 from folioflow.operators import ledger as L
 from folioflow.sources import files as S
+from folioflow.sources.document_sink import write_documents
 from folioflow.streaming import jobs as J
 from folioflow.streaming.tables import StreamTable
 
@@ -157,3 +160,46 @@ def test_ingest_reads_changes_only(spark):
     assert sorted(r.path for r in I.ingest_changed(current, previous).collect()) == ["b", "c"]
     history = current.unionByName(current.withColumns({"mtime": F.lit(99), "text": F.lit("new")}).filter("path = 'b'"))
     assert {r.path: r.text for r in I.newest_versions(history).collect()} == {"a": "x", "b": "new", "c": "z"}
+
+
+def test_document_files_appear_whole_or_not_at_all(spark, tmp_path):
+    root = tmp_path / "out"
+    df = spark.createDataFrame([(f"a/{i}.md", f"text {i}") for i in range(20)] + [("b.md", None)], "file string, text string").repartition(3)
+    write_documents(df, str(root), F.col("file"), F.col("text"))
+    files = lambda: {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()}
+    want = {f"a/{i}.md": f"text {i}" for i in range(20)} | {"b.md": ""}
+    assert files() == want and sorted(p.name for p in root.iterdir()) == ["a", "b.md"]
+    for bad in ("../out.md", "/etc/x", None, ""):
+        broken = df.withColumn("file", F.when(F.col("file") == "a/7.md", F.lit(bad).cast("string")).otherwise(F.concat(F.lit("new/"), "file")))
+        with pytest.raises(Exception, match="no file name below the root"):
+            write_documents(broken, str(root), F.col("file"), F.col("text"))
+    assert files() == want and sorted(p.name for p in root.iterdir()) == ["a", "b.md"]
+    write_documents(df.limit(0), str(root), F.col("file"), F.col("text"))
+    write_documents(df.filter("file = 'b.md'"), str(root), F.col("file"), F.lit("newer"))
+    assert files() == want | {"b.md": "newer"}
+
+
+def test_lightweight_and_plan_files(spark, tmp_path):
+    root = str(tmp_path)
+    results = spark.createDataFrame([(f"{root}/A/Markdown/x.md", "light"), ("B/y.md", "also")], "doc string, content string")
+    assert {r.output for r in S.write_lightweight(results, root, "dry-run").collect()} == {f"{root}/A/Lightweight/x.md", "B/Lightweight/y.md"}
+    assert not (tmp_path / "A").exists()
+    S.write_lightweight(results, root)
+    assert (tmp_path / "A/Lightweight/x.md").read_text() == "light" and (tmp_path / "B/Lightweight/y.md").read_text() == "also"
+    S.write_plans(spark.createDataFrame([("plan_1", "m"), ("plan_2", None)], "id string, model string"), str(tmp_path / "plans"))
+    assert sorted(r.id for r in S.read_plans(spark, str(tmp_path / "plans")).collect()) == ["plan_1", "plan_2"]
+
+
+def test_classifier_failures_keep_and_known_verdicts_are_not_asked_again(spark):
+    rows = [(f"f{i}", "h", "x" * 900, i) for i in range(12)] + [("f3", "h", "x", 3)]
+    candidates = spark.createDataFrame(rows, "fp string, heading string, example string, files long")
+
+    def judge(batch):
+        assert not set(batch["fp"]) & {"f1", "f2"} and batch["example"].str.len().max() <= 500
+        if (batch["files"] == 5).any():
+            raise ValueError("refused")
+        return ["strip" if n % 2 else "odd" if n == 8 else "keep" for n in batch["files"]]
+
+    known = spark.createDataFrame([("f1", "keep"), ("f2", "strip"), ("f9", None), ("zz", "strip")], "fp string, verdict string")
+    got = {r.fp: r.verdict for r in D.classify(candidates, judge, known).collect()}
+    assert got == {f"f{i}": "strip" if i % 2 else "keep" for i in range(12)} | {"f1": "keep", "f2": "strip", "f5": None, "f8": None}
