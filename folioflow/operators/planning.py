@@ -17,6 +17,7 @@ from folioflow.plans.storage import materialise
 
 BLOCK_PAGES = 250_000
 FOLD_BLOCK = 4096
+FAN = 64  # summaries composed or chained in one group
 
 
 # --- cutting folders -------------------------------------------------------------------------------------
@@ -42,18 +43,34 @@ def _block_effect(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
     starts = np.flatnonzero(np.r_[True, (np.diff(out) != 0) | (np.diff(total) != 0)])
     return pd.DataFrame({
         "folder": [frame["folder"].iloc[0]], "block": [frame["block"].iloc[0]],
-        "starts": [(starts - 1).tolist()], "outs": [out[starts].tolist()], "cuts": [total[starts].tolist()]})
+        "starts": [(starts - 1).tolist()], "outs": [out[starts].tolist()], "cuts": [total[starts].tolist()],
+        "held": [int(frame["pages"].sum())]})
 
 
-def _chain(blocks: pd.DataFrame) -> pd.DataFrame:
-    state, part, entry = -1, 1, []
+def _compose(blocks: pd.DataFrame, fan: int) -> pd.DataFrame:
+    """One effect from those of neighbouring blocks, applied one after another; it has no more steps than the first."""
     blocks = blocks.sort_values("block")
+    first = blocks.iloc[0]
+    outs, cuts = np.asarray(first["outs"]), np.asarray(first["cuts"])
+    for starts, then, more in zip(blocks["starts"][1:], blocks["outs"][1:], blocks["cuts"][1:]):
+        at = np.searchsorted(starts, outs, side="right") - 1
+        outs, cuts = np.asarray(then)[at], cuts + np.asarray(more)[at]
+    return pd.DataFrame({
+        "folder": [first["folder"]], "block": [first["block"] // fan], "starts": [list(first["starts"])], "outs": [outs.tolist()],
+        "cuts": [cuts.tolist()], "held": [int(blocks["held"].sum())]})
+
+
+def _chain(blocks: pd.DataFrame, entry: pd.DataFrame | None = None) -> pd.DataFrame:
+    """State and part with which each block starts, and the pages of the folder; ``entry`` is what the blocks above say."""
+    blocks = blocks.sort_values("block")
+    state, part, whole = (-1, 1, int(blocks["held"].sum())) if entry is None else (int(entry[c].iloc[0]) for c in ("state", "part", "whole"))
+    starting = []
     for starts, outs, cuts in zip(blocks["starts"], blocks["outs"], blocks["cuts"]):
-        entry.append((state, part))
+        starting.append((state, part))
         at = int(np.searchsorted(starts, state, side="right")) - 1
         state, part = int(outs[at]), part + int(cuts[at])
     return pd.DataFrame({
-        "folder": blocks["folder"], "block": blocks["block"], "state": [e[0] for e in entry], "part": [e[1] for e in entry]})
+        "folder": blocks["folder"], "block": blocks["block"], "state": [e[0] for e in starting], "part": [e[1] for e in starting], "whole": whole})
 
 
 def _number(docs: pd.DataFrame, entry: pd.DataFrame, limit: int) -> pd.DataFrame:
@@ -64,7 +81,7 @@ def _number(docs: pd.DataFrame, entry: pd.DataFrame, limit: int) -> pd.DataFrame
         state = min((0 if opened else max(state, 0)) + pages, limit + 1)
         part += opened
         parts.append(part)
-    return docs.assign(part=parts)[["folder", "doc", "pages", "part"]]
+    return docs.assign(part=parts, whole=int(entry["whole"].iloc[0]))[["folder", "doc", "pages", "part", "whole"]]
 
 
 def chunk_folders(inventory: DataFrame, max_pages: int = K.MAX_PAGES_PER_JOB) -> DataFrame:
@@ -72,8 +89,9 @@ def chunk_folders(inventory: DataFrame, max_pages: int = K.MAX_PAGES_PER_JOB) ->
     splitting a document. Adds ``part`` and ``group``, the job's name.
 
     The rule is sequential, but what a run of documents does depends only on how full the open job
-    is when it starts. So blocks of bounded size are summarised in parallel for every such state,
-    the summaries of a folder are chained, and the blocks are numbered in parallel.
+    is when it starts. So blocks of bounded size are summarised in parallel for every such state, the
+    summaries are composed ``FAN`` at a time, level by level, and starting states are handed back down
+    the same tree. No group holds a folder, only ``FAN`` summaries or a block.
     """
     docs = inventory.select("folder", "doc", F.col("pages").cast("bigint").alias("pages"))
     weight = F.greatest(F.col("pages"), F.lit(1))
@@ -82,17 +100,23 @@ def chunk_folders(inventory: DataFrame, max_pages: int = K.MAX_PAGES_PER_JOB) ->
     blocked = materialise(placed.withColumn(
         "block", F.floor((F.col("_upto") - weight) / size).cast("bigint")).drop("_upto"), "blocks")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    effects = blocked.groupBy("folder", "block").applyInPandas(
-        lambda f: _block_effect(f, max_pages),
-        f"folder {kinds['folder']}, block bigint, starts array<bigint>, outs array<bigint>, cuts array<bigint>")
-    entries = effects.groupBy("folder").applyInPandas(
-        _chain, f"folder {kinds['folder']}, block bigint, state bigint, part bigint")
+    effect = f"folder {kinds['folder']}, block bigint, starts array<bigint>, outs array<bigint>, cuts array<bigint>, held bigint"
+    start = f"folder {kinds['folder']}, block bigint, state bigint, part bigint, whole bigint"
+    levels = [blocked.groupBy("folder", "block").applyInPandas(lambda f: _block_effect(f, max_pages), effect)]
+    last = blocked.agg(F.max("block")).first()[0] or 0
+    fan, above = FAN, F.floor(F.col("block") / FAN).cast("bigint").alias("above")
+    while last >= fan:
+        levels[-1] = materialise(levels[-1], "effects")
+        levels.append(levels[-1].groupBy("folder", above).applyInPandas(lambda f: _compose(f, fan), effect))
+        last //= fan
+    entries = levels[-1].groupBy("folder").applyInPandas(lambda b: _chain(b), start)
+    for lower in reversed(levels[:-1]):
+        entries = lower.groupBy("folder", above).cogroup(entries.groupBy("folder", "block")).applyInPandas(lambda b, e: _chain(b, e), start)
     numbered = blocked.groupBy("folder", "block").cogroup(entries.groupBy("folder", "block")).applyInPandas(
         lambda d, e: _number(d, e, max_pages),
-        f"folder {kinds['folder']}, doc {kinds['doc']}, pages bigint, part bigint")
-    sums = docs.groupBy("folder").agg(F.sum("pages").alias("_all"))
-    suffix = F.when((F.col("part") > 1) | (F.col("_all") > max_pages), F.format_string(" (part %d)", "part")).otherwise("")
-    return numbered.join(sums, "folder").withColumn("group", F.concat("folder", suffix)).drop("_all")
+        f"folder {kinds['folder']}, doc {kinds['doc']}, pages bigint, part bigint, whole bigint")
+    suffix = F.when((F.col("part") > 1) | (F.col("whole") > max_pages), F.format_string(" (part %d)", "part")).otherwise("")
+    return numbered.withColumn("group", F.concat("folder", suffix)).drop("whole")
 
 
 def create_plan(

@@ -110,7 +110,9 @@ def test_scans_in_order(spark):
 
 @pytest.mark.parametrize("limit", [15, 7])
 def test_chunks_equal_the_sequential_rule(spark, monkeypatch, limit):
+    """Small blocks and a narrow tree, so that summaries are composed over several levels."""
     monkeypatch.setattr(P, "BLOCK_PAGES", 40)
+    monkeypatch.setattr(P, "FAN", 2 if limit == 7 else 64)
     rng = random.Random(limit)
     rows = [(f"F{i % 3 if i % 5 else 0}", f"d{i:04d}", rng.choice([0, 1, 2, 3, 5, 9, 20])) for i in range(300)]
     got = P.chunk_folders(spark.createDataFrame(rows, "folder string, doc string, pages int"), limit).collect()
@@ -123,6 +125,8 @@ def test_chunks_equal_the_sequential_rule(spark, monkeypatch, limit):
             running, open_job = running + pages, True
             want[doc] = part
     assert {r.doc: r.part for r in got} == want
+    held = {f: sum(r[2] for r in rows if r[0] == f) for f in {r[0] for r in rows}}
+    assert all(r.group == r.folder + (f" (part {r.part})" if held[r.folder] > limit else "") for r in got)
     assert {r.group for r in got if r.part == 2} <= {f"F{i} (part 2)" for i in range(3)}
 
 
