@@ -101,23 +101,78 @@ def matching(df: DataFrame, query: str, match_case: bool = False, whole_word: bo
     return found.withColumn("match_count", match_count("text", query, match_case, whole_word))
 
 
-def rank_results(df: DataFrame, limit: int, offset: int = 0, key: str = "doc") -> DataFrame:
-    ordered = df.orderBy(F.desc("match_count"), F.lower("folder"), F.lower("name"), key)
-    return ordered.offset(max(0, offset)).limit(limit)
+# --- trigram postings ---------------------------------------------------------------------------------
+#: Characters that a pattern without case matches to an ASCII letter.
+FOLDED, FOLD = "ſKıİ" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "skii" + "abcdefghijklmnopqrstuvwxyz"
+_GRAM = r"(?=([\x00-\x7F]{3}))"
+RAREST_GRAMS = 4
+NARROW_SHARE = 0.5
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three ASCII characters, without case; whatever contains a text as a match holds those of it."""
+    return F.array_distinct(F.regexp_extract_all(F.translate(text, FOLDED, FOLD), F.lit(_GRAM), F.lit(1)))
+
+
+def build_index(df: DataFrame, path: str, key: str = "doc") -> None:
+    """Store which documents hold which trigram, ordered by trigram so that a lookup reads few row groups.
+
+    A trigram of nearly all documents is spread over as many files as its postings need.
+    """
+    postings = df.select(F.col(key).alias("doc"), F.explode(trigrams(F.col("text"))).alias("gram"))
+    postings.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+    stored = df.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).write.mode("overwrite").parquet(f"{path}/grams")
+    df.agg(F.count(F.lit(1)).alias("docs")).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def narrowed(df: DataFrame, index: str, query: str, key: str = "doc") -> DataFrame:
+    """The documents that hold the rarest trigrams of the query; all of them where that rules out too few to pay.
+
+    Only a necessary test: the exact pattern decides on what is left.
+    """
+    spark, folded = df.sparkSession, query.translate(str.maketrans(FOLDED, FOLD))
+    grams = {folded[i : i + 3] for i in range(len(folded) - 2) if folded[i : i + 3].isascii()}
+    if not grams:
+        return df
+    counts = {r["gram"]: r["docs"] for r in spark.read.parquet(f"{index}/grams").filter(F.col("gram").isin(*grams)).collect()}
+    if len(counts) < len(grams):
+        return df.limit(0)
+    chosen = sorted(grams, key=lambda g: (counts[g], g))[:RAREST_GRAMS]
+    if counts[chosen[0]] > NARROW_SHARE * spark.read.parquet(f"{index}/size").first()["docs"]:
+        return df
+    postings = spark.read.parquet(f"{index}/postings").filter(F.col("gram").isin(*chosen)).distinct()
+    held = postings.groupBy(F.col("doc").alias(key)).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(chosen))
+    return df.join(held.select(key), key, "left_semi")
+
+
+def rank_key(key: str = "doc") -> list[Column]:
+    return [-F.col("match_count"), F.lower("folder"), F.lower("name"), F.col(key)]
+
+
+def rank_results(df: DataFrame, limit: int, offset: int = 0, key: str = "doc", after: tuple | None = None) -> DataFrame:
+    """One page in rank order: behind ``offset`` results, or behind the result ``after`` (match_count, folder, name, key),
+    which costs no more for a late page than for the first."""
+    if after is not None:
+        count, folder, name, last = after
+        df = df.filter(F.struct(*rank_key(key)) > F.struct(F.lit(-count).cast("bigint"), F.lower(F.lit(folder)), F.lower(F.lit(name)), F.lit(last).cast(df.schema[key].dataType)))
+    return df.orderBy(*rank_key(key)).offset(max(0, offset)).limit(limit)
 
 
 def search(
     df: DataFrame, query: str, match_case: bool = False, whole_word: bool = False, max_documents: int = 100,
-    max_matches: int = 5, offset: int = 0,
+    max_matches: int = 5, offset: int = 0, index: str | None = None, after: tuple | None = None,
 ) -> DataFrame:
     """One page of ranked results over documents ``doc, name, folder, text``; an empty query has none.
 
     The caller's limits hold as given. Only keys are ranked; the texts of the page's documents join them afterwards.
+    ``index`` names the trigram postings of the same documents, ``after`` the last result of the page before.
     """
     query = clean_query(query)
+    df = narrowed(df, index, query) if index and query else df
     limit, per_document = max(1, max_documents), max(1, max_matches)
     found = matching(df, query or "x", match_case, whole_word).select("doc", "folder", "name", "match_count")
-    ranked = rank_results(found if query else found.limit(0), limit, offset).select("doc", "match_count")
+    ranked = rank_results(found if query else found.limit(0), limit, offset, after=after).select("doc", "match_count")
     joined = df.join(ranked, "doc").select(*df.columns, "match_count")
     page = joined.orderBy(F.desc("match_count"), F.lower("folder"), F.lower("name"), "doc")
     starts = page.withColumn("_starts", first_starts("text", query or "x", per_document, match_case, whole_word))

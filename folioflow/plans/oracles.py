@@ -98,6 +98,11 @@ oracle(
     search_ranked=f"""WITH {LIBRARY_DOCS}, c AS (SELECT doc, folder, title || '.pdf' AS name, {HITS} AS match_count FROM docs)
       SELECT *, least(match_count, 5) AS shown FROM c WHERE match_count > 0
       ORDER BY match_count DESC, lower(folder), lower(name), doc LIMIT 100""",
+    search_after=f"""WITH {LIBRARY_DOCS}, c AS (SELECT doc, folder, title || '.pdf' AS name, {HITS} AS match_count FROM docs)
+      SELECT *, least(match_count, 5) AS shown FROM c WHERE match_count > 0
+      ORDER BY match_count DESC, lower(folder), lower(name), doc LIMIT 100 OFFSET 100""",
+    search_indexed="""SELECT query, doc_id AS doc, (length(text) - length(replace(lower(text), lower(query), ''))) // length(query) AS match_count
+      FROM documents, (VALUES ('nding'), ('Thand'), ('tion'), ('doubl'), ('sth En'), ('no such words')) q(query) WHERE contains(lower(text), lower(query))""",
     search_totals="""WITH c AS (SELECT (length(text) - length(replace(text, 'Tion', ''))) // 4 AS n FROM documents)
       SELECT sum(n)::BIGINT AS total_matches, count(*) FILTER (n > 0) AS documents_matched, count(*) AS documents_searched,
         count(*) FILTER (n > 0) > 100 AS truncated, count(*) FILTER (n > 0) > 100 AS has_more FROM c""",

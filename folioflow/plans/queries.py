@@ -76,6 +76,31 @@ def search_in_pages(spark, sf):
     return S.search_pages(pages, "en").select("doc", "page_num", "ordinal")
 
 
+INDEXED = ["nding", "Thand", "tion", "doubl", "sth En", "no such words"]
+
+
+@query
+def search_indexed(spark, sf):
+    """Several queries, each over the documents that the trigram postings leave."""
+    docs, index = X.library_documents(spark, sf).select("doc", "text"), scratch_path(spark, "trigrams")
+    S.build_index(docs, index)
+    found = [S.matching(S.narrowed(docs, index, q), q).select(F.lit(q).alias("query"), "doc", "match_count") for q in INDEXED]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+@query
+def search_after(spark, sf):
+    """The second page of a ranking, found by the last result of the first."""
+    docs = X.library_documents(spark, sf)
+    first = S.search(docs, "tion", max_documents=100).select("match_count", "folder", "name", "doc")
+    last = first.orderBy("match_count", F.lower("folder").desc(), F.lower("name").desc(), F.desc("doc")).first()
+    page = S.search(docs, "tion", max_documents=100, after=tuple(last))
+    return page.select("doc", "folder", "name", "match_count", F.size("matches").cast("bigint").alias("shown"))
+
+
 @query
 def rank_quick_open(spark, sf):
     return S.quick_open(X.library_documents(spark, sf).select("doc", "folder", "name"), "src1 report 2001").select(

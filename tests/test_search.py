@@ -60,3 +60,26 @@ def test_limits_hold_as_given(spark):
     docs = spark.range(700).selectExpr("id as doc", "concat('n', id) as name", "'f' as folder", "'a tion b' as text")
     assert S.search(docs, "tion", max_documents=650).count() == 650
     assert S.search(docs, "t" * 600).count() == 0
+
+
+def test_index_changes_no_result(spark, tmp_path):
+    texts = ["The Kelvin \u212aelvin sign", "\u017ftop stop STOP", "\u0130stanbul istanbul \u0131stanbul", "stra\u00dfe caf\u00e9 na\u00efve", "a+b (c) a+b", "", None, "\U0001f600abc",
+             "x" * 5000 + "needle", "nee dle"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    index = str(tmp_path / "index")
+    S.build_index(df, index)
+    for query in ("kelvin", "STOP", "istanbul", "fe caf\u00e9", "a+b", "ab", "needle", "\U0001f600abc", "\u00dfe", "nowhere at all", "KELVIN sign"):
+        plain = {(r.doc, r.match_count) for r in S.matching(df, query).collect()}
+        assert {(r.doc, r.match_count) for r in S.matching(S.narrowed(df, index, query), query).collect()} == plain, query
+    assert S.narrowed(df, index, "needle").count() == 1
+
+
+def test_pages_by_last_result_equal_pages_by_offset(docs):
+    whole, page, after = S.search(docs, "dividend").collect(), [], None
+    while True:
+        rows = S.search(docs, "dividend", max_documents=1, after=after).collect()
+        if not rows:
+            break
+        page += rows
+        after = (rows[-1].match_count, rows[-1].folder, rows[-1]["name"], rows[-1].doc)
+    assert [r.doc for r in page] == [r.doc for r in whole] and len(page) == 3
