@@ -20,17 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LEAST = -(2**63 - 1)
 
 
+#: For operators with many shuffles or large values: shuffle files go when a table is written, Arrow batches are cut by bytes.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 class Store:
-    """Tables written below the shared checkpoint folder; a lost executor costs a re-read of them."""
+    """Tables written below the shared checkpoint folder; a lost executor costs a re-read of them.
+
+    ``settings`` hold while a table is written.
+    """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, settings: dict[str, str] | None = None):
         self.spark, self.root = spark, f"{checkpoint_dir(spark)}/folioflow/{label}-{uuid.uuid4().hex}"
-        self.number, self.paths = 0, set()
+        self.number, self.paths, self.settings = 0, set(), settings or {}
 
     def save(self, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
         self.number += 1
         path = f"{self.root}/{self.number}-{label}"
-        df.write.parquet(path, compression=compression)
+        before = {name: self.spark.conf.get(name) for name in self.settings}
+        try:
+            for name, value in self.settings.items():
+                self.spark.conf.set(name, value)
+            df.write.parquet(path, compression=compression)
+        finally:
+            for name, value in before.items():
+                self.spark.conf.set(name, value)
         self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.stored_path = path

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Store, WordHashes, chunks, components, mixed
+from folioflow.llm.common import LEAN, Store, WordHashes, chunks, components, mixed
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SIX_BYTES = np.uint64((1 << 48) - 1)
@@ -305,10 +305,11 @@ def cross_pairs(lists: DataFrame, o: JoinOptions) -> DataFrame:
 
 def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, store: Store, o: JoinOptions):
     """Crowded lists (key, id): links found with leaders, labels of their components, pairs still to verify."""
-    links, labels, pairs, rounds = None, None, None, 0
+    links, labels, pairs, seen, rounds = None, None, None, None, 0
     few_pairs = lists.count() * 2
     while True:
         entries = store.save(with_label(lists.join(about, "id"), labels), "entries")
+        store.drop(seen)
         sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi"),
                                            F.max(F.struct("central", "id")).alias("lead"))
         sizes = store.save(sizes.filter("lo < hi").select("key", "g", F.col("lead.id").alias("lead")), "sizes")
@@ -320,11 +321,14 @@ def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, store:
             few = store.save(cross_pairs(entries.join(small.select("key"), "key"), o), "pairs")
             pairs = few if pairs is None else pairs.union(few)
         if final:
+            store.drop(entries, sizes)
             return links, labels, pairs
         rounds += 1
         met = entries.join(big.select("key", "lead"), "key").filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-        seen = store.save(against_leaders(store.save(met, "met"), sets, o), "seen")
-        found = seen.filter("linked").select("a", "b")
+        met = store.save(met, "met")
+        seen = store.save(against_leaders(met, sets, o), "seen")
+        found = store.save(seen.filter("linked").select("a", "b"), "found")
+        store.drop(met)
         links = found if links is None else links.union(found)
         labels = store.save(components(links, store), "labels")
         lists = seen.filter("not linked").select("key", F.col("a").alias("id")).distinct()
@@ -338,7 +342,7 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     inside components that were already joined are not searched.
     """
     o, spark = options or JoinOptions(), docs.sparkSession
-    store = Store(spark, "jaccard")
+    store = Store(spark, "jaccard", LEAN)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     facts = store.save(describe(texts, o), "facts")
     rows = facts.filter("n is not null").select("doc_id", "n", "sig")
@@ -354,10 +358,12 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     listed = repeated_only(prefixes(texts, common, o).repartition(width, "token").sortWithinPartitions("token"))
     hits = listed.groupBy("token", "n", "sig").agg(F.min("level").alias("level"))
-    hits = store.save(hits.withColumn("n", F.col("n").cast("long")), "hits").join(classes, ["n", "sig"])
-    hits = store.save(hits.select("token", "id", "n", "level"), "hits")
-    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    postings = store.save(hits.join(store.save(df, "df"), "token"), "postings")
+    found = store.save(hits.withColumn("n", F.col("n").cast("long")), "hits")
+    hits = store.save(found.join(classes, ["n", "sig"]).select("token", "id", "n", "level"), "hits")
+    store.drop(found)
+    df = store.save(hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "df")
+    postings = store.save(hits.join(df, "token"), "postings")
+    store.drop(hits, df)
     about = store.save(choose_shared(postings, o), "about")
     wanted = about.select("id").join(classes.select("id", "sig"), "id").withColumnRenamed("id", "doc_id")
     sets = store.save(stored_sets(texts.join(wanted.hint("merge"), "doc_id"), o), "sets")
@@ -377,8 +383,12 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     few = met.groupBy("id_x", "id_y").agg(F.count(F.lit(1)).alias("c"), F.first("l_x").alias("l"), F.first("crowds_x").alias("k"))
     few = few.filter(F.col("c") >= F.greatest(F.lit(1), F.col("l") - F.col("k"))).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
     pairs = few if pairs is None else few.union(pairs).distinct()
-    pairs = store.save(plausible(store.save(pairs, "pairs"), bits, o), "plausible")
+    met = store.save(pairs, "pairs")
+    store.drop(postings)
+    pairs = store.save(plausible(met, bits, o), "plausible")
+    store.drop(met, bits)
     found = store.save(verified(pairs, sets, o), "links")
+    store.drop(pairs, sets)
     links = found if links is None else links.union(found)
     links = links.distinct()  # a repeated row has its set twice
     joined = store.save(components(links, store), "labels")
