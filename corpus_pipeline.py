@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Store, table
+from folioflow.llm.common import LEAN, Store, table
 from folioflow.llm.jaccard_join import JoinOptions, jaccard_components
 from folioflow.llm.line_dedup import dedup_lines
 from folioflow.llm.mixing import mix
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store, docs = Store(spark, "pipeline"), table(spark, sf_dir, "documents")
+    store, docs = Store(spark, "pipeline", LEAN), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = store.save(stage(spark, docs, sf_dir), name.split()[0])
     return STAGES[-1][1](spark, docs, sf_dir)
