@@ -5,18 +5,21 @@ word mark), the pieces, and the byte fallback for characters without a piece. Th
 model carry no usable path weights, so the piece transducer remembers its last piece: an arc to the next
 costs 0 if the pair stays apart when its letters are merged by the model, and one otherwise. A merge
 sequence keeps exactly those neighbours apart that it keeps apart on their own, so the path of weight 0 in the tropical
-semiring is the model's own encoding.
+semiring is the model's own encoding. Every beginning of a word has exactly one such path, the encoding of that beginning,
+so one arc a place stands for all states (place, last piece).
 
 A text is composed word mark by word mark: no piece goes on past the next one, so shortest paths join there, and
 the paths of words seen before are remembered. The model file is read on the executors; its path is a parameter.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text; a literal word mark
-decodes to a blank; any other text decodes to itself; repeated rows and null ids are encoded each; extra columns are kept.
+decodes to a blank; any other text decodes to itself; repeated rows and null ids are encoded each; extra columns are
+kept, those that clash with the names added are replaced; an empty table gives no rows; the time for a word is linear in its length.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -26,31 +29,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.llm.common import free_name
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+NO_PIECE = -1
+REMEMBERED = 64  # letters of the longest word or beginning that is remembered
 
 
 class PieceTransducer:
     """The compiled model. ``bound`` limits the words and pairs remembered."""
 
-    def __init__(self, path: str = MODEL, bound: int = 500_000):
+    def __init__(self, path: str = MODEL, bound: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bound, size = bound, model.vocab_size()
         names = [model.id_to_piece(i) for i in range(size)]
         usable = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
-        self.pieces = {names[i]: i for i in usable}
-        self.endings = {p[k:] for p in self.pieces for k in range(len(p))}
+        self.names, pieces = names, {names[i]: i for i in usable}
+        self.endings = {p[k:]: pieces.get(p[k:], NO_PIECE) for p in pieces for k in range(len(p))}
         self.merge_score = {names[i]: model.get_score(i) for i in usable}
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.unknown = model.unk_id()
         self.surface = {i: names[i].replace(MARK, " ").encode() for i in usable}
         self.surface |= {i: bytes([b]) for b, i in self.bytes.items()}
+        self.letters = [self.surface.get(i, b"") for i in range(size)]
         self.paths: dict[str, tuple[int, ...]] = {}
-        self.beginnings: dict[str, tuple[int, str | None]] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.beginnings: dict[str, tuple[tuple[int, int], ...]] = {"": ((0, NO_PIECE),)}  # last arc (begin, piece) to every place
+        self.apart: dict[int, bool] = {}
 
     def merged(self, letters: str) -> list[str]:
         """Pieces of a short string by merging the best-scored neighbours, the leftmost of equals first."""
@@ -65,14 +73,14 @@ class PieceTransducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def weight(self, before: str | None, piece: str) -> int:
-        """0 if ``piece`` can follow ``before`` (None: the start or a character without a piece), else 1."""
-        key = (before or "", piece)
-        if key not in self.apart:
-            if len(self.apart) > 2 * self.bound:
-                self.apart.clear()
-            self.apart[key] = self.merged((before or "") + piece) == ([before, piece] if before else [piece])
-        return 0 if self.apart[key] else 1
+    def stays_apart(self, before: int, piece: int) -> bool:
+        """Whether ``piece`` can follow ``before`` (NO_PIECE: the start or a character without a piece) at no cost."""
+        first = [] if before == NO_PIECE else [self.names[before]]
+        if len(self.apart) > 2 * self.bound:
+            self.apart.clear()
+        out = self.merged("".join(first) + self.names[piece]) == [*first, self.names[piece]]
+        self.apart[before * len(self.names) + piece] = out
+        return out
 
     def shortest(self, word: str) -> tuple[int, ...]:
         """Ids on the shortest path through the composition of a word with the transducers.
@@ -80,67 +88,75 @@ class PieceTransducer:
         No weight is below 0, so a place reached at cost 0 needs no further arcs. The last arcs to such
         places depend on the letters before only and are remembered for all words that begin alike.
         """
-        n, pieces, apart, endings = len(word), self.pieces, self.apart, self.endings
-        known = n
-        while known and word[:known] not in self.beginnings:
+        n, size, apart, endings, beginnings = len(word), len(self.names), self.apart, self.endings, self.beginnings
+        known = min(n, REMEMBERED)
+        while word[:known] not in beginnings:
             known -= 1
-        cost = [0] * (known + 1) + [1 << 40] * (n - known)
-        back = [(0, None), *(self.beginnings[word[:j]] for j in range(1, known + 1)), *[(0, None)] * (n - known)]
+        back, cost = list(beginnings[word[:known]]), [0] * (known + 1)
         for j in range(known + 1, n + 1):
-            letter = word[j - 1]
-            if letter not in pieces:  # byte fallback
-                cost[j], back[j] = cost[j - 1], (j - 1, None)
+            if endings.get(word[j - 1], NO_PIECE) == NO_PIECE:  # byte fallback
+                back.append((j - 1, NO_PIECE))
+                cost.append(cost[j - 1])
                 continue
-            best = 1 << 40
-            lowest = j - 1  # no piece ends here that begins before
-            while lowest and word[lowest - 1 : j] in endings:
-                lowest -= 1
-            for i in range(lowest, j):
-                piece = word[i:j]
-                if piece in pieces and cost[i] < best:
+            best, arc, i = 1 << 40, None, j
+            while i:
+                i -= 1
+                piece = endings.get(word[i:j])
+                if piece is None:  # no piece that begins before ends here
+                    break
+                if piece != NO_PIECE:
                     before = back[i][1]
-                    stays = apart.get((before or "", piece))
-                    c = cost[i] + (self.weight(before, piece) if stays is None else not stays)
+                    stays = apart.get(before * size + piece)
+                    c = cost[i] + (not (self.stays_apart(before, piece) if stays is None else stays))
                     if c < best:
-                        best, back[j] = c, (i, piece)
+                        best, arc = c, (i, piece)
                         if not c:
                             break
-            cost[j] = best
-        if len(self.beginnings) > 2 * self.bound:
-            self.beginnings.clear()
-            known = 0  # all beginnings of a remembered one are remembered
-        if not cost[n] and n <= 64:  # then every place before on the path, and all others filled here, cost 0 too
+            back.append(arc)
+            cost.append(best)
+        if n <= REMEMBERED and not any(cost):
+            if len(beginnings) > self.bound:
+                beginnings.clear()
+                beginnings[""] = ((0, NO_PIECE),)
             for j in range(known + 1, n + 1):
-                if cost[j]:
-                    break
-                self.beginnings[word[:j]] = back[j]
+                beginnings[word[:j]] = tuple(back[: j + 1])
         out, j = [], n
         while j:
             i, piece = back[j]
-            if piece is not None:
-                out.append((self.pieces[piece],))
+            if piece != NO_PIECE:
+                out.append(piece)
+            elif self.bytes:
+                out += [self.bytes.get(b, self.unknown) for b in reversed(word[i:j].encode())]
             else:
-                out.append(tuple(self.bytes.get(b, self.unknown) for b in word[i:j].encode()) if self.bytes else (self.unknown,))
+                out.append(self.unknown)
             j = i
-        return tuple(chain.from_iterable(reversed(out)))
+        return tuple(reversed(out))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        words = CHUNK.findall((" " + text).replace(" ", MARK))
+        words, paths = CHUNK.findall((" " + text).replace(" ", MARK)), self.paths
         try:
-            return list(chain.from_iterable(map(self.paths.__getitem__, words)))
+            return list(chain.from_iterable(map(paths.__getitem__, words)))
         except KeyError:
-            if len(self.paths) > self.bound:
-                self.paths.clear()
-            for w in dict.fromkeys(words):
-                if w not in self.paths and len(w) <= 64:
-                    self.paths[w] = self.shortest(w)
-            return list(chain.from_iterable(self.paths[w] if w in self.paths else self.shortest(w) for w in words))
+            out = []
+            for w in words:
+                ids = paths.get(w)
+                if ids is None:
+                    ids = self.shortest(w)
+                    if len(w) <= REMEMBERED:
+                        if len(paths) >= self.bound:
+                            paths.clear()
+                        paths[w] = ids
+                out += ids
+            return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        text = b"".join(self.surface.get(i, b"") for i in ids).decode("utf-8", "replace")
-        return text.removeprefix(" ")
+        try:
+            text = b"".join(map(self.letters.__getitem__, ids))
+        except (IndexError, TypeError):  # ids of no piece
+            text = b"".join(self.surface.get(i, b"") for i in ids)
+        return text.decode("utf-8", "replace").removeprefix(" ")
 
 
 _compiled: dict[str, PieceTransducer] = {}
@@ -156,7 +172,8 @@ def compiled(path: str) -> PieceTransducer:
 def encode_pieces(docs: DataFrame, path: str = MODEL, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` without its text, with pieces, n_pieces, and round_trip: whether they decode to the text."""
     kept = [c for c in docs.columns if c not in ("pieces", "n_pieces", "round_trip") and (keep_text or c != text)]
-    docs = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    own = free_name(docs, "_text")
+    docs = docs.select(*kept, F.col(text).cast("string").alias(own))
     schema = T.StructType([docs.schema[c] for c in kept]).add("pieces", T.ArrayType(T.IntegerType())).add("n_pieces", T.LongType()).add("round_trip", T.BooleanType())
 
     def run(batches):
@@ -164,13 +181,14 @@ def encode_pieces(docs: DataFrame, path: str = MODEL, text: str = "text", keep_t
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                ids, same = [], []
-                for s in batch.column("_text").to_pylist():
-                    ids.append(np.array(t.encode(s), dtype=np.int32))
-                    same.append(t.decode(ids[-1].tolist()) == (s or "").replace(MARK, " "))
-                sizes = np.array([len(i) for i in ids], dtype=np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                ids, ends, same = array("i"), [0], []
+                for s in batch.column(own).to_pylist():
+                    found = t.encode(s)
+                    ids.extend(found)
+                    ends.append(len(ids))
+                    same.append(t.decode(found) == (s or "").replace(MARK, " "))
+                sizes = np.diff(ends)
+                pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
                 columns = [batch.column(c) for c in kept] + [pieces, pa.array(sizes.astype(np.int64)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "pieces", "n_pieces", "round_trip"])
 
