@@ -14,6 +14,7 @@ from folioflow.llm.html_text import extract_text
 from folioflow.llm.jaccard_join import jaccard_components
 from folioflow.llm.language_id import identify
 from folioflow.llm.line_dedup import RUN, dedup_lines
+from folioflow.llm.line_dedup import WORDS as LINE_WORDS
 from folioflow.llm.mixing import mix
 from folioflow.llm.permutation_index import nearest
 from folioflow.llm.piece_transducer import encode_pieces
@@ -115,9 +116,11 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) A
   vec_id <= coalesce(c.b, vec_id) AS kept FROM v LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.a = vec_id""",
     "op9_line_dedup": f"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-w AS (SELECT doc_id, i, lines[i:i + {RUN} - 1] AS win FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - {RUN} + 2)) AS i FROM l)),
-r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
-g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM r, range({RUN}) AS t(j) GROUP BY doc_id)
+c AS (SELECT doc_id, lines, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))) AS words FROM l),
+w AS (SELECT doc_id, i, n, lines[i:i + n - 1] AS win FROM (SELECT doc_id, lines, words, n, unnest(range(1, len(lines) - n + 2)) AS i FROM c, range(1, {RUN} + 1) AS s(n))
+  WHERE n = {RUN} OR list_sum(words[i:i + n - 1]) >= {LINE_WORDS}),
+r AS (SELECT doc_id, i, n FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM r, range({RUN}) AS t(j) WHERE j < n GROUP BY doc_id)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(lines, lambda x, k: gone IS NULL OR NOT list_contains(gone, k)), chr(10))) AS kept_sha256
 FROM l LEFT JOIN g USING (doc_id)""",

@@ -141,29 +141,53 @@ def test_cut_repeats_null_ids_and_empty_table(spark):
 
 
 # --- lines ------------------------------------------------------------------------------------------------
-def brute_lines(rows, run):
+def brute_lines(rows, run, words=line_dedup.WORDS):
+    """Every run of ``run`` lines, or fewer that hold ``words`` words, goes where it also stands earlier."""
     order = sorted((i, k) for i, t in rows if t is not None for k in range(len(t.split("\n"))))
     lines = {i: t.split("\n") for i, t in rows if t is not None}
     seen, gone = set(), {}
     for i, k in order:
-        key = tuple(lines[i][k : k + run])
-        if len(key) == run:
-            if key in seen:
-                gone.setdefault(i, set()).update(range(k, k + run))
-            seen.add(key)
+        for n in range(1, run + 1):
+            key = tuple(lines[i][k : k + n])
+            if len(key) == n and (n == run or sum(len(x.split()) for x in key) >= words):
+                if key in seen:
+                    gone.setdefault(i, set()).update(range(k, k + n))
+                seen.add(key)
     return {i: None if t is None else "\n".join(x for k, x in enumerate(lines[i]) if k not in gone.get(i, ())) for i, t in rows}
 
 
-@pytest.mark.parametrize("run", [1, 3])
-def test_lines_equal_brute_force(spark, run):
+@pytest.mark.parametrize("run, words", [(1, 50), (3, 50), (3, 4), (4, 7)])
+def test_lines_equal_brute_force(spark, run, words):
     rng = random.Random(run)
-    rows = [(i, "\n".join(f"line {rng.randrange(25)}" for _ in range(rng.randrange(1, 14)))) for i in range(60)]
+    rows = [(i, "\n".join(f"line {rng.randrange(25)}" + " w" * rng.randrange(3) for _ in range(rng.randrange(1, 14)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n\n\n\n"), (103, "\n\n\n\n"), (104, "\n".join(f"l{i}" for i in range(3000)))]
-    docs = documents(spark, rows).selectExpr("*", "5 as n_lines", "'x' as h")
-    got = line_dedup.dedup_lines(docs, run).collect()
-    assert {r.doc_id: r.text for r in got} == brute_lines(rows, run)
+    docs = documents(spark, rows).selectExpr("*", "5 as n_lines", "'x' as _doc", "'y' as _lines", "'z' as _line_gone")
+    got = line_dedup.dedup_lines(docs, run, words).collect()
+    assert {r.doc_id: r.text for r in got} == brute_lines(rows, run, words)
     assert all(r.n_lines - r.n_removed == len(r.text.split("\n")) for r in got if r.text)
-    assert {r.h for r in got} == {"x"} and line_dedup.dedup_lines(docs.limit(0)).count() == 0
+    assert {(r["_doc"], r["_lines"], r["_line_gone"]) for r in got} == {("x", "y", "z")} and line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_a_repeated_long_line_goes_alone(spark):
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}"), (3, f"d\n{short}"), (4, short), (5, long), (6, f"{short}\ntail"), (7, f"x\n{short}\ntail\ny")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: f"a\n{long}\nb", 2: "c", 3: f"d\n{short}", 4: short, 5: "", 6: f"{short}\ntail", 7: "x\ny"}
+
+
+def test_only_selected_lines_travel(spark):
+    text = "\n".join(f"line {i}" for i in range(4000))
+    found = line_dedup.fingerprints(documents(spark, [(1, text)]), 3, 50).collect()
+    assert 1800 < len(found) < 2200  # two of four lines for windows of three
+    runs = {r.p - c // 3 for r in found for c in r.runs}
+    assert runs == set(range(3998))  # and every window has one of them
+
+
+def test_matches_name_their_earliest_position(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("folioflow.llm.common.checkpoint_dir", lambda s: str(tmp_path))
+    docs = documents(spark, [(1, "x\na\nb\nc"), (2, "a\nb\nc\nd"), (3, "a\nb\nc\nd")])
+    got = line_dedup.matches(docs, line_dedup.Store(spark, "t"), 3, 50).collect()
+    assert sorted((r.doc_id, r.i, r.n, r.source.doc_id, r.source.i) for r in got) == [(2, 0, 3, 1, 1), (3, 0, 3, 1, 1), (3, 1, 3, 2, 1)]
 
 
 def test_lines_repeated_rows_and_null_ids(spark):
@@ -222,17 +246,34 @@ def test_pieces_equal_the_library(spark):
     letters = "abcdefgh ▁  éü日本語𠮷\n\t012 .,-<>ing the"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(400)]
     texts += [None, "", " ", "   lead", "x\x00y", "a" * 500, "the " * 3000, "日" * 200, "<s>hi</s>"] + [" " * k + "ab" for k in range(40)]
-    docs = documents(spark, list(enumerate(texts))).selectExpr("*", "1 as pieces")
+    docs = documents(spark, list(enumerate(texts))).selectExpr("*", "1 as pieces", "2 as _text")
     encoded = piece_transducer.encode_pieces(docs, keep_text=False)
     got = {r.doc_id: r for r in encoded.collect()}
     for i, t in enumerate(texts):
         assert got[i].pieces == model.encode(t or ""), repr(t)
-        assert got[i].round_trip and got[i].n_pieces == len(got[i].pieces)
+        assert got[i].round_trip and got[i].n_pieces == len(got[i].pieces) and got[i]["_text"] == 2
     back = {r.doc_id: r.text for r in piece_transducer.decode_pieces(encoded).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(texts))
     assert piece_transducer.encode_pieces(docs.limit(0)).count() == 0
 
 
+def test_long_words_take_linear_time():
+    import time
+
+    import sentencepiece
+
+    rng, t = random.Random(9), piece_transducer.PieceTransducer(bound=2000)
+    word = "".join(rng.choice("abcdefghinorst") for _ in range(400_000))
+    began = time.process_time()
+    ids = t.encode(word)
+    assert time.process_time() - began < 20 and t.decode(ids) == word
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_transducer.MODEL)
+    assert t.encode(word[:20_000]) == model.encode(word[:20_000])
+    words = " ".join(word[i : i + 9] for i in range(0, 90_000, 9))  # more words than are remembered
+    assert t.encode(words) == model.encode(words) and len(t.paths) <= 2000
+    assert t.decode([10**9, *t.encode("ab")]).strip() == "ab"
+
+
 # --- mixing -----------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("parts", [{"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 333, "b": 250, "c": 17, "d": 400}])
 def test_schedule_keeps_within_one_block(parts):
