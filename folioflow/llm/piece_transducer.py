@@ -6,7 +6,7 @@ model carry no usable path weights, so the piece transducer remembers its last p
 costs 0 if the pair stays apart when its letters are merged by the model, and one otherwise. A merge
 sequence keeps exactly those neighbours apart that it keeps apart on their own, so the path of weight 0 in the tropical
 semiring is the model's own encoding. Every beginning of a word has exactly one such path, the encoding of that beginning,
-so one arc a place stands for all states (place, last piece).
+so one arc a place stands for all states (place, last piece); a place without an arc of weight 0 would send the word to the search over states.
 
 A text is composed word mark by word mark: no piece goes on past the next one, so shortest paths join there, and
 the paths of words seen before are remembered. The model file is read on the executors; its path is a parameter.
@@ -35,7 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NO_PIECE = -1
-REMEMBERED = 64  # letters of the longest word or beginning that is remembered
+REMEMBERED = 64  # letters of the longest word that is remembered
+BEGINNING = 6  # letters of the longest beginning that is remembered
 
 
 class PieceTransducer:
@@ -85,52 +86,79 @@ class PieceTransducer:
     def shortest(self, word: str) -> tuple[int, ...]:
         """Ids on the shortest path through the composition of a word with the transducers.
 
-        No weight is below 0, so a place reached at cost 0 needs no further arcs. The last arcs to such
-        places depend on the letters before only and are remembered for all words that begin alike.
+        No weight is below 0, so a place reached at cost 0 needs no further arcs. The last arcs to such places depend on
+        the letters before only; those of short beginnings are remembered for all words that begin alike.
         """
         n, size, apart, endings, beginnings = len(word), len(self.names), self.apart, self.endings, self.beginnings
-        known = min(n, REMEMBERED)
+        known = min(n, BEGINNING)
         while word[:known] not in beginnings:
             known -= 1
-        back, cost = list(beginnings[word[:known]]), [0] * (known + 1)
+        back = list(beginnings[word[:known]])
         for j in range(known + 1, n + 1):
-            if endings.get(word[j - 1], NO_PIECE) == NO_PIECE:  # byte fallback
-                back.append((j - 1, NO_PIECE))
-                cost.append(cost[j - 1])
+            i = j - 1
+            piece = endings.get(word[i], NO_PIECE)
+            if piece == NO_PIECE:  # byte fallback
+                back.append((i, NO_PIECE))
                 continue
-            best, arc, i = 1 << 40, None, j
-            while i:
-                i -= 1
-                piece = endings.get(word[i:j])
-                if piece is None:  # no piece that begins before ends here
-                    break
+            while True:
                 if piece != NO_PIECE:
                     before = back[i][1]
-                    stays = apart.get(before * size + piece)
-                    c = cost[i] + (not (self.stays_apart(before, piece) if stays is None else stays))
-                    if c < best:
-                        best, arc = c, (i, piece)
-                        if not c:
-                            break
-            back.append(arc)
-            cost.append(best)
-        if n <= REMEMBERED and not any(cost):
-            if len(beginnings) > self.bound:
-                beginnings.clear()
-                beginnings[""] = ((0, NO_PIECE),)
-            for j in range(known + 1, n + 1):
-                beginnings[word[:j]] = tuple(back[: j + 1])
-        out, j = [], n
+                    key = before * size + piece
+                    if apart[key] if key in apart else self.stays_apart(before, piece):
+                        back.append((i, piece))
+                        break
+                i -= 1
+                piece = endings.get(word[i:j]) if i >= 0 else None
+                if piece is None:  # no piece that begins before ends here
+                    return self.shortest_of_states(word)
+        if len(beginnings) > self.bound:
+            beginnings.clear()
+            beginnings[""] = ((0, NO_PIECE),)
+            known = 0  # all beginnings of a remembered one are remembered
+        for j in range(known + 1, min(n, BEGINNING) + 1):
+            beginnings[word[:j]] = tuple(back[: j + 1])
+        path, j = [], n
         while j:
             i, piece = back[j]
+            path.append((i, j, piece))
+            j = i
+        return self.ids(word, path)
+
+    def shortest_of_states(self, word: str) -> tuple[int, ...]:
+        """The same with a cost for every state (place, last piece), whatever the weights."""
+        states: list[dict[int, tuple[int, int, int]]] = [{NO_PIECE: (0, 0, NO_PIECE)}]  # last piece: cost, begin, piece before
+        for j in range(1, len(word) + 1):
+            here: dict[int, tuple[int, int, int]] = {}
+            if self.endings.get(word[j - 1], NO_PIECE) == NO_PIECE:
+                here[NO_PIECE] = min((c, j - 1, before) for before, (c, _, _) in states[j - 1].items())
+            else:
+                i = j - 1
+                while i >= 0 and (piece := self.endings.get(word[i:j])) is not None:
+                    if piece != NO_PIECE:
+                        arcs = [(c + (not self.stays_apart(before, piece)), i, before) for before, (c, _, _) in states[i].items()]
+                        here[piece] = min(arcs)
+                    i -= 1
+            states.append(here)
+        path, j = [], len(word)
+        last = min(states[j], key=lambda piece: states[j][piece])
+        while j:
+            _, i, before = states[j][last]
+            path.append((i, j, last))
+            j, last = i, before
+        return self.ids(word, path)
+
+    def ids(self, word: str, path: list[tuple[int, int, int]]) -> tuple[int, ...]:
+        """Ids of a path of arcs (begin, end, piece), the last first."""
+        out: list[int] = []
+        for i, j, piece in path:
             if piece != NO_PIECE:
                 out.append(piece)
             elif self.bytes:
                 out += [self.bytes.get(b, self.unknown) for b in reversed(word[i:j].encode())]
             else:
                 out.append(self.unknown)
-            j = i
-        return tuple(reversed(out))
+        out.reverse()
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

@@ -274,6 +274,13 @@ def test_long_words_take_linear_time():
     assert t.decode([10**9, *t.encode("ab")]).strip() == "ab"
 
 
+def test_one_arc_a_place_stands_for_all_states():
+    rng, t = random.Random(11), piece_transducer.PieceTransducer()
+    for _ in range(400):
+        word = "▁" + "".join(rng.choice("abcdehinorst日𠮷é") for _ in range(rng.randrange(1, 14)))
+        assert t.shortest(word) == t.shortest_of_states(word), word
+
+
 # --- mixing -----------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("parts", [{"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 333, "b": 250, "c": 17, "d": 400}])
 def test_schedule_keeps_within_one_block(parts):
