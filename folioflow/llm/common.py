@@ -128,7 +128,7 @@ def components(edges: DataFrame, store: Store, a: str = "a", b: str = "b", round
 
     Alternates the large-star and small-star steps; every minimum is combined before the shuffle and
     stored before it is joined back, so that a node with any number of neighbours is split by the
-    adaptive skew join. Ends when a round changes nothing.
+    adaptive skew join. Ends when a round changes nothing; RuntimeError if ``rounds`` are not enough.
     """
     now = store.save(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
@@ -146,6 +146,8 @@ def components(edges: DataFrame, store: Store, a: str = "a", b: str = "b", round
         after = store.save(moved.union(low2.select("u", F.col("m").alias("v"))).distinct(), "stars")
         store.drop(now, low, large, low2)
         now = after
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     stars = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

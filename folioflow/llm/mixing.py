@@ -10,8 +10,8 @@ digest, so a source with any share of the rows is numbered by many tasks. No doc
 a source has run out, slots that no other source is due for stay empty, and the others go on in their proportion.
 
 Edge cases: a null source is the source of the empty name; sources without a given weight take the
-derived one; a null doc_id counts as the empty id; equal rows follow each other; an empty table gives no rows; extra
-columns are kept, those that clash with the names added are replaced.
+derived one; rows with a null doc_id are spread by their text, where there is one; equal rows follow each other; an empty
+table gives no rows; extra columns of any name are kept, but block, slot and place_in_block are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioflow.llm.common import free_name
+
 
 @dataclass(frozen=True)
 class MixOptions:
@@ -121,27 +123,31 @@ def slots_of_blocks(spark: SparkSession, weights: dict[str, float], blocks: dict
 def mix(docs: DataFrame, options: MixOptions | None = None) -> DataFrame:
     """``docs`` with block (number in its source), slot and place_in_block, in the mixed order."""
     o, spark = options or MixOptions(), docs.sparkSession
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.withColumn("_source", source).withColumn("_digest", digest)
-    sizes = {r["_source"]: r["n"] for r in keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(o.most_sources + 1).collect()}
+    own = free_name(docs, "_mix")
+    of, digest, bucket, row, before, start = (f"{own}_{c}" for c in ("source", "digest", "bucket", "row", "before", "slot"))
+    ties = [c for c in ("doc_id", "text") if c in docs.columns]
+    # Rows without an id are told apart by their text, so that they spread over the buckets too.
+    nameless = F.hex(F.xxhash64("text")) if "text" in docs.columns else F.lit("")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), nameless).cast("binary"))
+    keyed = docs.withColumn(of, F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn(digest, key)
+    counted = keyed.groupBy(F.col(of).alias("name")).agg(F.count(F.lit(1)).alias("n")).limit(o.most_sources + 1)
+    sizes = {r["name"]: r["n"] for r in counted.collect()}
     if len(sizes) > o.most_sources:
         raise ValueError(f"more than {o.most_sources} sources")
     weights = {s: o.weights.get(s, n**o.power) for s, n in sizes.items()}
     plan = slots_of_blocks(spark, weights, {s: -(-n // o.block_rows) for s, n in sizes.items()}, o)
+    plan = plan.select(F.col("_source").alias(of), "block", F.col("slot").alias(start))
 
     buckets = max(1, -(-max(sizes.values(), default=1) // o.bucket_rows))
-    bucket = F.floor(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int")
-    keyed = keyed.withColumn("_bucket", bucket)
-    counts = keyed.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_source", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    ties = [c for c in ("doc_id", "text") if c in docs.columns]
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_digest", *ties)
-    ranked = keyed.withColumn("_row", F.row_number().over(inside)).join(counts, ["_source", "_bucket"])
-    number = F.col("_before") + F.col("_row") - 1
-    block = F.floor(number / o.block_rows)
-    placed = ranked.withColumn("block", block).drop("slot").join(plan, ["_source", "block"]).withColumn("place_in_block", (number % o.block_rows).cast("int"))
+    keyed = keyed.withColumn(bucket, F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int"))
+    counts = keyed.groupBy(of, bucket).agg(F.count(F.lit(1)).alias("n"))
+    lower = Window.partitionBy(of).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(of, bucket, F.coalesce(F.sum("n").over(lower), F.lit(0)).alias(before))
+    inside = Window.partitionBy(of, bucket).orderBy(digest, *ties)
+    ranked = keyed.withColumn(row, F.row_number().over(inside)).join(counts, [of, bucket])
+    number = F.col(before) + F.col(row) - 1
+    placed = ranked.withColumn("block", F.floor(number / o.block_rows)).join(plan, [of, "block"])
+    placed = placed.withColumn("slot", F.col(start)).withColumn("place_in_block", (number % o.block_rows).cast("int"))
     names = [*docs.columns, *(c for c in ("block", "slot", "place_in_block") if c not in docs.columns)]
     mixed = placed.select(*names)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))

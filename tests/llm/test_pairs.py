@@ -152,3 +152,12 @@ def test_nearest_recall_and_ties(spark, shard_rows, query_rows):
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in nearest(df, lambda i: i % 100 == 0).orderBy("rank").collect()] == [(1, 3), (2, 1)]
+
+
+def test_components_do_not_end_early(spark):
+    from folioflow.llm.common import Store, components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in components(chain, Store(spark, "chain")).collect()} == {0}
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        components(chain, Store(spark, "chain"), rounds=1)

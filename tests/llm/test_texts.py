@@ -294,11 +294,12 @@ def test_schedule_keeps_within_one_block(parts):
 
 def test_mix_keeps_rows_and_weights(spark):
     rows = [(i, f"t{i}", None, "big" if i % 3 else ["x", "y", None][i % 9 // 3], 1) for i in range(900)] + [(None, "n", None, "x", 1), (5, "t5", None, "big", 1)]
-    docs = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "'mine' as slot0", "1 as _extra")
+    docs = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "'mine' as _source", "'old' as slot", "1 as _digest", "2 as _bucket", "3 as _mix_row")
     o = mixing.MixOptions(weights={"big": 2, "x": 1, "y": 1, "": 1}, block_rows=4, bucket_rows=50, period=5)
     got = mixing.mix(docs, o).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(r[0]), r[1]) for r in rows)
     assert [r.slot for r in got] == sorted(r.slot for r in got)
+    assert {(r["_source"], r["_digest"], r["_bucket"], r["_mix_row"]) for r in got} == {("mine", 1, 2, 3)}
     slots = {}
     for r in got:
         slots.setdefault(r.slot, []).append(r)
