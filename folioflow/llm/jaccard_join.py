@@ -93,7 +93,10 @@ def signature(s: np.ndarray) -> int:
 
 
 def describe(texts: DataFrame, o: JoinOptions) -> DataFrame:
-    """One row per document (size and signature of its set) and rows of shingles common in a batch.
+    """One row per document (size, signature and parities of its set) and rows of shingles common in a batch.
+
+    The parities of 512 classes of hashes rule out most pairs below the threshold without their sets: two
+    sets differ by at least as many members as their parities differ.
 
     A shingle in more than ``common_share`` of all documents is in more than that share of some batch;
     counts below half that share of a batch are left out, so the sums are low by that share at most.
@@ -105,16 +108,17 @@ def describe(texts: DataFrame, o: JoinOptions) -> DataFrame:
             sets = shingler.sets(frame["text"])
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"], "n": [len(s) for s in sets],
-                "sig": [signature(s) if len(s) else 0 for s in sets], "token": None, "seen": None,
+                "sig": [signature(s) if len(s) else 0 for s in sets], "bits": [parities(s) for s in sets], "token": None, "seen": None,
             }).astype({"token": "Int64", "seen": "Int64"})
             values, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
             keep = seen >= max(3, len(sets) * o.common_share / 2)
             yield pd.DataFrame({
-                "doc_id": None, "n": None, "sig": None, "token": values[keep].view(np.int64), "seen": seen[keep],
+                "doc_id": None, "n": None, "sig": None, "bits": None, "token": values[keep].view(np.int64), "seen": seen[keep],
             }).astype({"doc_id": "str", "n": "Int64", "sig": "Int64"})
 
     # Ids go as text: pandas would make floats of numbers with nulls among them.
-    out = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, n long, sig long, token long, seen long")
+    out = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        run, "doc_id string, n long, sig long, bits array<long>, token long, seen long")
     return out.withColumn("doc_id", F.expr("try_cast(doc_id as bigint)"))
 
 
@@ -177,11 +181,10 @@ def repeated_only(listed: DataFrame) -> DataFrame:
     return listed.mapInPandas(run, "token long, n int, sig long, level int")
 
 
-def stored_sets(texts: DataFrame, o: JoinOptions) -> DataFrame:
-    """(id, grams, bits): the sorted hashes of whole sets, six bytes each, of rows whose signature is ``sig``.
+def stored_sets(texts: DataFrame, wanted: DataFrame, o: JoinOptions) -> DataFrame:
+    """(id, grams): the sorted hashes, six bytes each, of the whole sets of ``wanted`` (id, sig).
 
-    ``bits`` holds the parities of 512 classes of hashes. Two sets differ by at least as many members as
-    their parities differ, which rules out most pairs below the threshold without their sets.
+    A repeated doc_id has several texts: those of another signature are left out.
     """
 
     def run(frames):
@@ -189,10 +192,10 @@ def stored_sets(texts: DataFrame, o: JoinOptions) -> DataFrame:
         for frame in chunks(frames, 2000):
             sets = shingler.sets(frame["text"])
             own = np.array([len(s) > 0 and signature(s) == sig for s, sig in zip(sets, frame["sig"])], dtype=bool)
-            sets = [s for s, k in zip(sets, own) if k]
-            yield pd.DataFrame({"id": frame["doc_id"][own], "grams": [packed(s) for s in sets], "bits": [parities(s) for s in sets]})
+            yield pd.DataFrame({"id": frame["doc_id"][own], "grams": [packed(s) for s, k in zip(sets, own) if k]})
 
-    return texts.select("doc_id", "text", "sig").mapInPandas(run, "id long, grams binary, bits array<long>")
+    rows = texts.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id")
+    return rows.select("doc_id", "text", "sig").mapInPandas(run, "id long, grams binary")
 
 
 def parities(s: np.ndarray) -> list[int]:
@@ -365,13 +368,14 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     postings = store.save(hits.join(df, "token"), "postings")
     store.drop(hits, df)
     about = store.save(choose_shared(postings, o), "about")
-    wanted = about.select("id").join(classes.select("id", "sig"), "id").withColumnRenamed("id", "doc_id")
-    sets = store.save(stored_sets(texts.join(wanted.hint("merge"), "doc_id"), o), "sets")
-    bits = sets.select("id", "bits").dropDuplicates(["id"]).join(about.select("id", "n"), "id")
-    bits = store.save(bits, "bits")
+    own = facts.filter("n > 0").select(F.col("doc_id").alias("id"), "sig", "bits")
+    bits = store.save(own.join(about.select("id", "n").join(classes.select("id", "sig"), "id"), ["id", "sig"]).dropDuplicates(["id"]), "bits")
 
-    crowds = postings.filter(F.col("df") > o.crowded).select(F.col("token").alias("key"), "id")
+    # Whole sets are made for texts that need them: members of crowded lists, and plausible pairs.
+    crowds = store.save(postings.filter(F.col("df") > o.crowded).select(F.col("token").alias("key"), "id"), "crowds")
+    sets = store.save(stored_sets(texts, crowds.select("id").distinct().join(bits.select("id", "sig"), "id"), o), "sets")
     links, labels, pairs = through_leaders(crowds, about.select("id", "n", "central"), sets, store, o)
+    store.drop(crowds, sets)
 
     # Lists that are not crowded: shared shingles of the prober's prefix, less what crowded lists may add.
     entries = with_label(postings.filter(F.col("df") <= o.crowded).drop("n").join(about, "id"), labels)
@@ -386,9 +390,11 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     met = store.save(pairs, "pairs")
     store.drop(postings)
     pairs = store.save(plausible(met, bits, o), "plausible")
-    store.drop(met, bits)
+    store.drop(met)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = store.save(stored_sets(texts, ids.join(bits.select("id", "sig"), "id"), o), "sets")
     found = store.save(verified(pairs, sets, o), "links")
-    store.drop(pairs, sets)
+    store.drop(pairs, sets, bits)
     links = found if links is None else links.union(found)
     links = links.distinct()  # a repeated row has its set twice
     joined = store.save(components(links, store), "labels")
