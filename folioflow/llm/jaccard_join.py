@@ -243,18 +243,25 @@ def verified(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def against_leaders(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
+def against_leaders(pairs: DataFrame, sets: DataFrame, common: np.ndarray, o: JoinOptions) -> DataFrame:
     """Members ``a`` against leaders ``b``: links (linked, key null) and prefixes of the differences (key).
 
+    The order of a difference depends on shingle and leader only: first the shingles that the leader has not,
+    common ones behind the others, then the leader's. Members unlike the leader lack most of its shingles
+    alike; placed first, these would gather them all in new crowded lists.
     A difference that is no larger than linked sets may differ by can go with one it shares nothing
     with; it stands in the leader's own list (the shingle zero) too.
     """
 
+    common = np.sort(common & SIX_BYTES)
+
     def run(frames):
         for frame in chunks(frames, 2000):
             a, b, linked, key = [], [], [], []
             for i, lead, x, y in zip(frame["a"], frame["b"], frame["x"], frame["y"]):
-                both = np.sort(np.concatenate([unpacked(x), unpacked(y)]), kind="stable")
+                joint = np.concatenate([unpacked(x), unpacked(y)])
+                order = np.argsort(joint, kind="stable")
+                both = joint[order]
                 once = np.ones(len(both), bool)
                 same = both[1:] == both[:-1]
                 once[1:] &= ~same
@@ -262,8 +269,11 @@ def against_leaders(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFr
                 nx, ny, shared = len(x) // 6, len(y) // 6, int(same.sum())
                 if 100 * shared >= o.percent * (nx + ny - shared):
                     a.append(i), b.append(lead), linked.append(True), key.append(0)
-                apart, may = both[once], nx * (100 - o.percent) // o.percent
-                tokens = apart[: may + 1]
+                apart, late, may = both[once], np.where(order[once] >= nx, 2, 0), nx * (100 - o.percent) // o.percent
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, apart), len(common) - 1)
+                    late = np.maximum(late, common[at] == apart)
+                tokens = apart[np.argsort(late, kind="stable")[: may + 1]]
                 if len(apart) <= may:
                     tokens = np.append(tokens, np.uint64(0))
                 keys = mixed(tokens + np.uint64((int(lead) * STEP) & MASK)).view(np.int64)
@@ -306,7 +316,7 @@ def cross_pairs(lists: DataFrame, o: JoinOptions) -> DataFrame:
     return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
-def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, store: Store, o: JoinOptions):
+def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, common: np.ndarray, store: Store, o: JoinOptions):
     """Crowded lists (key, id): links found with leaders, labels of their components, pairs still to verify."""
     links, labels, pairs, seen, rounds = None, None, None, None, 0
     few_pairs = lists.count() * 2
@@ -329,12 +339,14 @@ def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, store:
         rounds += 1
         met = entries.join(big.select("key", "lead"), "key").filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
         met = store.save(met, "met")
-        seen = store.save(against_leaders(met, sets, o), "seen")
+        seen = store.save(against_leaders(met, sets, common, o), "seen")
         found = store.save(seen.filter("linked").select("a", "b"), "found")
         store.drop(met)
         links = found if links is None else links.union(found)
         labels = store.save(components(links, store), "labels")
-        lists = seen.filter("not linked").select("key", F.col("a").alias("id")).distinct()
+        keys = seen.filter("not linked").select("key", F.col("a").alias("id"))
+        several = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+        lists = keys.join(several, "key")
         store.drop(entries, sizes)
 
 
@@ -374,7 +386,7 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     # Whole sets are made for texts that need them: members of crowded lists, and plausible pairs.
     crowds = store.save(postings.filter(F.col("df") > o.crowded).select(F.col("token").alias("key"), "id"), "crowds")
     sets = store.save(stored_sets(texts, crowds.select("id").distinct().join(bits.select("id", "sig"), "id"), o), "sets")
-    links, labels, pairs = through_leaders(crowds, about.select("id", "n", "central"), sets, store, o)
+    links, labels, pairs = through_leaders(crowds, about.select("id", "n", "central"), sets, common, store, o)
     store.drop(crowds, sets)
 
     # Lists that are not crowded: shared shingles of the prober's prefix, less what crowded lists may add.
