@@ -93,7 +93,7 @@ def lightweight_files(spark, sf):
     results = d.select(doc.alias("doc"), F.concat(F.lit("light "), F.col("text")).alias("content"))
     dry = S.write_lightweight(results, root + "-dry", "dry-run")
     S.write_lightweight(results, root)
-    read = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(S.decoded_path().alias("path"), "value")
+    read = S.read_whole(spark, root, "*").select("path", "value")
     parts = F.split("path", "/")
     stored = F.lit(S._exists(spark, root + "-dry"))
     return read.join(dry.filter("NOT written").select(F.concat(F.lit("/"), "output").alias("output")), F.col("path").endswith(F.col("output")) & (

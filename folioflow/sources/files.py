@@ -14,16 +14,11 @@ from folioflow.operators.combine import PART_ORDER
 from folioflow.operators.cost import RATE_FIELDS
 from folioflow.operators.ledger import RESPONSE_SCHEMA
 from folioflow.sources.document_sink import write_documents
+from folioflow.sources.listing import listed, read_whole
 
 TRANSCRIPT_SCHEMA = "path string, name string, text string, size bigint, mtime timestamp"
 
 
-def decoded_path() -> Column:
-    """File path of the row without its scheme; the source percent-encodes names."""
-    bare = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    return F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     if urlparse(path).scheme in ("", "file"):
         return os.path.exists(urlparse(path).path)
@@ -31,20 +26,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _files(spark: SparkSession, root: str, fmt: str, glob: str) -> DataFrame:
-    return spark.read.format(fmt).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-
-
 # --- transcripts -----------------------------------------------------------------------------------------
 def read_transcripts(spark: SparkSession, root: str, include_consolidated: bool = False) -> DataFrame:
     """Every Markdown file below a root as one row; lightweight copies are left out, a missing root is empty."""
     if not _exists(spark, root):
         return spark.createDataFrame([], TRANSCRIPT_SCHEMA)
-    raw = _files(spark, root, "text", "*.md").option("wholetext", True).load(root)
-    df = raw.select(
-        decoded_path().alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("mtime"))
-    df = df.select("path", T.file_name("path").alias("name"), "text", "size", "mtime").filter(~T.is_lightweight("path"))
+    df = read_whole(spark, root, "*.md").select("path", T.file_name("path").alias("name"), F.col("value").alias("text"), "size", "mtime")
+    df = df.filter(~T.is_lightweight("path"))
     return df if include_consolidated else df.filter(~T.is_consolidated("path"))
 
 
@@ -63,9 +51,8 @@ def as_corpus(df: DataFrame) -> DataFrame:
 
 def markdown_catalogue(spark: SparkSession, root: str) -> DataFrame:
     """All Markdown files with flags, size and display folder, without reading any content."""
-    raw = _files(spark, root, "binaryFile", "*.md").load(root)
     base = os.path.abspath(urlparse(root).path)
-    df = raw.select(decoded_path().alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    df = listed(spark, root, "*.md").select("path", "size", "mtime")
     df = df.withColumn("name", T.file_name("path")).filter(
         ~F.col("name").endswith(K.INDEX_SUFFIX) & ~F.col("name").startswith(".") & (F.col("name") != K.REPORT_NAME))
     inside = F.substring("path", F.lit(len(base) + 2), F.length("path"))
@@ -84,9 +71,8 @@ def pdf_inventory(spark: SparkSession, root: str, page_counts: DataFrame | None
     counts are supplied by the caller as ``path, total_pages``.
     """
     base = os.path.abspath(urlparse(root).path)
-    raw = _files(spark, root, "binaryFile", "*.pdf").load(root)
-    df = raw.select(decoded_path().alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    df = df.withColumn("_in", F.split(F.substring("path", F.lit(len(base) + 2), F.length("path")), "/"))
+    found = listed(spark, root, "*.pdf", "*.md").select("path", "size", "mtime")
+    df = found.filter(F.col("path").endswith(".pdf")).withColumn("_in", F.split(F.substring("path", F.lit(len(base) + 2), F.length("path")), "/"))
     if nested:
         df = df.filter(~F.array_contains("_in", K.MARKDOWN_DIR))
     else:
@@ -96,8 +82,7 @@ def pdf_inventory(spark: SparkSession, root: str, page_counts: DataFrame | None
     folder = F.when(F.size("_in") == 1, F.lit(K.ROOT_FOLDER_LABEL)).otherwise(F.element_at("_in", -2))
     pdfs = df.select("path", T.file_name("path").alias("name"), folder.alias("folder"), "size", "mtime",
                      T.markdown_path_of("path").alias("output_path"))
-    outputs = _files(spark, root, "binaryFile", "*.md").load(root).select(
-        decoded_path().alias("output_path"), F.col("length").alias("output_size"))
+    outputs = found.filter(F.col("path").endswith(".md")).select(F.col("path").alias("output_path"), F.col("size").alias("output_size"))
     out = pdfs.join(outputs, "output_path", "left").withColumn("is_converted", F.col("output_size").isNotNull())
     return out if page_counts is None else out.join(page_counts, "path", "left")
 
@@ -105,11 +90,10 @@ def pdf_inventory(spark: SparkSession, root: str, page_counts: DataFrame | None
 # --- page cache ------------------------------------------------------------------------------------------
 def read_page_files(spark: SparkSession, cache_root: str, tag: str = K.PROVENANCE_TAG) -> DataFrame:
     """A file cache: ``models/<model>/<folder>/<stem>/page_NNN.md``, or the older layout without a model."""
-    raw = _files(spark, cache_root, "text", "page_*.md").option("wholetext", True).load(cache_root)
     parts = T.path_parts("_path")
     model = F.when(F.try_element_at(parts, F.lit(-5)) == "models", F.element_at(parts, -4))
     fields = T.provenance("value", tag)
-    df = raw.select("value", decoded_path().alias("_path"))
+    df = read_whole(spark, cache_root, "page_*.md").select("value", F.col("path").alias("_path"))
     return df.select(
         model.alias("model"), F.element_at(parts, -3).alias("folder"), F.element_at(parts, -2).alias("stem"),
         F.regexp_extract("_path", r"page_([0-9]+)\.md$", 1).try_cast("bigint").alias("page_num"),
@@ -208,8 +192,8 @@ PLAN_SCHEMA = (
 
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
     """Stored plans, newest first; unreadable files are skipped."""
-    raw = spark.read.schema(PLAN_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).json(path)
+    raw = read_whole(spark, path, "*").select(F.from_json("value", PLAN_SCHEMA, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p")).select("p.*")
     return raw.filter(F.col("id").isNotNull()).drop("_corrupt_record").orderBy(F.desc("id"))
 
 

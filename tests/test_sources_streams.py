@@ -7,7 +7,7 @@ from folioflow.operators import deflate as D
 from folioflow.operators import inventory as I
 from folioflow.operators import ledger as L
 from folioflow.sources import files as S
-from folioflow.sources.document_sink import write_documents
+from folioflow.sources.document_sink import DocumentWriter, Staged, write_documents
 from folioflow.streaming import jobs as J
 from folioflow.streaming.tables import StreamTable
 
@@ -179,6 +179,22 @@ def test_document_files_appear_whole_or_not_at_all(spark, tmp_path):
     assert files() == want | {"b.md": "newer"}
 
 
+def test_the_driver_lists_and_moves_no_files(spark, tmp_path):
+    root = str(tmp_path / "w")
+    rows = [("A/Markdown/x.md", "old"), ("A/Markdown/.hid.md", "h"), ("A/_d/y.md", "u"), ("A/Markdown/x.md", "new")]
+    write_documents(spark.createDataFrame(rows, "file string, text string").coalesce(1), root, F.col("file"), F.col("text"))
+    assert {str(p.relative_to(root)): p.read_text() for p in (tmp_path / "w").rglob("*") if p.is_file()} == dict(rows)
+    for found in (S.read_transcripts(spark, root), S.markdown_catalogue(spark, root), S.pdf_inventory(spark, root), S.read_page_files(spark, root)):
+        assert not [f for f in found.inputFiles() if f.endswith((".md", ".pdf"))]
+    assert [(r.path, r.text, r["size"]) for r in S.read_transcripts(spark, root).collect()] == [(f"{root}/A/Markdown/x.md", "new", 3)]
+    staging = str(tmp_path / "staged")
+    writer = DocumentWriter(staging)
+    (tmp_path / "staged/0-a").mkdir()
+    (tmp_path / "staged/0-a/f.md").write_text("f")
+    writer.commit([Staged("0-a"), None])
+    assert sorted(p.name for p in (tmp_path / "staged").rglob("*")) == ["0-a", "_committed", "f.md"]
+
+
 def test_lightweight_and_plan_files(spark, tmp_path):
     root = str(tmp_path)
     results = spark.createDataFrame([(f"{root}/A/Markdown/x.md", "light"), ("B/y.md", "also")], "doc string, content string")
