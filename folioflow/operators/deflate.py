@@ -19,7 +19,7 @@ from folioflow.functions import text as T
 from folioflow.operators.joins import lookup
 from folioflow.operators.sections import explode_units, with_units
 from folioflow.operators.similarity import Clusters, assign, leader_clusters
-from folioflow.plans.storage import materialise
+from folioflow.plans.storage import materialise, materialise_by
 
 try:
     import ahocorasick
@@ -111,7 +111,9 @@ def with_peer_group(docs: DataFrame, mapping: DataFrame | None = None) -> DataFr
     default = T.peer_group("entity")
     if mapping is None:
         return docs.withColumn("grp", default)
-    table = mapping.select("entity", F.col("grp").alias("_grp"))
+    table = materialise(mapping.select("entity", F.col("grp").alias("_grp")), "peer-groups")
+    size = table.agg(F.sum(F.octet_length("entity") + F.coalesce(F.octet_length("_grp"), F.lit(0)) + 32)).first()[0] or 0
+    table = F.broadcast(table) if size <= NAMES_SHARED_BYTES else table  # a shuffle would move every text
     return docs.join(table, "entity", "left").withColumn("grp", F.coalesce("_grp", default)).drop("_grp")
 
 
@@ -203,13 +205,14 @@ def union_references(targets: DataFrame, references: DataFrame) -> DataFrame:
 def scan(corpus: DataFrame, options: Options = Options(), names: DataFrame | None = None) -> Scan:
     """Build the library of repeated passages of a prepared corpus."""
     names = company_names(corpus) if names is None else names
-    sections = materialise(fingerprint_sections(corpus, options, names), "sections")
+    found = fingerprint_sections(corpus, options, names)
+    sections = materialise(found.drop("norm") if options.similarity is None else found, "sections")
     clusters = None
     slim = sections.drop("norm")
     if options.similarity is None:
         assigned = slim.withColumn("scan_fp", F.col("form")).withColumn("match_fp", F.col("form"))
     else:
-        forms = materialise(distinct_forms(sections), "forms")
+        forms = materialise_by(distinct_forms(sections), "form", "forms")
         clusters = leader_clusters(forms, options.similarity)
         assigned = materialise(assign(slim, clusters), "assigned")
     library = materialise(fingerprint_library(assigned), "library")

@@ -83,9 +83,12 @@ def rare_first(forms: DataFrame, threshold: float) -> DataFrame:
     total = frequency.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("t")).first()["t"]
     common = F.broadcast(frequency.filter(F.col("df") * COMMON_WORDS > F.lit(total)))
     rest = frequency.filter(F.col("df") * COMMON_WORDS <= F.lit(total))
-    ranked = entries.join(common, "word").unionByName(
-        entries.join(common.select("word"), "word", "left_anti").join(rest, "word"))
-    ordered = ranked.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("_o"), *bitmap())
+    # Common words stay with their text; only the others travel to their frequency and back.
+    listed = lambda name: F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "word"))).alias(name)
+    here = entries.join(common, "word", "left").groupBy("form").agg(listed("_c"), *bitmap())
+    away = entries.join(common.select("word"), "word", "left_anti").join(rest, "word").groupBy("form").agg(listed("_r"))
+    none = F.array().cast(here.schema["_c"].dataType)
+    ordered = here.join(away, "form", "left").withColumn("_o", F.array_sort(F.concat(F.coalesce("_r", none), "_c")))
     sized = forms.select("form", "rank", F.size("words").alias("n"))
     keep = F.col("n") - required_overlap(F.col("n"), threshold) + 1
     return ordered.join(sized, "form").select(

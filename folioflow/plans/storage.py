@@ -43,3 +43,13 @@ def stored_whole(spark: SparkSession, path: str) -> bool:
     """Whether a table at ``path`` was written to its end."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def materialise_by(df: DataFrame, key: str, label: str = "table") -> DataFrame:
+    """As ``materialise``, in buckets of a key: later joins on it read the table in place and move only their other side."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = f"folioflow_{path.rsplit('-', 1)[1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.read.table(name)
