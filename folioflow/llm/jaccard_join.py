@@ -1,17 +1,20 @@
 """Similarity join on word shingles by adaptive multi-match prefixes.
 
-Shingle sets are ordered by one global order: shingles that occur in many documents last, others by
-their hash. Two sets of at least the wanted Jaccard similarity share at least ``l`` shingles of their
+Shingle sets are ordered by one global order: shingles that occur in many documents last, the most
+frequent behind the others, all else by their hash. Two sets of at least the wanted Jaccard similarity share at least ``l`` shingles of their
 ``l``-prefixes, where the ``l``-prefix of a set of ``n`` is its first ``n - ceil(t*n) + l`` shingles.
 Every document chooses its ``l`` by the estimated cost of its candidates: longer prefixes cost more
 list entries but ask for more shared ones. Of a pair, the larger set probes with its own ``l``.
 
-Equal sets are one node from the start. Lists of at most ``crowded`` sets are compared pair by pair. A
-longer list elects its most central set as leader, and every member is compared with the leader
-only. Members linked to it form one component. For the others, two sets x and y of a list are linked only if their
-differences from the leader differ little: |x ^ y| = |(x ^ leader) ^ (y ^ leader)| <= n * (100 - p) / p. So the
-differences are joined by prefixes of their own, under keys of leader and shingle, and long lists of these go
-on in the same way. A group of copies costs work in proportion to its size, is never expanded into all
+Equal sets are one node from the start. Lists of at most ``crowded`` sets are compared pair by pair. A set with
+fewer than ``l`` shingles of longer lists in its ``l``-prefix shares one of a short list with every partner, whichever of
+the two is larger, and needs no long list. Long lists hold only the other sets, the needy ones: members of large groups.
+Such a list elects its most central set as leader, and every member is compared with the leader
+only. Members linked to it form one component. Any other pair x, y of the list has a member, say x, not linked to the
+leader: |x ^ leader| is larger than linked sets of their sizes may differ by, and |x ^ y| = |(x ^ leader) ^ (y ^ leader)| is
+not. So y shares at least about half its difference from the leader with x, and x all of its own but what linked sets may
+differ by. The differences are joined by prefixes of their own, under keys of leader and shingle, and long lists of
+these go on in the same way. A group of copies costs work in proportion to its size, is never expanded into all
 pairs, and no link between different components is lost.
 
 Edge cases: a null or wordless text has an empty set and links with nothing; a text with fewer words
@@ -42,7 +45,8 @@ class JoinOptions:
 
     The rest shapes the plan, never the result: lists longer than ``crowded`` go through leaders, for at
     most ``leader_rounds`` rounds, after which they are compared pair by pair; ``common_share`` is the share of documents from which a
-    shingle is ordered last, of which at most ``common_bound`` are sent to the executors (8 bytes each).
+    shingle is surely ordered last, of which at most ``common_bound`` are sent to the executors (16 bytes each). If more than
+    ``needy_share`` of the documents need long lists, the shingles of these are ordered last too, and prefixes are made anew. Up to ``cheap`` pairs a row of the long lists are compared without leaders.
     """
 
     words: int = 3
@@ -52,6 +56,8 @@ class JoinOptions:
     leader_rounds: int = 6
     common_share: float = 1 / 2000
     common_bound: int = 400_000
+    needy_share: float = 1 / 50
+    cheap: int = 10
 
 
 def needed(n, percent: int):
@@ -99,7 +105,7 @@ def describe(texts: DataFrame, o: JoinOptions) -> DataFrame:
     sets differ by at least as many members as their parities differ.
 
     A shingle in more than ``common_share`` of all documents is in more than that share of some batch;
-    counts below half that share of a batch are left out, so the sums are low by that share at most.
+    counts below three, or half that share of a batch, are left out, so the sums are low by as much at most.
     """
 
     def run(frames):
@@ -122,8 +128,11 @@ def describe(texts: DataFrame, o: JoinOptions) -> DataFrame:
     return out.withColumn("doc_id", F.expr("try_cast(doc_id as bigint)"))
 
 
-def prefixes(texts: DataFrame, common: np.ndarray, o: JoinOptions) -> DataFrame:
-    """Prefix shingles (token, n, sig, level): level ``l`` is the shortest prefix that holds the shingle."""
+def prefixes(texts: DataFrame, common: np.ndarray, rank: np.ndarray, o: JoinOptions) -> DataFrame:
+    """Prefix shingles (token, n, sig, level): level ``l`` is the shortest prefix that holds the shingle.
+
+    ``common`` shingles, sorted by value, stand last, by their ``rank``.
+    """
 
     def run(frames):
         shingler, done = Shingler(o.words), set()
@@ -140,7 +149,8 @@ def prefixes(texts: DataFrame, common: np.ndarray, o: JoinOptions) -> DataFrame:
                 size = min(len(s), base + min(o.most_shared, needed(len(s), o.percent)) - 1)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    s = np.concatenate([s[common[at] != s], s[common[at] == s]])
+                    last = common[at] == s
+                    s = np.concatenate([s[~last], s[last][np.argsort(rank[at[last]])]])
                 parts.append((s[:size].view(np.int64), sig, np.maximum(np.arange(size) - base + 2, 1)))
                 parts[-1] += (np.full(size, len(s)),)
             if len(done) > 500_000:
@@ -247,10 +257,13 @@ def against_leaders(pairs: DataFrame, sets: DataFrame, common: np.ndarray, o: Jo
     """Members ``a`` against leaders ``b``: links (linked, key null) and prefixes of the differences (key).
 
     The order of a difference depends on shingle and leader only: first the shingles that the leader has not,
-    common ones behind the others, then the leader's. Members unlike the leader lack most of its shingles
-    alike; placed first, these would gather them all in new crowded lists.
-    A difference that is no larger than linked sets may differ by can go with one it shares nothing
-    with; it stands in the leader's own list (the shingle zero) too.
+    common ones behind the others, then the leader's, common ones first. Members unlike the leader lack most of its
+    shingles alike; placed first, these would gather them all in new crowded lists.
+
+    Two members linked to the leader are of one component, so a pair to be found has one, x, that is not. With
+    t = (100 - p) / (100 + p), linked sets differ by t * (sum of their sizes) at most, so that of y's difference d they share
+    (|x ^ leader| + d - |x ^ y|) / 2 > (d + t * (|leader| - |y|)) / 2: what a linked y asks for. An unlinked x asks for all
+    but the |x| * (100 - p) / p shingles by which it may differ from any set.
     """
 
     common = np.sort(common & SIX_BYTES)
@@ -267,15 +280,17 @@ def against_leaders(pairs: DataFrame, sets: DataFrame, common: np.ndarray, o: Jo
                 once[1:] &= ~same
                 once[:-1] &= ~same
                 nx, ny, shared = len(x) // 6, len(y) // 6, int(same.sum())
+                apart, leads, often = both[once], order[once] >= nx, np.zeros(int(once.sum()), bool)
                 if 100 * shared >= o.percent * (nx + ny - shared):
                     a.append(i), b.append(lead), linked.append(True), key.append(0)
-                apart, late, may = both[once], np.where(order[once] >= nx, 2, 0), nx * (100 - o.percent) // o.percent
-                if len(common):
+                    ask = (len(apart) * (100 + o.percent) + (ny - nx) * (100 - o.percent)) // (2 * (100 + o.percent)) + 1
+                else:
+                    ask = max(1, len(apart) - nx * (100 - o.percent) // o.percent)
+                if len(common) and len(apart):
                     at = np.minimum(np.searchsorted(common, apart), len(common) - 1)
-                    late = np.maximum(late, common[at] == apart)
-                tokens = apart[np.argsort(late, kind="stable")[: may + 1]]
-                if len(apart) <= may:
-                    tokens = np.append(tokens, np.uint64(0))
+                    often = common[at] == apart
+                late = np.where(leads, 3 - often.astype(int), often.astype(int))
+                tokens = apart[np.argsort(late, kind="stable")[: max(len(apart) - ask + 1, 0)]]
                 keys = mixed(tokens + np.uint64((int(lead) * STEP) & MASK)).view(np.int64)
                 a += [i] * len(keys)
                 b += [lead] * len(keys)
@@ -289,59 +304,69 @@ def against_leaders(pairs: DataFrame, sets: DataFrame, common: np.ndarray, o: Jo
 
 
 def choose_shared(postings: DataFrame, o: JoinOptions) -> DataFrame:
-    """(id, n, l, central, crowds): the prefix with the least estimated cost, and where the set stands.
+    """(id, n, l, central, crowds, needy): the prefix with the least estimated cost, and where the set stands.
 
     ``l``-prefixes of list entries E have at most E / l partners with l shared shingles (Markov); a
     list entry costs one unit, verifying a partner its share of the set. ``central`` is the mean number
-    of partners of a prefix shingle, ``crowds`` the number of shingles of the chosen prefix in crowded lists.
+    of partners of a prefix shingle, ``crowds`` the number of shingles of the chosen prefix in crowded lists. A set is
+    ``needy``, with ``l`` 1, if these may be all that it shares, whatever ``l``.
     """
     levels = range(1, o.most_shared + 1)
     sums = postings.groupBy("id").agg(
         F.first("n").alias("n"), F.sum(F.col("df") - 1).alias("partners"),
-        *[F.sum(F.when(F.col("level") <= l, F.col("df") - 1)).alias(f"e{l}") for l in levels],
+        *[F.sum(F.when((F.col("level") <= l) & (F.col("df") <= o.crowded), F.col("df") - 1)).alias(f"e{l}") for l in levels],
         *[F.count(F.when((F.col("level") <= l) & (F.col("df") > o.crowded), 1)).alias(f"c{l}") for l in levels])
     ask = F.floor((F.col("n") * o.percent + 99) / 100)
-    cost = [F.struct((F.coalesce(F.col(f"e{l}"), F.lit(0)) * (1 + (F.col("n") / 8 + 4) / l)).alias("cost"), F.lit(l).alias("l"),
-                     F.col(f"c{l}").alias("crowds")) for l in levels]
-    allowed = F.filter(F.array(*cost), lambda c: (c["l"] <= ask) | (c["l"] == 1))
+    cost = [F.struct((F.col(f"c{l}") >= l).alias("needy"),
+                     (F.coalesce(F.col(f"e{l}"), F.lit(0)) * (1 + (F.col("n") / 8 + 4) / F.greatest(l - F.col(f"c{l}"), F.lit(1)))).alias("cost"),
+                     F.lit(l).alias("l"), F.col(f"c{l}").alias("crowds")) for l in levels]
+    allowed = F.filter(F.array(*cost), lambda c: (c["l"] == 1) | ((c["l"] <= ask) & ~c["needy"]))
     best = sums.withColumn("best", F.array_min(allowed))
-    return best.select("id", "n", F.col("best.l").alias("l"), (F.col("partners") / F.col("n")).alias("central"), F.col("best.crowds").alias("crowds"))
+    return best.select("id", "n", (F.col("partners") / F.col("n")).alias("central"), "best.l", "best.crowds", "best.needy")
 
 
 def cross_pairs(lists: DataFrame, o: JoinOptions) -> DataFrame:
-    """Pairs (a, b) of different components and fitting sizes that share a list."""
-    x, y = (lists.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "xy")
-    larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
-    met = x.join(y, "key").filter(larger & (F.col("component_x") != F.col("component_y")) & (F.col("n_y") * 100 >= F.col("n_x") * o.percent))
-    return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+    """Pairs (a, b) of different components and fitting sizes that share a list; ``main`` is a component of the list.
+
+    At least one of such a pair is outside ``main``, so only these rows meet the whole list.
+    """
+    x, y = (lists.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "xy")
+    met = x.filter("component_x <> main").drop("main").join(y, "key").filter(
+        (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * o.percent))
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, common: np.ndarray, store: Store, o: JoinOptions):
-    """Crowded lists (key, id): links found with leaders, labels of their components, pairs still to verify."""
+    """Crowded lists (key, id): links found with leaders, labels of their components, pairs still to verify.
+
+    Members of the leader's component need not meet in a list; the others meet all of it. Where that makes no more
+    pairs than ``cheap`` times the first lists had rows, no further round is needed.
+    """
     links, labels, pairs, seen, rounds = None, None, None, None, 0
-    few_pairs = lists.count() * 2
+    few_pairs = lists.count() * o.cheap
+    if not few_pairs:
+        return links, labels, pairs
     while True:
         entries = store.save(with_label(lists.join(about, "id"), labels), "entries")
         store.drop(seen)
         sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                           F.max(F.struct("central", "id")).alias("lead"))
-        sizes = store.save(sizes.filter("lo < hi").select("key", "g", F.col("lead.id").alias("lead")), "sizes")
+                                           F.max(F.struct("central", "id", "component")).alias("lead"))
+        sizes = sizes.filter("lo < hi").select("key", "g", F.col("lead.id").alias("lead"), F.col("lead.component").alias("main"))
+        sizes = store.save(sizes, "sizes")
         big = sizes.filter(F.col("g") > o.crowded)
-        left = big.agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0))).first()[0]
+        left = (entries.join(big, "key").filter("component <> main")
+                .agg(F.coalesce(F.sum("g"), F.lit(0))).first()[0])
         final = rounds == o.leader_rounds or left <= few_pairs
         small = sizes if final else sizes.filter(F.col("g") <= o.crowded)
-        if rounds or (final and left):
-            few = store.save(cross_pairs(entries.join(small.select("key"), "key"), o), "pairs")
-            pairs = few if pairs is None else pairs.union(few)
+        few = store.save(cross_pairs(entries.join(small.select("key", "main"), "key"), o), "pairs")
+        pairs = few if pairs is None else pairs.union(few)
         if final:
             store.drop(entries, sizes)
             return links, labels, pairs
         rounds += 1
         met = entries.join(big.select("key", "lead"), "key").filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-        met = store.save(met, "met")
         seen = store.save(against_leaders(met, sets, common, o), "seen")
         found = store.save(seen.filter("linked").select("a", "b"), "found")
-        store.drop(met)
         links = found if links is None else links.union(found)
         labels = store.save(components(links, store), "labels")
         keys = seen.filter("not linked").select("key", F.col("a").alias("id"))
@@ -350,51 +375,71 @@ def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, common:
         store.drop(entries, sizes)
 
 
+def listed_prefixes(texts: DataFrame, classes: DataFrame, often: dict[int, int], store: Store, o: JoinOptions):
+    """Prefix shingles of at least two sets with their number, what each set asks for, and the shingles ordered last."""
+    common = np.sort(np.array(list(often), dtype=np.int64).view(np.uint64))
+    seen = np.array([often[t] for t in common.view(np.int64).tolist()], dtype=np.int64)
+    rank = np.empty(len(common), np.int64)
+    rank[np.argsort(seen, kind="stable")] = np.arange(len(common))
+    width = max(int(store.spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    listed = repeated_only(prefixes(texts, common, rank, o).repartition(width, "token").sortWithinPartitions("token"))
+    hits = listed.groupBy("token", "n", "sig").agg(F.min("level").alias("level"))
+    found = store.save(hits.withColumn("n", F.col("n").cast("long")), "hits")
+    hits = store.save(found.join(classes, ["n", "sig"]).select("token", "id", "n", "level"), "hits")
+    store.drop(found)
+    df = store.save(hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "df")
+    postings = store.save(hits.join(df, "token"), "postings")
+    store.drop(hits, df)
+    return postings, store.save(choose_shared(postings, o), "about"), common
+
+
 def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links_found.
 
     ``n_links_found`` counts the verified links that joined the document's class to others; links
     inside components that were already joined are not searched.
     """
-    o, spark = options or JoinOptions(), docs.sparkSession
-    store = Store(spark, "jaccard", LEAN)
+    o, store = options or JoinOptions(), Store(docs.sparkSession, "jaccard", LEAN)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     facts = store.save(describe(texts, o), "facts")
     rows = facts.filter("n is not null").select("doc_id", "n", "sig")
     total = rows.count()
     hot = (facts.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
-           .filter(F.col("seen") >= max(4.0, total * o.common_share / 2))
-           .orderBy(F.desc("seen"), "token").limit(o.common_bound).select("token").collect())
-    common = np.sort(np.array([r[0] for r in hot], dtype=np.int64).view(np.uint64))
+           .orderBy(F.desc("seen"), "token").limit(o.common_bound).toPandas())
+    often = dict(zip(hot["token"].tolist(), hot["seen"].tolist()))
     chosen = (rows.filter("n > 0 and doc_id is not null").groupBy("doc_id")
               .agg(F.min(F.struct("n", "sig")).alias("s")).select("doc_id", "s.n", "s.sig"))
     classes = store.save(chosen.groupBy("n", "sig").agg(F.min("doc_id").alias("id")), "classes")
 
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    listed = repeated_only(prefixes(texts, common, o).repartition(width, "token").sortWithinPartitions("token"))
-    hits = listed.groupBy("token", "n", "sig").agg(F.min("level").alias("level"))
-    found = store.save(hits.withColumn("n", F.col("n").cast("long")), "hits")
-    hits = store.save(found.join(classes, ["n", "sig"]).select("token", "id", "n", "level"), "hits")
-    store.drop(found)
-    df = store.save(hits.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "df")
-    postings = store.save(hits.join(df, "token"), "postings")
-    store.drop(hits, df)
-    about = store.save(choose_shared(postings, o), "about")
+    postings, about, common = listed_prefixes(texts, classes, often, store, o)
+    needy = about.filter("needy").count()
+    if needy > total * o.needy_share:
+        long = (postings.filter(F.col("df") > o.crowded).groupBy("token").agg(F.first("df").alias("df"))
+                .orderBy(F.desc("df"), "token").limit(o.common_bound).toPandas())
+        more = {t: df for t, df in zip(long["token"].tolist(), long["df"].tolist()) if t not in often}
+        if more:
+            store.drop(postings, about)
+            often = dict(sorted((often | more).items(), key=lambda x: (-x[1], x[0]))[: o.common_bound])
+            postings, about, common = listed_prefixes(texts, classes, often, store, o)
     own = facts.filter("n > 0").select(F.col("doc_id").alias("id"), "sig", "bits")
     bits = store.save(own.join(about.select("id", "n").join(classes.select("id", "sig"), "id"), ["id", "sig"]).dropDuplicates(["id"]), "bits")
 
     # Whole sets are made for texts that need them: members of crowded lists, and plausible pairs.
-    crowds = store.save(postings.filter(F.col("df") > o.crowded).select(F.col("token").alias("key"), "id"), "crowds")
+    crowds = postings.filter((F.col("df") > o.crowded) & (F.col("level") == 1)).join(about.filter("needy").select("id"), "id")
+    crowds = store.save(crowds.select(F.col("token").alias("key"), "id"), "crowds")
     sets = store.save(stored_sets(texts, crowds.select("id").distinct().join(bits.select("id", "sig"), "id"), o), "sets")
     links, labels, pairs = through_leaders(crowds, about.select("id", "n", "central"), sets, common, store, o)
     store.drop(crowds, sets)
 
     # Lists that are not crowded: shared shingles of the prober's prefix, less what crowded lists may add.
+    # The larger set probes, or the one that is not needy.
     entries = with_label(postings.filter(F.col("df") <= o.crowded).drop("n").join(about, "id"), labels)
-    x, y = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "level", "component", "l", "crowds")]) for s in "xy")
+    x, y = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "level", "component", "l", "crowds", "needy")]) for s in "xy")
     larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
+    probes = F.when(F.col("needy_x") == F.col("needy_y"), larger).otherwise(~F.col("needy_x"))
     met = x.join(y, "token").filter(
-        larger & (F.col("component_x") != F.col("component_y")) & (F.col("n_y") * 100 >= F.col("n_x") * o.percent)
+        probes & (F.col("component_x") != F.col("component_y"))
+        & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * o.percent)
         & (F.col("level_x") <= F.col("l_x")) & (F.col("level_y") <= F.col("l_x")))
     few = met.groupBy("id_x", "id_y").agg(F.count(F.lit(1)).alias("c"), F.first("l_x").alias("l"), F.first("crowds_x").alias("k"))
     few = few.filter(F.col("c") >= F.greatest(F.lit(1), F.col("l") - F.col("k"))).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))

@@ -79,6 +79,20 @@ def test_jaccard_join_null_ids_and_empty_table(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_texts_with_enough_own_shingles_need_no_crowded_list(spark, monkeypatch):
+    from folioflow.llm import jaccard_join
+
+    passage, rows, lists = " ".join(f"p{i}" for i in range(40)), [], []
+    rows += [(i, passage + " " + " ".join(f"o{i}x{j}" for j in range(5))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + f" end{i}") for i in range(3)]
+    through = jaccard_join.through_leaders
+    monkeypatch.setattr(jaccard_join, "through_leaders", lambda crowds, *rest: lists.append(crowds.count()) or through(crowds, *rest))
+    df = spark.createDataFrame([(i, t, "n", "c") for i, t in rows], DOCS)
+    got = jaccard_components(df, JoinOptions(crowded=24)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_jaccard(rows, 3, 90)
+    assert lists == [0]
+
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(120, 16))
