@@ -5,6 +5,8 @@ cells as wide as the query window; a pair meets where their projections on such
 window or less, and only on the first line for which this holds. For the pairs that meet, window collisions
 are counted over all ``lines``; those with at least the calibrated count are verified by the exact cosine. The
 window and the count are chosen from the wished recall at the threshold itself; closer pairs have more.
+Before that, collisions are counted over the sides of zero on which two vectors lie on further lines, kept as the bits
+of one number: nearly all unrelated pairs end there, after one comparison of two numbers.
 
 Equal vectors are one class from the start. A cell of any size is split into blocks by the hash of the id
 and handled as pairs of blocks, so a task holds three blocks at most. Tasks return sums of links per vector and a spanning
@@ -32,7 +34,7 @@ from folioflow.llm.vectors import distinct_vectors, matrix, unit
 
 @dataclass(frozen=True)
 class CollisionOptions:
-    """``miss``: share of pairs at the threshold that each of the two filters may lose.
+    """``miss``: share of pairs at the threshold that each of the two filters may lose; the count of sides loses a thousandth of it.
 
     ``block_rows`` bounds what a task holds and does not change the result.
     """
@@ -74,8 +76,30 @@ def lines_of(dim: int, o: CollisionOptions) -> np.ndarray:
     return np.random.default_rng([o.seed, dim]).standard_normal((dim, o.lines))
 
 
+SIDES = 64
+
+
+def sides(x: np.ndarray, o: CollisionOptions) -> np.ndarray:
+    """One number for each row: its sides of zero on 64 random lines."""
+    lines = np.random.default_rng([o.seed, x.shape[1], SIDES]).standard_normal((x.shape[1], SIDES))
+    return np.packbits(x @ lines >= 0, axis=1).view(np.int64).ravel()
+
+
+def most_apart(o: CollisionOptions) -> int:
+    """The number of different sides that a pair at the threshold exceeds with a probability of ``miss`` / 1000 at most.
+
+    The sides of a pair differ on a random line with probability angle / pi.
+    """
+    differ, left = math.acos(o.cosine) / math.pi, 1.0
+    for k in range(SIDES):
+        left -= math.comb(SIDES, k) * differ**k * (1 - differ) ** (SIDES - k)
+        if left <= o.miss / 1000:
+            return k
+    return SIDES
+
+
 def project(classes: DataFrame, width: float, o: CollisionOptions) -> DataFrame:
-    """(id, c, dim, v, p, cells): packed unit vectors, sorted projections and their cells."""
+    """(id, c, dim, v, p, bits, cells): packed unit vectors, sorted projections, sides and cells."""
 
     def run(frames):
         for frame in frames:
@@ -85,9 +109,9 @@ def project(classes: DataFrame, width: float, o: CollisionOptions) -> DataFrame:
                 p = (x @ lines_of(int(dim), o))[:, : o.sorted_lines]
                 yield pd.DataFrame({
                     "id": part["id"], "c": part["c"], "dim": int(dim), "v": [r.tobytes() for r in x],
-                    "p": [r.tobytes() for r in p], "cells": list(np.floor(p / width).astype(np.int32))})
+                    "p": [r.tobytes() for r in p], "bits": sides(x, o), "cells": list(np.floor(p / width).astype(np.int32))})
 
-    return classes.mapInPandas(run, "id long, c long, dim int, v binary, p binary, cells array<int>")
+    return classes.mapInPandas(run, "id long, c long, dim int, v binary, p binary, bits long, cells array<int>")
 
 
 def block_pairs(projected: DataFrame, sizes: dict, o: CollisionOptions) -> DataFrame:
@@ -110,11 +134,11 @@ def block_pairs(projected: DataFrame, sizes: dict, o: CollisionOptions) -> DataF
                         at.append(n), rows.append((dim, t, cell, j, b, 1))
                     for j in range(before):
                         at.append(n), rows.append((dim, t, cell - 1, j, b, 2))
-            out = frame.iloc[at][["id", "c", "v", "p"]].reset_index(drop=True)
+            out = frame.iloc[at][["id", "c", "v", "p", "bits"]].reset_index(drop=True)
             yield pd.concat([pd.DataFrame(rows, columns=["dim", "t", "cell", "i", "j", "side"], dtype=np.int32), out], axis=1)
 
     return projected.mapInPandas(
-        run, "dim int, t int, cell int, i int, j int, side int, id long, c long, v binary, p binary")
+        run, "dim int, t int, cell int, i int, j int, side int, id long, c long, v binary, p binary, bits long")
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -136,7 +160,7 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def match(width: float, least: int, o: CollisionOptions):
+def match(width: float, least: int, most: int, o: CollisionOptions):
     """For a pair of blocks: (id, other, k): links of ``id`` by its partners' sizes, or a forest link."""
 
     def run(key, frame):
@@ -150,25 +174,29 @@ def match(width: float, least: int, o: CollisionOptions):
         q = np.ascontiguousarray((x @ lines_of(dim, o))[:, o.sorted_lines :].T.astype(np.float32))
         links = np.zeros(len(ids), np.int64)
         forest = []
-        for lo in range(0, n_left, 256):
-            hi = min(lo + 256, n_left)
+        bits = frame["bits"].to_numpy().view(np.uint64)
+        for lo in range(0, n_left, 32):
+            hi = min(lo + 32, n_left)
             start = max(first, lo) if i == j else first
             if start >= len(ids):
                 break
-            meet = np.abs(p[lo:hi, t, None] - p[None, start:, t]) <= width
+            a, b = np.nonzero(np.bitwise_count(bits[lo:hi, None] ^ bits[None, start:]) <= most)
+            a, b = a + lo, b + start
+            meet = np.abs(p[a, t] - p[b, t]) <= width
             if i == j:  # inside the left block each pair once
-                meet &= (np.arange(start, len(ids))[None] > np.arange(lo, hi)[:, None])
-            collisions = meet.astype(np.int8)
+                meet &= b > a
+            a, b = a[meet], b[meet]
+            meet, collisions = np.ones(len(a), bool), np.ones(len(a), np.int8)
             for s in range(o.sorted_lines):
                 if s != t:
-                    close = np.abs(p[lo:hi, s, None] - p[None, start:, s]) <= width
+                    close = np.abs(p[a, s] - p[b, s]) <= width
                     if s < t:
                         meet &= ~close
                     collisions += close
             for s in range(len(q)):
-                collisions += np.abs(q[s, lo:hi, None] - q[s, None, start:]) <= np.float32(width)
-            a, b = np.nonzero(meet & (collisions >= least))
-            a, b = a + lo, b + start
+                collisions += np.abs(q[s, a] - q[s, b]) <= np.float32(width)
+            meet &= collisions >= least
+            a, b = a[meet], b[meet]
             for k in range(0, len(a), 50_000):
                 u, w = a[k : k + 50_000], b[k : k + 50_000]
                 good = np.einsum("ij,ij->i", x[u], x[w]) >= o.cosine
@@ -200,7 +228,7 @@ def near_duplicates(table: DataFrame, options: CollisionOptions | None = None, i
     sizes = {(r["dim"], r["t"], r["cell"]): r["n"] for r in cells}
     found = store.save(
         block_pairs(projected, sizes, o).groupBy("dim", "t", "cell", "i", "j")
-        .applyInPandas(match(width, least, o), "id long, k long, other long, forest boolean"), "found")
+        .applyInPandas(match(width, least, most_apart(o), o), "id long, k long, other long, forest boolean"), "found")
     degree = found.filter("not forest").groupBy("id").agg(F.sum("k").alias("k"))
     labels = store.save(components(found.filter("forest").select(F.col("id").alias("a"), F.col("other").alias("b")), store), "labels")
     by_class = store.save(

@@ -137,6 +137,17 @@ def test_window_and_count_keep_pairs_at_the_threshold():
     assert inside[:, : o.sorted_lines].any(axis=1).mean() > 0.997 and (inside.sum(axis=1) >= least).mean() > 0.997
 
 
+def test_sides_keep_pairs_at_the_threshold_and_few_others():
+    from folioflow.llm.collision_dedup import most_apart, sides
+
+    o, rng = CollisionOptions(), np.random.default_rng(2)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 20000, 64)))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    near = o.cosine * x + np.sqrt(1 - o.cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    apart = [np.bitwise_count((sides(x, o) ^ sides(v, o)).view(np.uint64)) for v in (near, y)]
+    assert (apart[0] <= most_apart(o)).mean() >= 0.9998 and (apart[1] <= most_apart(o)).mean() < 0.01
+
+
 @pytest.mark.parametrize("shard_rows,query_rows", [(8192, 2048), (40, 3)])
 def test_nearest_recall_and_ties(spark, shard_rows, query_rows):
     rng = np.random.default_rng(3)
