@@ -123,33 +123,38 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def components(edges: DataFrame, store: Store, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, store: Store, a: str = "a", b: str = "b", rounds: int = 60, few: int = 100_000) -> DataFrame:
     """Connected components of ``edges``: (node, component), component the smallest node reachable.
 
     Alternates the large-star and small-star steps; every minimum is combined before the shuffle and
     stored before it is joined back, so that a node with any number of neighbours is split by the
-    adaptive skew join. Ends when a round changes nothing; RuntimeError if ``rounds`` are not enough.
+    adaptive skew join. At most ``few`` edges are one partition: a round is one task and stores only its result.
+    Ends when a round changes nothing; RuntimeError if ``rounds`` are not enough.
     """
     now = store.save(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
-    mark = None
+    mark, one = None, lambda df: df
     for _ in range(rounds):
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(seen) == mark or not seen[0]:
             break
         mark = tuple(seen)
-        both = now.union(now.select("v", "u"))
-        low = store.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
-        large = store.save(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
-        low2 = store.save(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        alone = seen[0] <= few
+        if alone:
+            one = lambda df: df.coalesce(1)
+        keep = (lambda df, label: df) if alone else store.save
+        both = one(now.union(now.select("v", "u")))
+        low = keep(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
+        large = keep(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        low2 = keep(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         moved = large.join(low2, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = store.save(moved.union(low2.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        after = store.save(one(moved.union(low2.select("u", F.col("m").alias("v")))).distinct(), "stars")
         store.drop(now, low, large, low2)
         now = after
     else:
         raise RuntimeError(f"components still change after {rounds} rounds")
-    stars = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    stars = one(now).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return stars.union(one(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
 
 
 def chunks(frames: Iterable, rows: int):

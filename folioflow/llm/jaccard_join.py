@@ -26,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -325,6 +326,29 @@ def choose_shared(postings: DataFrame, o: JoinOptions) -> DataFrame:
     return best.select("id", "n", (F.col("partners") / F.col("n")).alias("central"), "best.l", "best.crowds", "best.needy")
 
 
+def own_lists(sets: DataFrame, o: JoinOptions) -> DataFrame:
+    """Lists (key, id) that join the sets (id, grams) with each other: shingles of their prefixes.
+
+    Shingles are ordered by the number of these sets that hold them, rare ones first. A shingle that many documents hold may
+    be rare among the few sets that need long lists.
+    """
+
+    def run(frames):
+        for frame in chunks(frames, 2000):
+            sizes = np.array([len(g) // 6 for g in frame["grams"]], dtype=np.int64)
+            keys = [unpacked(g).view(np.int64) for g in frame["grams"]]
+            yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), sizes), "n": np.repeat(sizes, sizes),
+                                "key": np.concatenate([np.zeros(0, np.int64), *keys])})
+
+    grams = sets.mapInPandas(run, "id long, n long, key long")
+    held = grams.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # Shingles of one set alone stand first, so of the others the prefix holds as many as exceed the wanted overlap, and one.
+    shared = grams.join(held, "key").groupBy("id").agg(
+        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("held", "key"))).alias("own"))
+    size = F.greatest(F.size("own") - F.floor((F.col("n") * o.percent + 99) / 100).cast("int") + 1, F.lit(0))
+    return shared.select("id", F.explode(F.slice("own", F.lit(1), size)).alias("own")).select("own.key", "id")
+
+
 def cross_pairs(lists: DataFrame, o: JoinOptions) -> DataFrame:
     """Pairs (a, b) of different components and fitting sizes that share a list; ``main`` is a component of the list.
 
@@ -336,34 +360,41 @@ def cross_pairs(lists: DataFrame, o: JoinOptions) -> DataFrame:
     return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
+def list_sizes(entries: DataFrame) -> DataFrame:
+    """(key, g, lead, main) of the lists that hold more than one component."""
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                       F.max(F.struct("central", "id", "component")).alias("lead"))
+    return sizes.filter("lo < hi").select("key", "g", F.col("lead.id").alias("lead"), F.col("lead.component").alias("main"))
+
+
 def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, common: np.ndarray, store: Store, o: JoinOptions):
-    """Crowded lists (key, id): links found with leaders, labels of their components, pairs still to verify.
+    """Lists (key, id): links found with leaders, labels of their components, pairs still to verify.
 
     Members of the leader's component need not meet in a list; the others meet all of it. Where that makes no more
-    pairs than ``cheap`` times the first lists had rows, no further round is needed.
+    pairs than ``cheap`` times the first lists had rows, no further round is needed, nor where the differences from the leaders
+    would make more pairs than the lists they come from. Lists that are not crowded wait for the components of the last round.
     """
-    links, labels, pairs, seen, rounds = None, None, None, None, 0
+    links, labels, seen, rounds, waiting, crowds, most = None, None, None, 0, [], None, None
     few_pairs = lists.count() * o.cheap
     if not few_pairs:
-        return links, labels, pairs
+        return links, labels, None
     while True:
         entries = store.save(with_label(lists.join(about, "id"), labels), "entries")
         store.drop(seen)
-        sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                           F.max(F.struct("central", "id", "component")).alias("lead"))
-        sizes = sizes.filter("lo < hi").select("key", "g", F.col("lead.id").alias("lead"), F.col("lead.component").alias("main"))
-        sizes = store.save(sizes, "sizes")
+        sizes = store.save(list_sizes(entries), "sizes")
         big = sizes.filter(F.col("g") > o.crowded)
         left = (entries.join(big, "key").filter("component <> main")
                 .agg(F.coalesce(F.sum("g"), F.lit(0))).first()[0])
-        final = rounds == o.leader_rounds or left <= few_pairs
-        small = sizes if final else sizes.filter(F.col("g") <= o.crowded)
-        few = store.save(cross_pairs(entries.join(small.select("key", "main"), "key"), o), "pairs")
-        pairs = few if pairs is None else pairs.union(few)
-        if final:
-            store.drop(entries, sizes)
-            return links, labels, pairs
+        if most is not None and left > most:
+            waiting.append(crowds)
+            store.drop(entries)
+        else:
+            rest = sizes if rounds == o.leader_rounds or left <= few_pairs else sizes.filter(F.col("g") <= o.crowded)
+            waiting.append(entries.join(rest.select("key"), "key").select("key", "id"))
+        if rounds == o.leader_rounds or left <= few_pairs or most is not None and left > most:
+            break
         rounds += 1
+        crowds, most = entries.join(big.select("key"), "key").select("key", "id"), left
         met = entries.join(big.select("key", "lead"), "key").filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
         seen = store.save(against_leaders(met, sets, common, o), "seen")
         found = store.save(seen.filter("linked").select("a", "b"), "found")
@@ -372,7 +403,9 @@ def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, common:
         keys = seen.filter("not linked").select("key", F.col("a").alias("id"))
         several = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
         lists = keys.join(several, "key")
-        store.drop(entries, sizes)
+    known = with_label(about, labels)
+    entries = store.save(reduce(DataFrame.union, waiting).join(known, "id"), "entries")
+    return links, labels, store.save(cross_pairs(entries.join(list_sizes(entries).select("key", "main"), "key"), o), "pairs")
 
 
 def listed_prefixes(texts: DataFrame, classes: DataFrame, often: dict[int, int], store: Store, o: JoinOptions):
@@ -424,19 +457,29 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     own = facts.filter("n > 0").select(F.col("doc_id").alias("id"), "sig", "bits")
     bits = store.save(own.join(about.select("id", "n").join(classes.select("id", "sig"), "id"), ["id", "sig"]).dropDuplicates(["id"]), "bits")
 
-    # Whole sets are made for texts that need them: members of crowded lists, and plausible pairs.
-    crowds = postings.filter((F.col("df") > o.crowded) & (F.col("level") == 1)).join(about.filter("needy").select("id"), "id")
-    crowds = store.save(crowds.select(F.col("token").alias("key"), "id"), "crowds")
-    sets = store.save(stored_sets(texts, crowds.select("id").distinct().join(bits.select("id", "sig"), "id"), o), "sets")
+    # Whole sets are made for texts that need them: members of crowded lists, and plausible pairs. A partner of a needy set
+    # that is not needy is met in a short list, so needy sets are joined with each other, in an order of their own if their
+    # shingles are few.
+    wanted = about.filter("needy").select("id", "n")
+    sets = store.save(stored_sets(texts, wanted.select("id").join(bits.select("id", "sig"), "id"), o), "sets")
+    own = (wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) <= postings.count() * o.cheap
+    if own:
+        crowds = own_lists(sets.dropDuplicates(["id"]), o)
+    else:
+        crowds = postings.filter((F.col("df") > o.crowded) & (F.col("level") == 1)).join(wanted.select("id"), "id").select(F.col("token").alias("key"), "id")
+    crowds = store.save(crowds, "crowds")
     links, labels, pairs = through_leaders(crowds, about.select("id", "n", "central"), sets, common, store, o)
     store.drop(crowds, sets)
 
     # Lists that are not crowded: shared shingles of the prober's prefix, less what crowded lists may add.
     # The larger set probes, or the one that is not needy.
-    entries = with_label(postings.filter(F.col("df") <= o.crowded).drop("n").join(about, "id"), labels)
+    known = store.save(with_label(about, labels), "about")
+    entries = postings.filter(F.col("df") <= o.crowded).drop("n").join(known, "id")
     x, y = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "level", "component", "l", "crowds", "needy")]) for s in "xy")
     larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
     probes = F.when(F.col("needy_x") == F.col("needy_y"), larger).otherwise(~F.col("needy_x"))
+    if own:
+        probes = probes & ~(F.col("needy_x") & F.col("needy_y"))
     met = x.join(y, "token").filter(
         probes & (F.col("component_x") != F.col("component_y"))
         & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * o.percent)

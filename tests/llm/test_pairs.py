@@ -93,6 +93,24 @@ def test_texts_with_enough_own_shingles_need_no_crowded_list(spark, monkeypatch)
     assert lists == [0]
 
 
+def test_sets_of_common_shingles_end_in_few_rounds_and_labels_join_sets_only(spark, monkeypatch):
+    from folioflow.llm import jaccard_join
+
+    rng, base, rows, saved, labelled = random.Random(5), [f"b{i}" for i in range(60)], [], [], []
+    passages = [" ".join(f"p{i}x{j}" for j in range(8)) for i in range(40)]
+    rows += [(i, edited(rng, base, 1)) for i in range(30)]
+    rows += [(100 + i, " ".join(passages[k] for k in sorted(rng.sample(range(40), 14)))) for i in range(60)]
+    rows += [(200 + i, rows[30 + i][1] + " end") for i in range(4)]
+    save, label = jaccard_join.Store.save, jaccard_join.with_label
+    monkeypatch.setattr(jaccard_join.Store, "save", lambda self, df, name, *rest: saved.append(name) or save(self, df, name, *rest))
+    monkeypatch.setattr(jaccard_join, "with_label", lambda df, labels: labelled.append((labels is not None, "token" in df.columns)) or label(df, labels))
+    df = spark.createDataFrame([(i, t, "n", "c") for i, t in rows], DOCS)
+    got = jaccard_components(df, JoinOptions(crowded=6, cheap=2)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_jaccard(rows, 3, 90)
+    assert saved.count("seen") <= 2
+    assert (True, False) in labelled and (True, True) not in labelled
+
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(120, 16))
@@ -186,3 +204,16 @@ def test_components_do_not_end_early(spark):
     assert {r.component for r in components(chain, Store(spark, "chain")).collect()} == {0}
     with pytest.raises(RuntimeError, match="after 1 rounds"):
         components(chain, Store(spark, "chain"), rounds=1)
+
+
+def test_components_of_few_and_many_edges_are_equal(spark):
+    from folioflow.llm.common import Store, components
+
+    rng = random.Random(2)
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)]
+    edges, want = spark.createDataFrame(pairs, "a long, b long"), smallest(range(120), pairs)
+    for few in (0, 100_000):
+        saved = Store(spark, "few")
+        got = {r.node: r.component for r in components(edges, saved, few=few).collect()}
+        assert got == {i: want[i] for i in {n for p in pairs if p[0] != p[1] for n in p}}
+        assert saved.number <= 10 or not few
