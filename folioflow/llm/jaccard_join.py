@@ -48,6 +48,7 @@ class JoinOptions:
     most ``leader_rounds`` rounds, after which they are compared pair by pair; ``common_share`` is the share of documents from which a
     shingle is surely ordered last, of which at most ``common_bound`` are sent to the executors (16 bytes each). If more than
     ``needy_share`` of the documents need long lists, the shingles of these are ordered last too, and prefixes are made anew. Up to ``cheap`` pairs a row of the long lists are compared without leaders.
+    Needy sets get an order of their own if all their shingles are at most ``own_share`` of the rows of the first lists.
     """
 
     words: int = 3
@@ -58,6 +59,7 @@ class JoinOptions:
     common_share: float = 1 / 2000
     common_bound: int = 400_000
     needy_share: float = 1 / 50
+    own_share: float = 1 / 10
     cheap: int = 10
 
 
@@ -458,11 +460,11 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     bits = store.save(own.join(about.select("id", "n").join(classes.select("id", "sig"), "id"), ["id", "sig"]).dropDuplicates(["id"]), "bits")
 
     # Whole sets are made for texts that need them: members of crowded lists, and plausible pairs. A partner of a needy set
-    # that is not needy is met in a short list, so needy sets are joined with each other, in an order of their own if their
-    # shingles are few.
+    # that is not needy is met in a short list, so needy sets are joined with each other, in an order of their own if that
+    # costs little.
     wanted = about.filter("needy").select("id", "n")
     sets = store.save(stored_sets(texts, wanted.select("id").join(bits.select("id", "sig"), "id"), o), "sets")
-    own = (wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) <= postings.count() * o.cheap
+    own = (wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) <= postings.count() * o.own_share
     if own:
         crowds = own_lists(sets.dropDuplicates(["id"]), o)
     else:

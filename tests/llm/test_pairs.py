@@ -93,7 +93,8 @@ def test_texts_with_enough_own_shingles_need_no_crowded_list(spark, monkeypatch)
     assert lists == [0]
 
 
-def test_sets_of_common_shingles_end_in_few_rounds_and_labels_join_sets_only(spark, monkeypatch):
+@pytest.mark.parametrize("own_share", [0.1, 100])
+def test_sets_of_common_shingles_end_in_few_rounds_and_labels_join_sets_only(spark, monkeypatch, own_share):
     from folioflow.llm import jaccard_join
 
     rng, base, rows, saved, labelled = random.Random(5), [f"b{i}" for i in range(60)], [], [], []
@@ -105,7 +106,7 @@ def test_sets_of_common_shingles_end_in_few_rounds_and_labels_join_sets_only(spa
     monkeypatch.setattr(jaccard_join.Store, "save", lambda self, df, name, *rest: saved.append(name) or save(self, df, name, *rest))
     monkeypatch.setattr(jaccard_join, "with_label", lambda df, labels: labelled.append((labels is not None, "token" in df.columns)) or label(df, labels))
     df = spark.createDataFrame([(i, t, "n", "c") for i, t in rows], DOCS)
-    got = jaccard_components(df, JoinOptions(crowded=6, cheap=2)).collect()
+    got = jaccard_components(df, JoinOptions(crowded=6, cheap=2, own_share=own_share)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_jaccard(rows, 3, 90)
     assert saved.count("seen") <= 2
     assert (True, False) in labelled and (True, True) not in labelled
