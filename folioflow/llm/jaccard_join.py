@@ -257,7 +257,9 @@ def verified(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
 
 
 def against_leaders(pairs: DataFrame, sets: DataFrame, common: np.ndarray, o: JoinOptions) -> DataFrame:
-    """Members ``a`` against leaders ``b``: links (linked, key null) and prefixes of the differences (key).
+    """Members ``a`` against leaders ``b``: links (linked, key 0) and prefixes of the differences (key, at, d).
+
+    ``at`` is a shingle's place in the order of its difference, counted from 0, ``d`` the size of the whole difference.
 
     The order of a difference depends on shingle and leader only: first the shingles that the leader has not,
     common ones behind the others, then the leader's, common ones first. Members unlike the leader lack most of its
@@ -273,7 +275,7 @@ def against_leaders(pairs: DataFrame, sets: DataFrame, common: np.ndarray, o: Jo
 
     def run(frames):
         for frame in chunks(frames, 2000):
-            a, b, linked, key = [], [], [], []
+            a, b, linked, key, place, size = [], [], [], [], [], []
             for i, lead, x, y in zip(frame["a"], frame["b"], frame["x"], frame["y"]):
                 joint = np.concatenate([unpacked(x), unpacked(y)])
                 order = np.argsort(joint, kind="stable")
@@ -285,7 +287,7 @@ def against_leaders(pairs: DataFrame, sets: DataFrame, common: np.ndarray, o: Jo
                 nx, ny, shared = len(x) // 6, len(y) // 6, int(same.sum())
                 apart, leads, often = both[once], order[once] >= nx, np.zeros(int(once.sum()), bool)
                 if 100 * shared >= o.percent * (nx + ny - shared):
-                    a.append(i), b.append(lead), linked.append(True), key.append(0)
+                    a.append(i), b.append(lead), linked.append(True), key.append(0), place.append(0), size.append(0)
                     ask = (len(apart) * (100 + o.percent) + (ny - nx) * (100 - o.percent)) // (2 * (100 + o.percent)) + 1
                 else:
                     ask = max(1, len(apart) - nx * (100 - o.percent) // o.percent)
@@ -299,11 +301,15 @@ def against_leaders(pairs: DataFrame, sets: DataFrame, common: np.ndarray, o: Jo
                 b += [lead] * len(keys)
                 linked += [False] * len(keys)
                 key += keys.tolist()
-            yield pd.DataFrame({"a": a, "b": b, "linked": linked, "key": key}).astype({"a": "int64", "b": "int64", "linked": "bool", "key": "int64"})
+                place += range(len(keys))
+                size += [len(apart)] * len(keys)
+            yield pd.DataFrame({"a": a, "b": b, "linked": linked, "key": key, "at": place, "d": size}).astype(
+                {"a": "int64", "b": "int64", "linked": "bool", "key": "int64", "at": "int64", "d": "int64"})
 
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, linked boolean, key long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(
+        run, "a long, b long, linked boolean, key long, at long, d long")
 
 
 def choose_shared(postings: DataFrame, o: JoinOptions) -> DataFrame:
@@ -329,7 +335,7 @@ def choose_shared(postings: DataFrame, o: JoinOptions) -> DataFrame:
 
 
 def own_lists(sets: DataFrame, o: JoinOptions) -> DataFrame:
-    """Lists (key, id) that join the sets (id, grams) with each other: shingles of their prefixes.
+    """Lists (key, id, at, d) that join the sets (id, grams) with each other: shingles of their prefixes.
 
     Shingles are ordered by the number of these sets that hold them, rare ones first. A shingle that many documents hold may
     be rare among the few sets that need long lists.
@@ -348,66 +354,83 @@ def own_lists(sets: DataFrame, o: JoinOptions) -> DataFrame:
     shared = grams.join(held, "key").groupBy("id").agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("held", "key"))).alias("own"))
     size = F.greatest(F.size("own") - F.floor((F.col("n") * o.percent + 99) / 100).cast("int") + 1, F.lit(0))
-    return shared.select("id", F.explode(F.slice("own", F.lit(1), size)).alias("own")).select("own.key", "id")
+    placed = shared.select("id", "n", (F.col("n") - F.size("own")).alias("alone"), F.posexplode(F.slice("own", F.lit(1), size)).alias("i", "own"))
+    return placed.select("own.key", "id", (F.col("alone") + F.col("i")).alias("at"), F.col("n").alias("d"))
 
 
 def cross_pairs(lists: DataFrame, o: JoinOptions) -> DataFrame:
     """Pairs (a, b) of different components and fitting sizes that share a list; ``main`` is a component of the list.
 
     At least one of such a pair is outside ``main``, so only these rows meet the whole list.
+
+    With D the most by which linked sets of their sizes may differ, the two differences d share (d_x + d_y - D) / 2 shingles at
+    least. The first they share is so far in front that as many can follow: 2 * at_x <= d_x - d_y + D, and the same for y.
+    Of a pair, the smaller difference holds it within D / 2 places: one of the two is ``first``.
     """
-    x, y = (lists.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "xy")
-    met = x.filter("component_x <> main").drop("main").join(y, "key").filter(
-        (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * o.percent))
+    x, y = (lists.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "at", "d", "first")]) for s in "xy")
+    most = (F.col("n_x") + F.col("n_y")) * (100 - o.percent)
+    more = F.col("d_x") - F.col("d_y")
+    met = x.filter("component_x <> main").drop("main").join(y.drop("main"), "key").filter(
+        (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * o.percent)
+        & (F.col("first_x") | F.col("first_y"))
+        & ((2 * F.col("at_x") - more) * (100 + o.percent) <= most) & ((2 * F.col("at_y") + more) * (100 + o.percent) <= most))
     return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def list_sizes(entries: DataFrame) -> DataFrame:
-    """(key, g, lead, main) of the lists that hold more than one component."""
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+    """(key, g, firsts, lead, main) of the lists that hold more than one component; only those with ``firsts`` can link."""
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.count_if("first").alias("firsts"),
+                                       F.min("component").alias("lo"), F.max("component").alias("hi"),
                                        F.max(F.struct("central", "id", "component")).alias("lead"))
-    return sizes.filter("lo < hi").select("key", "g", F.col("lead.id").alias("lead"), F.col("lead.component").alias("main"))
+    return sizes.filter("lo < hi").select("key", "g", "firsts", F.col("lead.id").alias("lead"), F.col("lead.component").alias("main"))
 
 
 def through_leaders(lists: DataFrame, about: DataFrame, sets: DataFrame, common: np.ndarray, store: Store, o: JoinOptions):
-    """Lists (key, id): links found with leaders, labels of their components, pairs still to verify.
+    """Lists (key, id, at, d): links found with leaders, labels of their components, pairs still to verify.
 
     Members of the leader's component need not meet in a list; the others meet all of it. Where that makes no more
     pairs than ``cheap`` times the first lists had rows, no further round is needed, nor where the differences from the leaders
     would make more pairs than the lists they come from. Lists that are not crowded wait for the components of the last round.
     """
     links, labels, seen, rounds, waiting, crowds, most = None, None, None, 0, [], None, None
-    few_pairs = lists.count() * o.cheap
-    if not few_pairs:
+    columns, first = ("key", "id", "at", "d"), 2 * F.col("at") * o.percent <= F.col("n") * (100 - o.percent)
+    rows = lists.count()
+    if not rows:
         return links, labels, None
+    few_pairs = rows * o.cheap
     while True:
-        entries = store.save(with_label(lists.join(about, "id"), labels), "entries")
+        entries = store.save(with_label(lists.join(about, "id"), labels).withColumn("first", first), "entries")
         store.drop(seen)
         sizes = store.save(list_sizes(entries), "sizes")
         big = sizes.filter(F.col("g") > o.crowded)
-        left = (entries.join(big, "key").filter("component <> main")
-                .agg(F.coalesce(F.sum("g"), F.lit(0))).first()[0])
-        if most is not None and left > most:
+        outside = entries.join(big, "key").filter("component <> main")
+        pairs = F.when(F.col("first"), F.col("g")).otherwise(F.col("firsts"))
+        wide, left = outside.agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum(pairs), F.lit(0))).first()
+        worse = most is not None and wide > most[0]
+        last = worse or rounds == o.leader_rounds or left <= few_pairs
+        if worse and left > most[1]:
             waiting.append(crowds)
             store.drop(entries)
         else:
-            rest = sizes if rounds == o.leader_rounds or left <= few_pairs else sizes.filter(F.col("g") <= o.crowded)
-            waiting.append(entries.join(rest.select("key"), "key").select("key", "id"))
-        if rounds == o.leader_rounds or left <= few_pairs or most is not None and left > most:
+            rest = sizes if last else sizes.filter(F.col("g") <= o.crowded)
+            waiting.append(entries.join(rest.filter("firsts > 0").select("key"), "key").select(*columns))
+        if last:
             break
+        big = big.filter("firsts > 0")
         rounds += 1
-        crowds, most = entries.join(big.select("key"), "key").select("key", "id"), left
+        crowds, most = entries.join(big.select("key"), "key").select(*columns), (wide, left)
         met = entries.join(big.select("key", "lead"), "key").filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
         seen = store.save(against_leaders(met, sets, common, o), "seen")
         found = store.save(seen.filter("linked").select("a", "b"), "found")
         links = found if links is None else links.union(found)
         labels = store.save(components(links, store), "labels")
-        keys = seen.filter("not linked").select("key", F.col("a").alias("id"))
+        keys = seen.filter("not linked").select("key", F.col("a").alias("id"), "at", "d")
         several = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
         lists = keys.join(several, "key")
     known = with_label(about, labels)
-    entries = store.save(reduce(DataFrame.union, waiting).join(known, "id"), "entries")
-    return links, labels, store.save(cross_pairs(entries.join(list_sizes(entries).select("key", "main"), "key"), o), "pairs")
+    # Lists of one leader in two rounds are one list.
+    entries = store.save(reduce(DataFrame.union, waiting).distinct().join(known, "id").withColumn("first", first), "entries")
+    return links, labels, store.save(cross_pairs(entries.join(list_sizes(entries).filter("firsts > 0").select("key", "main"), "key"), o), "pairs")
 
 
 def listed_prefixes(texts: DataFrame, classes: DataFrame, often: dict[int, int], store: Store, o: JoinOptions):
@@ -468,7 +491,8 @@ def jaccard_components(docs: DataFrame, options: JoinOptions | None = None) -> D
     if own:
         crowds = own_lists(sets.dropDuplicates(["id"]), o)
     else:
-        crowds = postings.filter((F.col("df") > o.crowded) & (F.col("level") == 1)).join(wanted.select("id"), "id").select(F.col("token").alias("key"), "id")
+        crowds = postings.filter((F.col("df") > o.crowded) & (F.col("level") == 1)).join(wanted.select("id"), "id").select(
+            F.col("token").alias("key"), "id", F.lit(0).cast("long").alias("at"), F.col("n").alias("d"))  # places are not known: 0 excludes nothing
     crowds = store.save(crowds, "crowds")
     links, labels, pairs = through_leaders(crowds, about.select("id", "n", "central"), sets, common, store, o)
     store.drop(crowds, sets)

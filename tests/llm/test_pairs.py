@@ -112,6 +112,40 @@ def test_sets_of_common_shingles_end_in_few_rounds_and_labels_join_sets_only(spa
     assert (True, False) in labelled and (True, True) not in labelled
 
 
+def strayed(rng, copies, gaps, twins):
+    """Copies of a text, too far from it and from each other to link, and twins of some of them."""
+    base, rows = [f"b{i}" for i in range(150)], []
+    rows += [(i, edited(rng, base, rng.randrange(2))) for i in range(30)]
+    rows += [(100 + i, edited(rng, base, rng.choice([4, 4, 5, 6]))) for i in range(copies)]
+    for i in range(gaps):  # words left out: the same new shingles in several texts
+        gone = set(rng.sample(range(150), 5))
+        rows.append((10_000 + i, " ".join(w for j, w in enumerate(base) if j not in gone)))
+    return rows + [(20_000 + i, edited(rng, rows[30 + rng.randrange(copies)][1].split(), rng.randrange(1, 4))) for i in range(twins)]
+
+
+def test_strayed_copies_make_few_pairs(spark, monkeypatch):
+    from folioflow.llm import jaccard_join
+
+    made, cross = [], jaccard_join.cross_pairs
+    monkeypatch.setattr(jaccard_join, "cross_pairs", lambda lists, o: (lambda df: made.append(df.count()) or df)(cross(lists, o)))
+    df = spark.createDataFrame([(i, t, "n", "c") for i, t in strayed(random.Random(7), 400, 0, 0)], DOCS)
+    jaccard_components(df, JoinOptions(words=5, percent=80, crowded=20, needy_share=1, own_share=100)).count()
+    print("pairs", made)
+    assert len(made) == 1 and made[0] <= 430
+
+
+@pytest.mark.parametrize("cheap", [0, 10])
+def test_strayed_copies_equal_brute_force(spark, cheap):
+    rng = random.Random(11)
+    rows = strayed(rng, 70, 20, 50)
+    far = [f"c{i}" for i in range(110)] + [f"b{i}" for i in range(30)]  # a second group, sharing a passage
+    rows += [(30_000 + i, edited(rng, far, rng.choice([0, 1, 3, 4, 5]))) for i in range(60)]
+    rows += [(40_000 + i, " ".join(f"b{j}" for j in range(i, 150))) for i in range(0, 60, 2)]  # of all sizes
+    df = spark.createDataFrame([(i, t, "n", "c") for i, t in rows], DOCS)
+    got = jaccard_components(df, JoinOptions(words=5, percent=80, crowded=8, needy_share=1, own_share=100, cheap=cheap)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_jaccard(rows, 5, 80)
+
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(120, 16))
