@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
-from folioflow.functions.text import budget_tokens, let, strip
+from folioflow.functions.text import budget_tokens, let, rounded, strip
 
 RATE_FIELDS = ["input_standard", "output_standard", "input_batch", "output_batch", "context_cache"]
 RATE_SCHEMA = "model_id string, " + ", ".join(f"{f} double" for f in RATE_FIELDS)
@@ -74,7 +74,7 @@ def budget_fit(selection: DataFrame, budget: int = K.DEFAULT_CONTEXT_BUDGET, rat
         F.coalesce(F.sum(F.when(known.isNull(), F.col("size"))), F.lit(0)).alias("open"))
     light = F.col("measured") + F.col("open") * (1 - rate)
     tokens = sums.select("files", budget_tokens("original").alias("original_tokens"), budget_tokens(light).alias("light_tokens"))
-    share = F.round(F.col("light_tokens") / F.lit(budget) * 100, 1)
+    share = rounded(F.col("light_tokens") / F.lit(budget) * 100, 1)
     fits = F.col("light_tokens") <= budget
     room = F.when(fits, F.col("files")).otherwise(F.floor(F.lit(budget) / F.col("light_tokens") * F.col("files")))
     return tokens.select(

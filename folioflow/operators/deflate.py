@@ -347,7 +347,7 @@ def splice(bodies: Column, pointers: Column) -> Column:
 
 
 def reduction_pct(light: Column, original: Column) -> Column:
-    return F.when(original > 0, F.round((F.lit(1.0) - light / original) * 100, 1)).otherwise(F.lit(0.0))
+    return F.when(original > 0, T.rounded((F.lit(1.0) - light / original) * 100, 1)).otherwise(F.lit(0.0))
 
 
 def deflate(

@@ -218,7 +218,7 @@ def progress(events: DataFrame, now: Column) -> DataFrame:
     """
     last = events.groupBy("file").agg(
         F.max_by(F.struct("current_page", "total_pages", "ts"), F.struct("ts", "seq")).alias("l"))
-    percent = F.when(F.col("l.total_pages") > 0, F.round(F.col("l.current_page") / F.col("l.total_pages") * 100, 1)).otherwise(0.0)
+    percent = F.when(F.col("l.total_pages") > 0, T.rounded(F.col("l.current_page") / F.col("l.total_pages") * 100, 1)).otherwise(0.0)
     alive = F.unix_micros(now) - F.unix_micros("l.ts") < K.HEARTBEAT_SECONDS * 1_000_000
     return last.select(
         "file", F.col("l.current_page").alias("current_page"), F.col("l.total_pages").alias("total_pages"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import constants as K
+from folioflow.functions import text as T
 from folioflow.operators.cost import cost_columns
 from folioflow.operators.ledger import document_coverage
 from folioflow.operators.ordering import scan_in_order
@@ -212,7 +213,7 @@ def plan_summary(groups: DataFrame, rates: DataFrame | None = None, key: str = "
         F.bool_and(F.col("state").isin(K.GROUP_STATES_FINISHED)).alias("is_finished"))
     done = F.col("collected_pages") + F.col("complete_pages")
     out = sums.withColumn("done_pages", done).withColumn(
-        "percent", F.when(F.col("total_pages") > 0, F.round(done / F.col("total_pages") * 100, 1)).otherwise(0.0)).withColumn(
+        "percent", F.when(F.col("total_pages") > 0, T.rounded(done / F.col("total_pages") * 100, 1)).otherwise(0.0)).withColumn(
             "missing_pages", F.greatest(F.col("total_pages") - F.col("converted_pages"), F.lit(0)))
     if rates is None:
         return out

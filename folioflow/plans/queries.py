@@ -270,7 +270,7 @@ def leader_clusters(spark, sf):
 @query
 def near_duplicate_links(spark, sf):
     links = _scan(spark, sf, NEAR)[0].clusters.links
-    return links.select("form", "leader", F.col("leader_n").cast("bigint").alias("leader_n"), F.round("similarity", 6).alias("similarity"))
+    return links.select("form", "leader", F.col("leader_n").cast("bigint").alias("leader_n"), T.rounded(F.col("similarity"), 6).alias("similarity"))
 
 
 @query
@@ -713,7 +713,7 @@ def deflate_candidates(spark, sf):
 
 @query
 def projected_saving(spark, sf):
-    return C.projected_saving(X.lightweight_sizes(spark, sf)).select(F.round("rate", 9).alias("rate"))
+    return C.projected_saving(X.lightweight_sizes(spark, sf)).select(T.rounded(F.col("rate"), 9).alias("rate"))
 
 
 @query
