@@ -72,7 +72,7 @@ def listed(spark: SparkSession, root: str, *names: str) -> DataFrame:
 
 
 def read_whole(spark: SparkSession, root: str, *names: str) -> DataFrame:
-    """As ``listed``, with each file's ``value``; the files are spread evenly over the tasks."""
+    """As ``listed``, with each file's ``value``; the files are spread evenly over the tasks, and joins shuffle them."""
     found = listed(spark, root, *names)
     held = found.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     tasks = max(spark.sparkContext.defaultParallelism, -(-held["files"] // FILES_IN_A_TASK), -(-held["bytes"] // BYTES_IN_A_TASK))
@@ -97,4 +97,5 @@ def read_whole(spark: SparkSession, root: str, *names: str) -> DataFrame:
             yield packed(rows)
 
     read = found.repartition(tasks, "path").mapInArrow(contents, "path string, value binary, size long, mtime timestamp")
-    return read.withColumn("value", F.col("value").cast("string"))
+    # Spark takes the texts to be as small as their listing and would broadcast them to a join.
+    return read.withColumn("value", F.col("value").cast("string")).hint("merge")
