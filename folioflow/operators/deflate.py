@@ -19,7 +19,7 @@ from folioflow.functions import text as T
 from folioflow.operators.joins import lookup
 from folioflow.operators.sections import explode_units, with_units
 from folioflow.operators.similarity import Clusters, assign, leader_clusters
-from folioflow.plans.storage import materialise, materialise_by
+from folioflow.plans.storage import materialise, materialise_by, temporary
 
 try:
     import ahocorasick
@@ -206,15 +206,17 @@ def scan(corpus: DataFrame, options: Options = Options(), names: DataFrame | Non
     """Build the library of repeated passages of a prepared corpus."""
     names = company_names(corpus) if names is None else names
     found = fingerprint_sections(corpus, options, names)
-    sections = materialise(found.drop("norm") if options.similarity is None else found, "sections")
     clusters = None
-    slim = sections.drop("norm")
     if options.similarity is None:
-        assigned = slim.withColumn("scan_fp", F.col("form")).withColumn("match_fp", F.col("form"))
+        sections = materialise(found.drop("norm"), "sections")
+        assigned = sections.withColumn("scan_fp", F.col("form")).withColumn("match_fp", F.col("form"))
     else:
-        forms = materialise_by(distinct_forms(sections), "form", "forms")
-        clusters = leader_clusters(forms, options.similarity)
-        assigned = materialise(assign(slim, clusters), "assigned")
+        with temporary(corpus.sparkSession) as kept:
+            sections = materialise(found, "sections")
+            forms = materialise_by(distinct_forms(sections), "form", "forms")
+            clusters = leader_clusters(forms, options.similarity)
+            assigned = materialise(assign(sections.drop("norm"), clusters), "assigned")
+            kept += [clusters.leaders, clusters.links, assigned]
     library = materialise(fingerprint_library(assigned), "library")
     return Scan(assigned, library, clusters, options)
 

@@ -12,6 +12,10 @@ group are compared with each other, those that turn out leaders then with the re
 first rounds take few texts of a group, since in a group of near copies one leader settles all others;
 groups that stay are of dissimilar texts, and take more and more of them at a time.
 
+Any order of the words is right as long as it is one for all texts. The most common words are known exactly; how often the
+others occur is read from a sketch of bounded size, so no word travels to its frequency. Words stand for their hashes: equal
+hashes of different words only make more candidates, which the words themselves decide.
+
 Every text carries a parity bitmap: bit h is set if an odd number of its words hash to it. Two bitmaps
 differ in no more places than their texts differ in words, so nearly all pairs that merely share
 common words are ruled out before a word list moves.
@@ -29,10 +33,11 @@ from pyspark.sql import functions as F
 
 from folioflow import constants as K
 from folioflow.operators.joins import lookup
-from folioflow.plans.storage import materialise
+from folioflow.plans.storage import materialise, materialise_by, temporary
 
 PAIR_GROUP = 64
 COMMON_WORDS = 20_000
+SKETCH_CELLS = 1 << 24              # 64 cells of four bits are one row of the sketch
 FRONT_GROWTH, FRONT_MOST = 8, 1024  # texts of a crowded group compared with each other in one round
 SOLVED_AT_ONCE = 200_000            # links few enough to be walked in order by one task
 LANES = 4
@@ -59,8 +64,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def bitmap() -> list[Column]:
-    """Aggregates over the distinct words (column ``word``) of a text: its parity bitmap, in lanes of 64 bits."""
-    h = F.xxhash64("word")
+    """Aggregates over the hashes ``word`` of the distinct words of a text: its parity bitmap, in lanes of 64 bits."""
+    h = F.col("word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
     return [F.bit_xor(F.when(h.bitwiseAND(F.lit(LANES - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{i}") for i in range(LANES)]
 
@@ -72,43 +77,69 @@ def may_reach(a_n: Column, b_n: Column, a_bits: Column, b_bits: Column, threshol
     return size_compatible(a_n, b_n, threshold) & (apart <= most)
 
 
+def frequency_sketch(rest: DataFrame, words: int) -> DataFrame:
+    """``block`` and 64 cells of four bits in four numbers: the logarithm of the highest frequency in a cell, rounded up.
+
+    Zero, also where a block is missing, means that every word of the cell is found in one text only.
+    """
+    cells = min(SKETCH_CELLS, 1 << max(10, (4 * words).bit_length()))
+    found = rest.filter("df > 1").groupBy(F.col("word").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.max("df").alias("df"))
+    level = F.least(F.ceil(F.log2("df")), F.lit(15)).cast("long")
+    put = F.call_function("shiftleft", level, (F.col("cell") % 16 * 4).cast("int"))
+    lane = F.shiftright("cell", 4) % 4
+    return found.groupBy(F.shiftright("cell", 6).alias("block")).agg(
+        F.array(*[F.bit_or(F.when(lane == i, put).otherwise(F.lit(0).cast("long"))) for i in range(4)]).alias("cells"),
+        F.lit(cells - 1).cast("long").alias("mask"))
+
+
 def rare_first(forms: DataFrame, threshold: float) -> DataFrame:
-    """``form, rank, n, bits, keep, head``: the first ``keep + 1`` words of each text from rare to common.
+    """``form, rank, n, bits, keep, head``: the first ``keep + 1`` words of each text from rare to common, as hashes.
 
-    Words carrying more than 1/COMMON_WORDS of all entries are fewer than COMMON_WORDS, so their
-    frequencies are broadcast; the frequencies of the others are joined by word without skew.
+    Words found in one text only come first and are left out of ``keep`` and ``head``. Words carrying more than
+    1/COMMON_WORDS of all entries are fewer than COMMON_WORDS, so their frequencies are broadcast; the others are
+    ordered by a sketch of their frequencies, of SKETCH_CELLS cells at most. So the words stay with their text.
     """
-    entries = forms.select("form", F.explode("words").alias("word"))
+    entries = forms.select("form", F.explode("words").alias("word")).select("form", F.xxhash64("word").alias("word"))
     frequency = materialise(entries.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word-frequency")
-    total = frequency.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("t")).first()["t"]
-    common = F.broadcast(frequency.filter(F.col("df") * COMMON_WORDS > F.lit(total)))
-    rest = frequency.filter(F.col("df") * COMMON_WORDS <= F.lit(total))
-    # Common words stay with their text; only the others travel to their frequency and back.
-    listed = lambda name: F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "word"))).alias(name)
-    here = entries.join(common, "word", "left").groupBy("form").agg(listed("_c"), *bitmap())
-    away = entries.join(common.select("word"), "word", "left_anti").join(rest, "word").groupBy("form").agg(listed("_r"))
-    none = F.array().cast(here.schema["_c"].dataType)
-    ordered = here.join(away, "form", "left").withColumn("_o", F.array_sort(F.concat(F.coalesce("_r", none), "_c")))
+    held = frequency.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("words")).first()
+    common = F.broadcast(frequency.filter(F.col("df") * COMMON_WORDS > F.lit(held["t"])))
+    sketch = materialise(frequency_sketch(frequency.filter(F.col("df") * COMMON_WORDS <= F.lit(held["t"])), held["words"]), "sketch")
+    mask = (sketch.first() or {"mask": 0})["mask"]
+    cell = F.col("word").bitwiseAND(F.lit(mask))
+    nibble = F.call_function("shiftright", F.get("cells", (F.shiftright(cell, 4) % 4).cast("int")), (cell % 16 * 4).cast("int"))
+    level = F.coalesce(nibble.bitwiseAND(F.lit(15)), F.lit(0).cast("long"))
+    known = entries.join(common, "word", "left").withColumn("block", F.shiftright(cell, 6)).join(F.broadcast(sketch.drop("mask")), "block", "left")
+    at = F.coalesce(F.col("df") + 15, level)  # common words come last, in the order of their frequencies
+    ordered = known.groupBy("form").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "word"))).alias("_o"), *bitmap())
     sized = forms.select("form", "rank", F.size("words").alias("n"))
     keep = F.col("n") - required_overlap(F.col("n"), threshold) + 1
-    return ordered.join(sized, "form").select(
-        "form", "rank", "n", F.struct(*[f"bits{i}" for i in range(LANES)]).alias("bits"), keep.alias("keep"),
-        F.transform(F.slice("_o", 1, keep + 1), lambda w: w["word"]).alias("head"))
+    lone = F.size(F.filter("_o", lambda w: w["at"] == 0))
+    return ordered.withColumn("_lone", lone).join(sized, "form").select(
+        "form", "rank", "n", F.struct(*[f"bits{i}" for i in range(LANES)]).alias("bits"), F.greatest(keep - F.col("_lone"), F.lit(0)).alias("keep"),
+        F.transform(F.slice("_o", F.col("_lone") + 1, F.greatest(keep + 1 - F.col("_lone"), F.lit(0))), lambda w: w["word"]).alias("head"))
 
 
-def _with_group_size(entries: DataFrame) -> DataFrame:
-    """Entries whose signature occurs more than once, with the number of its members."""
-    sizes = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
-    return entries.join(sizes, "sig")
+def _by_signature(entries: DataFrame, label: str) -> DataFrame:
+    """Entries whose signature occurs more than once, with the number of its members, stored so that joins on it move nothing."""
+    stored = materialise_by(entries.repartition("sig"), "sig", label)
+    sizes = stored.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
+    return stored.join(sizes, "sig")
 
 
 def _pairs_within(entries: DataFrame, threshold: float) -> DataFrame:
-    """Earlier and later text of each pair inside small groups that sizes and bitmaps leave open."""
-    a, b = (entries.select("sig", *[F.col(c).alias(f"{x}_{c}") for c in ("form", "rank", "n", "bits")]) for x in "ab")
-    near = (F.col("a_rank") < F.col("b_rank")) & may_reach(*[F.col(c) for c in ("a_n", "b_n", "a_bits", "b_bits")], threshold)
+    """The pairs inside small groups that sizes and bitmaps leave open, each once."""
+    a, b = (entries.select("sig", *[F.col(c).alias(f"{x}_{c}") for c in ("form", "n", "bits")]) for x in "ab")
+    near = (F.col("a_form") < F.col("b_form")) & may_reach(*[F.col(c) for c in ("a_n", "b_n", "a_bits", "b_bits")], threshold)
     return a.join(b, "sig").filter(near).select(F.col("a_form").alias("a"), F.col("b_form").alias("b")).distinct()
 
 
+def _earlier_first(edges: DataFrame) -> DataFrame:
+    """Verified pairs with the earlier text as ``a``."""
+    swap = F.col("a_rank") > F.col("b_rank")
+    pick = lambda x, y, c: F.when(swap, F.col(y + c)).otherwise(F.col(x + c)).alias(x + c)
+    return edges.select(*[pick(x, y, c) for c in ("", "_rank", "_n") for x, y in ("ab", "ba")], "similarity")
+
+
 def verify(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     """Keep the pairs ``(a, b)`` whose word sets reach the threshold; adds ranks and sizes.
 
@@ -128,21 +159,23 @@ def leader_clusters(forms: DataFrame, threshold: float = K.DEFAULT_SIMILARITY) -
     The result equals visiting the texts one by one in rank order. ``forms`` must be stored, it is
     read several times.
     """
-    forms = forms.filter(F.size("words") > 0)
-    heads = materialise(rare_first(forms, threshold), "heads")
-    single = heads.select("form", "rank", "n", "bits", F.explode(F.slice("head", 1, F.col("keep"))).alias("sig"))
-    grouped = materialise(_with_group_size(single), "prefixes")
-    small = _pairs_within(grouped.filter(F.col("members") <= PAIR_GROUP), threshold)
-    large = grouped.filter(F.col("members") > PAIR_GROUP).select("form", "sig")
-
-    crowded = None
-    if not large.isEmpty():
-        double = materialise(_with_group_size(_word_pairs(large, heads, threshold)), "prefix-pairs")
-        small = small.unionByName(_pairs_within(double.filter(F.col("members") <= PAIR_GROUP), threshold)).distinct()
-        crowded = double.filter(F.col("members") > PAIR_GROUP).drop("members")
-        crowded = None if crowded.isEmpty() else materialise(crowded, "crowded")
-    edges = materialise(verify(small, forms, threshold), "edges")
-    return _elect(forms, edges, crowded, threshold)
+    with temporary(forms.sparkSession) as kept:
+        forms = forms.filter(F.size("words") > 0)
+        heads = materialise_by(rare_first(forms, threshold), "form", "heads")
+        grouped = _by_signature(heads.select("form", "n", "bits", F.explode(F.slice("head", 1, F.col("keep"))).alias("sig")), "prefixes")
+        small = _pairs_within(grouped.filter(F.col("members") <= PAIR_GROUP), threshold)
+        large = materialise(grouped.filter(F.col("members") > PAIR_GROUP).select("form", "sig"), "large")
+
+        crowded = None
+        if not large.isEmpty():
+            double = _by_signature(_word_pairs(large, heads, threshold), "prefix-pairs")
+            small = small.unionByName(_pairs_within(double.filter(F.col("members") <= PAIR_GROUP), threshold)).distinct()
+            crowded = materialise(double.filter(F.col("members") > PAIR_GROUP).drop("members"), "crowded")
+            crowded = None if crowded.isEmpty() else crowded
+        edges = materialise(_earlier_first(verify(small, forms, threshold)), "edges")
+        clusters = _elect(forms, edges, crowded, threshold)
+        kept += [clusters.leaders, clusters.links]
+    return clusters
 
 
 def _word_pairs(large: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
@@ -150,10 +183,9 @@ def _word_pairs(large: DataFrame, heads: DataFrame, threshold: float) -> DataFra
     at = F.array_position("head", F.col("first")).cast("int")
     rows = large.withColumnRenamed("sig", "first").join(heads, "form")
     seconds = F.slice("head", at + 1, F.greatest(F.size("head") - at, F.lit(0)))
-    alone = F.when(required_overlap(F.col("n"), threshold) <= 1, F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>"))
-    return rows.select("form", "rank", "n", "bits", "first", F.explode(F.concat(seconds, alone)).alias("second")).select(
-        "form", "rank", "n", "bits", F.concat_ws("\x01", "first", "second").alias("sig"))
+    alone = F.when(required_overlap(F.col("n"), threshold) <= 1, F.array(F.xxhash64("first"))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("form", "rank", "n", "bits", F.explode(F.concat(
+        F.transform(seconds, lambda second: F.xxhash64(F.col("first"), second)), alone)).alias("sig"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -180,7 +212,7 @@ def _elect(forms: DataFrame, edges: DataFrame, crowded: DataFrame | None, thresh
         if entries.isEmpty():
             break
         behind, near = _fronts(entries, front, threshold)
-        found = materialise(verify(near, forms, threshold), "front-edges")
+        found = materialise(_earlier_first(verify(near, forms, threshold)), "front-edges")
         known.append(found)
         live = _open_edges(_union(known), open_forms)
         waiting = live.select(F.col("b").alias("form")).unionByName(behind)

@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_written: ContextVar[list | None] = ContextVar("written", default=None)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -35,8 +40,49 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write a DataFrame once and read it back: columnar, prunable, without lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _lean(spark):
+        df.write.parquet(path, compression="zstd")
+    return _noted(spark.read.schema(df.schema).parquet(path), path)
+
+
+@contextmanager
+def _lean(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when a table is written, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def _noted(df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    df.stored_path = path
+    if _written.get() is not None:
+        _written.get().append((path, name, df))
+    return df
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list]:
+    """Tables stored inside are deleted at the end, but for those whose DataFrames were put into the list."""
+    kept: list[DataFrame] = []
+    outer, token = _written.get(), _written.set([])
+    try:
+        yield kept
+    finally:
+        here = _written.get()
+        _written.reset(token)
+        stay = {df.stored_path for df in kept}
+        for path, name, df in here:
+            if path in stay:
+                if outer is not None:
+                    outer.append((path, name, df))
+                continue
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored_whole(spark: SparkSession, path: str) -> bool:
@@ -51,5 +97,6 @@ def materialise_by(df: DataFrame, key: str, label: str = "table") -> DataFrame:
     path = scratch_path(spark, label)
     name = f"folioflow_{path.rsplit('-', 1)[1]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
-    return spark.read.table(name)
+    with _lean(spark):
+        df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return _noted(spark.read.table(name), path, name)
