@@ -28,6 +28,7 @@ except ImportError:  # larger name lists are then joined
 
 NAMES_INLINE = 32
 NAMES_SHARED_BYTES = 32_000_000
+IDS_SHARED_BYTES = 64_000_000
 GRAM = 12
 
 
@@ -191,15 +192,26 @@ def prepare(references: DataFrame, targets: DataFrame | None = None, peer_groups
     if targets is None:
         corpus = references.withColumn("written", F.lit(True))
     else:
-        marked = references.join(targets.select("doc", F.lit(True).alias("written")), "doc", "left").withColumn(
+        # Only ids are shuffled: texts stay where they are read unless very many documents are targets.
+        ids = materialise(targets.select("doc"), "targets")
+        marked = references.join(_shared(ids.withColumn("written", F.lit(True))), "doc", "left").withColumn(
             "written", F.coalesce("written", F.lit(False)))
         corpus = marked.unionByName(union_references(targets, references).withColumn("written", F.lit(True)))
     return with_peer_group(corpus, peer_groups)
 
 
 def union_references(targets: DataFrame, references: DataFrame) -> DataFrame:
-    """The targets that are not among the references yet."""
-    return targets.join(references.select("doc"), "doc", "left_anti")
+    """The targets that are not among the references yet; they are found by ids alone."""
+    others = materialise(targets.select("doc").join(references.select("doc"), "doc", "left_anti"), "targets")
+    if others.isEmpty():
+        return targets.limit(0)
+    return targets.join(_shared(others).withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
+
+
+def _shared(table: DataFrame) -> DataFrame:
+    """A stored table of ids, broadcast if it is not too large."""
+    size = table.agg(F.sum(F.octet_length(F.col("doc").cast("string")) + 32)).first()[0] or 0
+    return F.broadcast(table) if size <= IDS_SHARED_BYTES else table
 
 
 def scan(corpus: DataFrame, options: Options = Options(), names: DataFrame | None = None) -> Scan:

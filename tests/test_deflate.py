@@ -146,3 +146,21 @@ def test_company_names_three_ways(spark):
         out = D.with_names(given, inside, **kwargs).select(T.replace_names("text", F.col("_names")).alias("t")).first()
         assert out.t == "{COMPANY} pays. {COMPANY} pays."
     assert masked[0][1] == "{COMPANY} and {COMPANY}" and masked[0][3] == "x{COMPANY}x {COMPANY}"
+
+
+def test_marking_targets_moves_no_text(spark):
+    def docs(ids):
+        rows = [(i, i, f"Co {(i or 0) % 3} Ltd", f"n{i}", f"text {i}") for i in ids]
+        return spark.createDataFrame(rows, "doc long, visit long, entity string, name string, text string")
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for targets in (range(2, 9), range(4)):
+            corpus = D.prepare(docs(range(1, 7)), docs([*targets, None]) if 8 in targets else docs(targets))
+            got = sorted(((r.doc, r.written, r.text) for r in corpus.collect()), key=str)
+            want = {i: i in targets for i in range(1, 7)} | {i: True for i in targets} | ({None: True} if 8 in targets else {})
+            assert got == sorted(((i, w, f"text {i}") for i, w in want.items()), key=str)
+            assert "SortMergeJoin" not in corpus._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
