@@ -9,7 +9,8 @@ Before that, collisions are counted over the sides of zero on which two vectors
 of one number: nearly all unrelated pairs end there, after one comparison of two numbers.
 
 Equal vectors are one class from the start. A cell of any size is split into blocks by the hash of the id
-and handled as pairs of blocks, so a task holds three blocks at most. Tasks return sums of links per vector and a spanning
+and handled as pairs of blocks, so a task holds three blocks at most; blocks grow with the largest cell up to a bound, so that a
+vector is sent a bounded number of times until then, and copies leave a task in small batches. Tasks return sums of links per vector and a spanning
 forest of their links, never the pairs. The work is quadratic in the size of a cell: a window on a
 line holds a fixed share of dissimilar vectors, which is a property of the method.
 
@@ -36,7 +37,7 @@ from folioflow.llm.vectors import distinct_vectors, matrix, unit
 class CollisionOptions:
     """``miss``: share of pairs at the threshold that each of the two filters may lose; the count of sides loses a thousandth of it.
 
-    ``block_rows`` bounds what a task holds and does not change the result.
+    ``block_rows`` to ``most_rows`` bound what a task holds and do not change the result.
     """
 
     cosine: float = 0.95
@@ -44,6 +45,7 @@ class CollisionOptions:
     lines: int = 14
     miss: float = 0.001
     block_rows: int = 4096
+    most_rows: int = 16_384
     seed: int = 11
 
 
@@ -77,6 +79,8 @@ def lines_of(dim: int, o: CollisionOptions) -> np.ndarray:
 
 
 SIDES = 64
+BLOCKS_IN_A_CELL = 8
+SENT_ROWS = 10_000  # copies of vectors that leave a task at a time
 
 
 def sides(x: np.ndarray, o: CollisionOptions) -> np.ndarray:
@@ -117,8 +121,14 @@ def project(classes: DataFrame, width: float, o: CollisionOptions) -> DataFrame:
 def block_pairs(projected: DataFrame, sizes: dict, o: CollisionOptions) -> DataFrame:
     """Rows sent to pairs of blocks: side 0 is the left block, 1 another of its cell, 2 one of the next."""
 
+    rows_in_a_block = min(max(o.block_rows, -(-max(sizes.values(), default=0) // BLOCKS_IN_A_CELL)), max(o.block_rows, o.most_rows))
+
     def blocks(dim, t, cell):
-        return -(-sizes.get((dim, t, cell), 0) // o.block_rows)
+        return -(-sizes.get((dim, t, cell), 0) // rows_in_a_block)
+
+    def packed(frame, at, rows):
+        out = frame.iloc[at][["id", "c", "v", "p", "bits"]].reset_index(drop=True)
+        return pd.concat([pd.DataFrame(rows, columns=["dim", "t", "cell", "i", "j", "side"], dtype=np.int32), out], axis=1)
 
     def run(frames):
         for frame in frames:
@@ -134,8 +144,10 @@ def block_pairs(projected: DataFrame, sizes: dict, o: CollisionOptions) -> DataF
                         at.append(n), rows.append((dim, t, cell, j, b, 1))
                     for j in range(before):
                         at.append(n), rows.append((dim, t, cell - 1, j, b, 2))
-            out = frame.iloc[at][["id", "c", "v", "p", "bits"]].reset_index(drop=True)
-            yield pd.concat([pd.DataFrame(rows, columns=["dim", "t", "cell", "i", "j", "side"], dtype=np.int32), out], axis=1)
+                    if len(at) >= SENT_ROWS:
+                        yield packed(frame, at, rows)
+                        at, rows = [], []
+            yield packed(frame, at, rows)
 
     return projected.mapInPandas(
         run, "dim int, t int, cell int, i int, j int, side int, id long, c long, v binary, p binary, bits long")
@@ -204,6 +216,8 @@ def match(width: float, least: int, most: int, o: CollisionOptions):
                 links += np.bincount(u, weights=c[w], minlength=len(ids)).astype(np.int64)
                 links += np.bincount(w, weights=c[u], minlength=len(ids)).astype(np.int64)
                 forest += spanning(u, w)
+                if len(forest) > 4 * len(ids):
+                    forest = spanning(*np.array(forest).T)
         some = np.nonzero(links)[0]
         e = np.array(spanning(*np.array(forest).T), dtype=np.int64) if forest else np.zeros((0, 2), np.int64)
         return pd.DataFrame({

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from folioflow.llm.collision_dedup import CollisionOptions, calibrate, near_duplicates
@@ -252,3 +253,21 @@ def test_components_of_few_and_many_edges_are_equal(spark):
         got = {r.node: r.component for r in components(edges, saved, few=few).collect()}
         assert got == {i: want[i] for i in {n for p in pairs if p[0] != p[1] for n in p}}
         assert saved.number <= 10 or not few
+
+
+def test_copies_of_vectors_leave_a_task_in_small_batches(monkeypatch):
+    from folioflow.llm import collision_dedup as C
+
+    class Projected:
+        def mapInPandas(self, run, schema):
+            return run
+
+    o, rows = CollisionOptions(block_rows=10, most_rows=20), 300
+    frame = pd.DataFrame({"id": range(rows), "c": 1, "dim": 2, "v": [b"v"] * rows, "p": [b"p"] * rows, "bits": 0, "cells": [[0, 0, 0]] * rows})
+    monkeypatch.setattr(C, "SENT_ROWS", 500)
+    sizes = {(2, t, s): rows for t in range(3) for s in (-1, 0, 1)}
+    sent = list(C.block_pairs(Projected(), sizes, o)(iter([frame])))
+    assert max(len(f) for f in sent) < 600 and sum(len(f) for f in sent) > 20 * rows
+    assert max(f["i"].max() for f in sent) == 14  # 300 rows of a cell in blocks of 20, the bound, and not in 8 blocks
+    wide = C.block_pairs(Projected(), sizes, CollisionOptions(block_rows=10))(iter([frame]))
+    assert max(f["i"].max() for f in wide) == C.BLOCKS_IN_A_CELL - 1
