@@ -35,7 +35,7 @@ from folioflow import constants as K
 from folioflow.operators.joins import lookup
 from folioflow.plans.storage import materialise, materialise_by, temporary
 
-PAIR_GROUP = 64
+PAIR_GROUP = 512                    # so a text is compared with as many others of a group at most; the pairs never leave their task
 COMMON_WORDS = 20_000
 SKETCH_CELLS = 1 << 24              # 64 cells of four bits are one row of the sketch
 FRONT_GROWTH, FRONT_MOST = 8, 1024  # texts of a crowded group compared with each other in one round
